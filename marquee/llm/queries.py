@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .html_extract import extract_main_text
 from .sentencepiece_codec import encode_decode
 from .toxicity import toxicity
 
@@ -32,11 +33,15 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hits")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_sentencepiece, op6_decontaminate, op8_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_sentencepiece, op6_decontaminate, op7_html_text, op8_toxicity)}
 
 SQL = {
     "op1_exact_dedup": r"""
