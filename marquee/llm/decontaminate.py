@@ -86,8 +86,9 @@ def _passes(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str | None,
     yield held
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_pattern_words: int = MAX_PATTERN_WORDS) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hits (array<start, end>).
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_pattern_words: int = MAX_PATTERN_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hits (array<start, end>), and
+    the columns named in ``keep``, unless they have one of these names.
 
     A word is hit inside any occurrence of a window of ``window`` words of an item; an item of fewer words, but not
     none, is one window. Null texts have no words; items without words or id have no windows; repeated items count once
@@ -96,23 +97,32 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     searched in several passes, whose hits are joined by row number, as the input is a plain scan or a stored table.
     """
     parts = list(_passes(benchmark, max_pattern_words))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shape = "row long, doc_id long, n_words long, hits array<struct<start:long,end:long>>, items array<string>"
-    found = [rows.mapInArrow(_search(items, window), shape) for items in parts]
-    if len(found) == 1:
-        whole = found[0]
-    else:
-        whole = found[0]
-        for x in found[1:]:
-            whole = whole.unionByName(x)
-        whole = whole.groupBy("row", "doc_id").agg(
-            F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
-        )
+    if not any(len(p) for p in parts):
+        parts = [[]]
+    own = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hits")
+    kept = [c for c in keep if c not in own and c != "text"]
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text"), *[F.col(c).alias(f"_keep_{c}") for c in kept]
+    )
+    carried = [(n, t) for n, t in rows.dtypes if n.startswith("_keep_") or n == "_text" and "text" in keep]
+
+    def found(items: list, carry: bool) -> DataFrame:
+        head = [("row", "long"), ("doc_id", "long"), *(carried if carry else [])]
+        shape = ", ".join(f"`{n}` {t}" for n, t in head) + ", n_words long, hits array<struct<start:long,end:long>>, items array<string>"
+        return rows.mapInArrow(_search(items, window, [n for n, _ in head]), shape)
+
+    whole = found(parts[0], True)
+    if len(parts) > 1:
+        rest = whole.select("row", "hits", "items")
+        for items in parts[1:]:
+            rest = rest.unionByName(found(items, False).select("row", "hits", "items"))
+        merged = rest.groupBy("row").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
         merge = lambda runs, x: F.when(
             (F.size(runs) > 0) & (x["start"] <= F.element_at(runs, -1)["end"]),
-            F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(F.struct(F.element_at(runs, -1)["start"].alias("start"), F.greatest(F.element_at(runs, -1)["end"], x["end"]).alias("end")))),
+            F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), F.array(F.struct(F.element_at(runs, -1)["start"].alias("start"), F.greatest(F.element_at(runs, -1)["end"], x["end"]).alias("end")))),
         ).otherwise(F.concat(runs, F.array(x)))
-        whole = whole.withColumn("hits", F.aggregate(F.array_sort("hits"), F.array().cast("array<struct<start:long,end:long>>"), merge))
+        merged = merged.withColumn("hits", F.aggregate(F.array_sort("hits"), F.array().cast("array<struct<start:long,end:long>>"), merge))
+        whole = whole.drop("hits", "items").join(merged, "row")
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return whole.select(
         "doc_id",
@@ -122,15 +132,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
         "hits",
+        *[F.col("_text" if c == "text" else f"_keep_{c}").alias(c) for c in [*kept, *(["text"] if "text" in keep else [])]],
     )
 
 
-def _search(items: list[tuple[str | None, list[bytes]]], window: int):
+def _search(items: list[tuple[str | None, list[bytes]]], window: int, head: list[str]):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, names = _tables(items, window)
         for batch in batches:
             n_words, hits, found = [], [], []
-            for text in batch.column(2):
+            for text in batch.column("_text"):
                 words = words_of(text.as_py())
                 runs: list[list[int]] = []
                 owners: set[int] = set()
@@ -148,8 +159,8 @@ def _search(items: list[tuple[str | None, list[bytes]]], window: int):
                 hits.append([{"start": s, "end": e} for s, e in runs])
                 found.append(sorted({names[k] for k in owners}))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(found, pa.list_(pa.string()))],
-                ["row", "doc_id", "n_words", "hits", "items"],
+                [*(batch.column(c) for c in head), pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(found, pa.list_(pa.string()))],
+                [*head, "n_words", "hits", "items"],
             )
 
     return search

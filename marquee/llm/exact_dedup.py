@@ -82,6 +82,16 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         width *= 2
 
 
+def with_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 4096) -> DataFrame:
+    """``exact_dedup`` with the number of each row, as monotonically_increasing_id gives it for ``docs``."""
+    ids = identities(docs, id_col, text_col, block)
+    best = F.struct((-F.col("chars")).alias("fewer"), F.col("id").isNull().alias("none"), "id", "row")
+    groups = stored(ids.groupBy("blocks", "name").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("group_size")), "identity-groups")
+    return ids.join(groups, ["blocks", "name"]).select(
+        "row", F.col("id").alias("doc_id"), F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), F.col("sha").alias("text_sha256")
+    )
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 4096) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -91,13 +101,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty result. Other columns are ignored, whatever their names. The input must be a plain scan or a stored table,
     since rows are numbered in their partitions.
     """
-    ids = identities(docs, id_col, text_col, block)
-    best = F.struct((-F.col("chars")).alias("fewer"), F.col("id").isNull().alias("none"), "id", "row")
-    groups = stored(ids.groupBy("blocks", "name").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("group_size")), "identity-groups")
-    return ids.join(groups, ["blocks", "name"]).select(
-        F.col("id").alias("doc_id"),
-        F.col("best.id").alias("keep_id"),
-        "group_size",
-        (F.col("row") == F.col("best.row")).alias("kept"),
-        F.col("sha").alias("text_sha256"),
-    )
+    return with_groups(docs, id_col, text_col, block).drop("row")

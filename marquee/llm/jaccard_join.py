@@ -220,6 +220,14 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return sizes, label
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
+    """row of the one document of each component that stays: the smallest id, null ids last, then the first row."""
+    sizes, label = jaccard_links(docs, id_col, text_col, num, den)
+    member = sizes.join(label, sizes["row"] == label.node, "left")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
+    return member.groupBy(F.coalesce("component", "row").alias("component")).agg(best).select("best.row")
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 

@@ -12,6 +12,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -85,7 +86,7 @@ def encode_decode(docs: DataFrame, model: str, keep: bool = False, text_col: str
                     out["i"].append(_digest(ids))
                     out["d"].append(_digest(decoded))
                     if keep:
-                        out["ids"].append(list(map(int, ids.split(","))) if ids else [])
+                        out["ids"].append(np.fromstring(ids, np.int32, sep=","))
                         out["text"].append(decoded)
                 columns = [part.column(0), pa.array(out["n"], pa.int64()), pa.array(out["i"], pa.string()), pa.array(out["d"], pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]

@@ -114,7 +114,7 @@ def held_out(column: str):
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted, and the columns named in ``keep``.
+    """One row per document: doc_id, held_out, score, predicted, and the columns named in ``keep`` (these four names stay the operator's).
 
     Scores depend on the text alone. Null and empty texts, and texts without words, get the score of an empty bag.
     Repeated labels of an id count once, as toxic if any is; null labels don't count. Repeated rows each get a row;
@@ -132,11 +132,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, k
                 at = grams(text.as_py())
                 out.append(bias + weights[at].sum() / (PAD + len(at)))
             odds = pa.array(1 / (1 + np.exp(-np.clip(np.array(out, np.float64), -500, 500))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], odds], [*batch.schema.names[:-1], "score"])
+            held = range(batch.num_columns - ("text" not in keep))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in held), odds], [*(batch.schema.names[k] for k in held), "score"])
 
-    head = docs.select(F.col("doc_id").cast("long").alias("_id"), *[F.col(c).alias(f"_keep_{c}") for c in keep], F.col("text").cast("string").alias("_text"))
-    shape = ", ".join(f"`{n}` {t}" for n, t in head.dtypes[:-1]) + ", score double"
+    head = docs.select(F.col("doc_id").cast("long").alias("_id"), *[F.col(c).alias(f"_keep_{c}") for c in keep if c != "text"], F.col("text").cast("string").alias("_text"))
+    shape = ", ".join(f"`{n}` {t}" for n, t in head.dtypes if n != "_text" or "text" in keep) + ", score double"
     scored = head.mapInArrow(score, shape)
-    return scored.select(
-        F.col("_id").alias("doc_id"), held_out("_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *[F.col(f"_keep_{c}").alias(c) for c in keep if c != "doc_id"]
-    )
+    kept = [F.col("_text" if c == "text" else f"_keep_{c}").alias(c) for c in keep if c not in ("doc_id", "held_out", "score", "predicted")]
+    return scored.select(F.col("_id").alias("doc_id"), held_out("_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *kept)
