@@ -9,6 +9,8 @@ from .exact_dedup import exact_dedup
 from .html_extract import extract_main_text
 from .jaccard_join import jaccard_join
 from .sentencepiece_codec import encode_decode
+from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 from .toxicity import toxicity
 
 
@@ -34,6 +36,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hits")
 
@@ -46,7 +52,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_sentencepiece, op4_jaccard_join, op6_decontaminate, op7_html_text, op8_toxicity)}
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents")).drop("spans")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_sentencepiece, op4_jaccard_join, op5_substring_dedup, op6_decontaminate, op7_html_text, op8_toxicity, op9_suffix_dedup)}
 
 SQL = {
     "op1_exact_dedup": r"""
@@ -62,6 +72,15 @@ SQL = {
         e AS (SELECT a, b FROM o JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
         r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
         SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(b) FROM r WHERE r.a = documents.doc_id) AS component_id FROM documents LEFT JOIN n USING (doc_id)""",
+    "op5_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM w, range(1, len(w) - 11) r(i) WHERE len(w) >= 13),
+        m AS (SELECT k, min(doc_id) AS least FROM s GROUP BY k),
+        g AS (SELECT DISTINCT doc_id, j FROM s JOIN m USING (k), range(i, i + 13) r(j) WHERE doc_id > least),
+        l AS (SELECT doc_id, list(j) AS gone FROM g GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+               sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ') ELSE coalesce((SELECT string_agg(w[j], ' ' ORDER BY j) FROM range(1, len(w) + 1) r(j) WHERE NOT list_contains(gone, j)), '') END) AS kept_sha256
+        FROM w LEFT JOIN l USING (doc_id)""",
     "op6_decontaminate": r"""
         WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
