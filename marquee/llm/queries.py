@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .html_extract import extract_main_text
 from .jaccard_join import jaccard_join
+from .license_scan import TEMPLATES, license_scan, shingles_of
+from .scratch import shared_dir
 from .sentencepiece_codec import encode_decode
+from .sharding import shard
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .toxicity import toxicity
@@ -28,6 +34,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), piece_model())
 
@@ -56,9 +66,26 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_sentencepiece, op4_jaccard_join, op5_substring_dedup, op6_decontaminate, op7_html_text, op8_toxicity, op9_suffix_dedup)}
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = shard(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    return rows.select("doc_id", "run", "lang", "source", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_sentencepiece, op4_jaccard_join, op5_substring_dedup, op6_decontaminate, op7_html_text, op8_toxicity, op9_suffix_dedup, op10_sharding)}
+
+_TEMPLATE_ROWS = ", ".join("('{}', {}, '{}')".format(name, len(set(shingles_of(text))), s) for name, text in TEMPLATES.items() for s in sorted(set(shingles_of(text))))
 
 SQL = {
+    "op2_license_scan": rf"""
+        WITH t(template, n, s) AS (VALUES {_TEMPLATE_ROWS}),
+        w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w FROM documents),
+        d AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 5], ' ') AS s FROM w, range(0, len(w) - 4) r(i) WHERE len(w) >= 5),
+        m AS (SELECT doc_id, template, n, s, i // n AS k FROM d JOIN t USING (s)),
+        g AS (SELECT doc_id, template, n, s, k FROM m UNION SELECT doc_id, template, n, s, k - 1 FROM m WHERE k > 0),
+        c AS (SELECT doc_id, template, n, k, count(DISTINCT s) AS c FROM g GROUP BY ALL)
+        SELECT doc_id, template, max(c)::BIGINT AS n_shared, n::BIGINT AS n_shingles, round(max(c) / n, 6) AS containment FROM c GROUP BY doc_id, template, n HAVING 5 * max(c) >= 4 * n""",
+    "op10_sharding": r"""
+        SELECT doc_id, CASE WHEN doc_id % 8 < 4 THEN 'a0000-a0003' ELSE 'a0004-a0007' END AS run, lang, source, n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents""",
     "op1_exact_dedup": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS raw, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
         k AS (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY norm ORDER BY length(raw) DESC, doc_id) AS keep_id,
