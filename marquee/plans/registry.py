@@ -1,5 +1,7 @@
 """Registered queries of the library itself and the SQL that states their results."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import board
+
+QUERIES: dict = {**board.QUERIES}
+SQL: dict = {**board.SQL}
 FLAGSHIP = "board_active"
