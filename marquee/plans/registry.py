@@ -1,7 +1,7 @@
 """Registered queries of the library itself and the SQL that states their results."""
 
-from . import board
+from . import board, store, text
 
-QUERIES: dict = {**board.QUERIES}
-SQL: dict = {**board.SQL}
+QUERIES: dict = {**board.QUERIES, **store.QUERIES, **text.QUERIES}
+SQL: dict = {**board.SQL, **store.SQL, **text.SQL}
 FLAGSHIP = "board_active"
