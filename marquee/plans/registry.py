@@ -1,7 +1,10 @@
 """Registered queries of the library itself and the SQL that states their results."""
 
-from . import board, store, text
+from . import board, store, stream, text
 
-QUERIES: dict = {**board.QUERIES, **store.QUERIES, **text.QUERIES}
-SQL: dict = {**board.SQL, **store.SQL, **text.SQL}
+QUERIES: dict = {}
+SQL: dict = {}
+for _part in (board, store, text, stream):
+    QUERIES |= _part.QUERIES
+    SQL |= _part.SQL
 FLAGSHIP = "board_active"
