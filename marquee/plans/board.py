@@ -292,6 +292,6 @@ def api_01(spark, sf_dir):
     return notices(spark, sf_dir).where((C.confidence() < 0.75) & ~C.is_manual()).select("id", "university", (C.confidence() * 4).cast("int").alias("filled"))
 
 
-@query("date_01_parse", sql("SELECT id, strftime(deadline_ts, '%Y-%m-%d %H:%M:%S') AS at FROM notices", NOTICES))
+@query("date_01_parse", sql("SELECT id, strftime(deadline_ts, '%Y-%m-%d %H:%M:%S') AS moment FROM notices", NOTICES))
 def date_01(spark, sf_dir):
-    return notices(spark, sf_dir).select("id", F.date_format(parse_datetime(F.col("deadline")), "yyyy-MM-dd HH:mm:ss").alias("at"))
+    return notices(spark, sf_dir).select("id", F.date_format(parse_datetime(F.col("deadline")), "yyyy-MM-dd HH:mm:ss").alias("moment"))

@@ -228,9 +228,9 @@ def sort_08(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.slice(F.sort_array(F.transform(F.split("text", "\n"), lambda x: F.length(x).cast("long")), asc=False), 1, 3).alias("longest"))
 
 
-@query("set_02_ordered_union", "SELECT doc_id, array_to_string(CASE WHEN lang = source THEN [lang] ELSE [lang, source] END, ',') AS both FROM documents")
+@query("set_02_ordered_union", "SELECT doc_id, array_to_string(CASE WHEN lang = source THEN [lang] ELSE [lang, source] END, ',') AS merged FROM documents")
 def set_02(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_distinct(F.array("lang", "source", "lang")), ",").alias("both"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_distinct(F.array("lang", "source", "lang")), ",").alias("merged"))
 
 
 @query("arr_01_arrays", "SELECT vec_id, len(embedding)::BIGINT AS n, round(list_max(embedding[1:8]), 5)::DOUBLE AS top, list_contains(embedding, 0.0::FLOAT) AS zero FROM embeddings")
@@ -253,11 +253,11 @@ def json_01(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.coalesce(parsed, salvaged).alias("k"))
 
 
-@query("date_02_normalise", sql("SELECT id, CASE WHEN deadline_ts IS NULL THEN NULL WHEN id % 6 = 0 THEN strftime(deadline_ts, '%Y-%m-%d 18:30:00') WHEN id % 6 = 1 THEN strftime(deadline_ts, '%Y-%m-%d 09:15:00') ELSE strftime(deadline_ts, '%Y-%m-%d 23:59:59') END AS at FROM (SELECT id, deadline_ts + INTERVAL 28 YEAR AS deadline_ts FROM notices WHERE strftime(deadline_ts, '%m-%d') <> '02-29' OR deadline_ts IS NULL)", NOTICES))
+@query("date_02_normalise", sql("SELECT id, CASE WHEN deadline_ts IS NULL THEN NULL WHEN id % 6 = 0 THEN strftime(deadline_ts, '%Y-%m-%d 18:30:00') WHEN id % 6 = 1 THEN strftime(deadline_ts, '%Y-%m-%d 09:15:00') ELSE strftime(deadline_ts, '%Y-%m-%d 23:59:59') END AS moment FROM (SELECT id, deadline_ts + INTERVAL 28 YEAR AS deadline_ts FROM notices WHERE strftime(deadline_ts, '%m-%d') <> '02-29' OR deadline_ts IS NULL)", NOTICES))
 def date_02(spark, sf_dir):
     moved = F.concat((F.substring("deadline", 1, 4).try_cast("int") + 28).cast("string"), F.expr("substring(deadline, 5)"))
     rows = notices(spark, sf_dir).where(~F.coalesce(F.col("deadline"), F.lit("")).rlike(r"-0?2-29"))
-    return rows.select("id", normalise_datetime(moved, F.lit(2026), deadline=True).alias("at"))
+    return rows.select("id", normalise_datetime(moved, F.lit(2026), deadline=True).alias("moment"))
 
 
 @query("date_04_plain_date", "SELECT o_orderkey AS id, strftime(o_orderdate + INTERVAL 28 YEAR, '%Y-%m-%d') AS d FROM orders WHERE strftime(o_orderdate, '%m-%d') <> '02-29'")
