@@ -77,8 +77,8 @@ class ShardStore:
         """Write ``arrivals`` in one job as one run per value of the integer column ``by``, and commit each in turn."""
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         arrivals.write.partitionBy(by).parquet(folder)
-        written = self.spark.read.parquet(folder)
-        counts = {r[0]: r[1] for r in written.groupBy(by).count().collect()} if written.columns else {}  # one row per arrival
+        written = self.spark.read.schema(arrivals.schema).parquet(folder)
+        counts = {r[0]: r[1] for r in written.groupBy(by).count().collect()}  # one row per arrival
         for value in sorted(counts):
             run = self._run(f"a{value:04d}", f"{folder}/{by}={value}", counts[value])
             self._change(lambda runs, run=run: [*runs, run])
