@@ -90,3 +90,17 @@ def test_rest_without_llm():
 
     code = "import sys; sys.modules['x']=1; import marquee.plans.registry, pkgutil; assert not [m for m in sys.modules if m.startswith('marquee.llm')]"
     subprocess.run([sys.executable, "-c", code], check=True)
+
+
+def test_domain_rules(spark):
+    from marquee.functions import classify as C
+    from marquee.functions.domain import DOMAIN, SOURCES
+
+    rows = [
+        ("某大学法学院2026年优秀大学生夏令营招生通知", "camp", "active", "用户补全"), ("某大学预推免拟录取名单", "camp", "active", "微信公众号（x）"), ("某大学夏令营优秀营员", "camp", "active", ""), ("高中生夏令营圆满落幕", "camp", "active", "eeban/1"), ("附件：申请表", "预推免", "active", "全网检索")
+    ]
+    t = spark.createDataFrame(rows, "title string, event_type string, status string, source string").withColumn("n", F.monotonically_increasing_id()).orderBy("n")
+    assert [r[0] for r in t.select(C.slot(DOMAIN)).collect()] == ["camp_notice", "pre_result", "camp_result", "camp_notice", "pre_notice"]
+    assert [r[0] for r in t.select(C.canonical_source(SOURCES)).collect()] == ["用户补全", "微信公众号", "学院官网", "forum", "全网检索"]
+    reasons = [r[0] for r in t.select(C.noise_reason(F.col("title"), F.lit(None), F.lit("https://x"), DOMAIN)).collect()]
+    assert reasons == [None, "exclude:拟录取名单", None, "blacklist:高中生", "attachment_form"]
