@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from .scratch import shuffle_partitions, stored
 
-#: Most bits of a broadcast bitmap (64 MiB). Beyond some 10^8 keys more slots are taken than needed; results stay the same.
-MAX_BITS = 29
+#: Most bits of a broadcast bitmap (128 MiB). Beyond some 10^8 keys more keys pass than need to; results stay the same.
+MAX_BITS = 30
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -23,21 +26,55 @@ def slots_of(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys * _PRIME >> np.uint64(64 - bits)).astype(np.int64)
 
 
+#: Slots are dealt out in so many ranges, however many there are, so that rows grow with the input alone.
+RANGES = 512
+
+
+def packed(slots: list[np.ndarray], bits: int) -> pa.RecordBatch:
+    """Rows (range, low) of a buffer of documents: the slots of each range, four bytes each.
+
+    ``slots`` has the distinct slots of each document. A slot of several documents is given twice, which is enough.
+    """
+    slot, n = np.unique(np.concatenate(slots), return_counts=True) if slots else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    slot = np.repeat(slot, np.minimum(n, 2))
+    width = (1 << bits) // RANGES
+    group = slot // width
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(slot) else np.zeros(0, np.int64)
+    offsets = pa.array(np.concatenate([4 * first, [4 * len(slot)]]).astype(np.int32))
+    low = pa.Array.from_buffers(pa.binary(), len(first), [None, offsets.buffers()[1], pa.py_buffer((slot % width).astype("<u4").tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(group[first].astype(np.int32)), low], ["range", "low"])
+
+
+PACKED = "range int, low binary"
+
+
 def repeated_slots(slots: DataFrame, bits: int) -> Broadcast:
-    """Broadcast bitmap of the values of column ``slot`` (below 2^bits) that occur in more than one row."""
-    often = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    packed = often.groupBy(F.bitmap_bucket_number(F.col("slot") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("bits"))
-    # bucket k, from 1 on, holds the 32768 numbers from 32768 (k - 1) + 1 on
-    out = np.zeros((1 << bits) // 8 + 8192, np.uint8)
-    for row in packed.toLocalIterator():  # at most 2^bits / 8 bytes in all
-        start = 4096 * row.bucket
-        out[start : start + len(row.bits)] = np.frombuffer(row.bits, np.uint8)
+    """Broadcast bitmap of the slots (below 2^bits) that occur more than once in rows as ``packed`` gives them."""
+    width = (1 << bits) // RANGES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for group, low in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if group not in met:
+                    met[group] = np.zeros((2, width), bool)
+                once, twice = met[group]
+                at = np.frombuffer(low.as_buffer(), "<u4")
+                twice[at[1:][at[1:] == at[:-1]]] = True
+                twice[at[once[at]]] = True
+                once[at] = True
+        for group, (_, twice) in met.items():
+            yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([np.packbits(twice, bitorder="little").tobytes()])], ["range", "low"])
+
+    ranges = slots.repartition(shuffle_partitions(slots.sparkSession), "range").mapInArrow(count, PACKED)
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for row in ranges.toLocalIterator():  # at most 2^bits / 8 bytes in all
+        out[row.range * width // 8 : (row.range + 1) * width // 8] = np.frombuffer(row.low, np.uint8)
     return slots.sparkSession.sparkContext.broadcast(out)
 
 
 def is_repeated(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    at = slots + 32768
-    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    return (bitmap[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
 
 
 def components(links: DataFrame) -> DataFrame:

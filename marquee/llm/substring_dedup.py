@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .repeats import bits_for, is_repeated, repeated_slots, slots_of
+from .repeats import PACKED, bits_for, is_repeated, packed, repeated_slots, slots_of
 from .windows import covered, keys_and_hashes
 
 WINDOW, GRAM = 13, 5
@@ -66,47 +66,47 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
-                out = [np.unique(slots_of(np.unique(keys_and_hashes(hashed(words_of(t.as_py())), window, gram)[0]), bits)) for t in batch.column(0).slice(start, 1000)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out))], ["slot"])
+                yield packed([np.unique(slots_of(np.unique(keys_and_hashes(hashed(words_of(t.as_py())), window, gram)[0]), bits)) for t in batch.column(0).slice(start, 1000)], bits)
 
-    bitmap = repeated_slots(rows.select("text").mapInArrow(slots, "slot long"), bits)
+    bitmap = repeated_slots(rows.select("text").mapInArrow(slots, PACKED), bits)
 
-    def settle(held: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
-        hashes = np.concatenate([h for h, _, _ in held])
-        of = np.repeat(np.arange(len(held)), [len(h) for h, _, _ in held])
-        row, number = (np.array([x[k] for x in held], np.int64)[of] for k in (1, 2))
+    def settle(held: list[tuple[np.ndarray, np.ndarray, int, int]]) -> pa.RecordBatch:
+        hashes, place = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+        of = np.repeat(np.arange(len(held)), [len(x[0]) for x in held])
+        row, number = (np.array([x[k] for x in held], np.int64)[of] for k in (2, 3))
         order, least = first_in_buffer(hashes, number)
-        return pa.RecordBatch.from_arrays([pa.array(hashes[order].view(np.int64)), pa.array(row[order]), pa.array(number[order]), pa.array(~least)], ["hash", "row", "id", "found"])
+        found = np.empty(len(order), bool)
+        found[order] = ~least
+        key = np.where(found, row, hashes.view(np.int64))  # what is settled needs no other rows of its window
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(row), pa.array(place.astype(np.int32)), pa.array(number), pa.array(found)], ["key", "row", "place", "id", "found"])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             for row, number, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 key, hashes = keys_and_hashes(hashed(words_of(text.as_py())), window, gram)
-                hashes = np.unique(hashes[is_repeated(bitmap.value, slots_of(key, bits))])
-                if len(hashes):
-                    held.append((hashes, row, number))
-                    size += len(hashes)
+                place = np.flatnonzero(is_repeated(bitmap.value, slots_of(key, bits)))
+                if len(place):
+                    held.append((hashes[place], place, row, number))
+                    size += len(place)
                 if size > BUFFER:
                     yield settle(held)
                     held, size = [], 0
         if held:
             yield settle(held)
 
-    met = rows.mapInArrow(candidates, "hash long, row long, id long, found boolean")
-    # what is settled needs no other rows of its window, and is dealt out by its document
-    least = F.min("id").over(W.partitionBy(F.when(~F.col("found"), F.col("hash")), F.when(F.col("found"), F.col("row"))))
-    hits = met.withColumn("least", least).where("found or id > least").groupBy("row").agg(F.collect_list("hash").alias("hashes"))
+    met = rows.mapInArrow(candidates, "key long, row long, place int, id long, found boolean")
+    least = F.min("id").over(W.partitionBy("key", "found"))
+    hits = met.withColumn("least", least).where("found or id > least").groupBy("row").agg(F.collect_list("place").alias("places"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [[], [], [], []]
-            for text, found in zip(batch.column("text"), batch.column("hashes"), strict=True):
+            for text, found in zip(batch.column("text"), batch.column("places"), strict=True):
                 words = words_of(text.as_py())
                 gone = 0
                 if found.is_valid:
-                    hashes = keys_and_hashes(hashed(words), window, gram)[1]
-                    mask = covered(np.flatnonzero(np.isin(hashes, found.values.to_numpy().view(np.uint64))), window, len(words))
+                    mask = covered(found.values.to_numpy(), window, len(words))
                     gone = int(mask.sum())
                     kept = b" ".join([w for w, m in zip(words, mask.tolist(), strict=True) if not m])
                 else:
@@ -115,5 +115,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     column.append(x)
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], ["id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    done = rows.join(hits, "row", "left").select("id", "text", "hashes").mapInArrow(remove, "id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    done = rows.join(hits, "row", "left").select("id", "text", "places").mapInArrow(remove, "id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return done.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept")
