@@ -21,14 +21,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import bits_for, components, is_repeated, repeated_slots, slots_of
-from .scratch import stored
+from .repeats import PACKED, bits_for, components, is_repeated, packed, repeated_slots, slots_of
+from .scratch import dropped, stored
 
 SHINGLE = 5
 #: Similarity as a ratio of whole numbers, 80 / 100.
 NUM, DEN = 80, 100
 #: Distinct shingles of this share of all documents are put last in the order; at most 1 / SHARE of the mean set size are.
 SHARE, BUFFER = 0.001, 2_000_000
+#: Rounds that verify the likeliest crossing pair of each row before all that are left.
+BEST_ROUNDS = 2
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -120,10 +122,53 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets are similar enough."""
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """Parity of the set's number of tokens in each of at least twice as many slots as it has tokens, one bit each.
+
+    Two sets differ in at least as many tokens as their parities differ in slots. Slots are the highest bits of a hash,
+    so that the exclusive-or of neighbouring slots gives the parity of half as many.
+    """
+    bits = min(17, max(10, int(2 * len(tokens)).bit_length()))
+    return np.packbits(np.bincount((mixed(tokens) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1)
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    a, b = np.unpackbits(np.frombuffer(x, np.uint8)), np.unpackbits(np.frombuffer(y, np.uint8))
+    while len(a) != len(b):
+        if len(a) < len(b):
+            a, b = b, a
+        a = a[::2] ^ a[1::2]
+    return int((a ^ b).sum())
+
+
+def _texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Stored row, text, size and parity of the rows in ``pairs``."""
     wanted = stored(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "candidate-rows")
-    texts = stored(docs.select("row", "text").join(wanted, "row"), "candidate-texts")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(map(len, sets)), pa.int64()), pa.array([parity(x).tobytes() for x in sets])], ["row", "text", "size", "parity"])
+
+    return stored(docs.select("row", "text").join(wanted, "row").mapInArrow(measure, "row long, text string, size long, parity binary"), "candidate-texts")
+
+
+def _not_too_different(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose parities leave room for the similarity: of sets that link, at most this share of both is not common."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(c).to_pylist() for c in ("pa", "pb"))
+            most = (batch.column("sa").to_numpy() + batch.column("sb").to_numpy()) * (den - num) // (den + num)
+            keep = [least_difference(p, q) <= m for p, q, m in zip(x, y, most.tolist(), strict=True)]
+            yield batch.select(["a", "b", "share"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda x: texts.select(F.col("row").alias(x), F.col("size").alias(f"s{x}"), F.col("parity").alias(f"p{x}"))
+    return stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a long, b long, share double"), "likely-pairs")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the pairs (a, b) whose whole sets are similar enough, stored."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, np.ndarray] = {}
@@ -144,7 +189,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFram
 
     left = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("ta")), "a")
     both = left.join(texts.select(F.col("row").alias("b"), F.col("text").alias("tb")), "b").select("a", "ta", "b", "tb")
-    return both.mapInArrow(check, "a long, b long")
+    return stored(both.mapInArrow(check, "a long, b long"), "verified-links")
 
 
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN) -> tuple[DataFrame, DataFrame]:
@@ -171,10 +216,9 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
-                out = [np.unique(slots_of(keys(text)[0], bits)) for text in batch.column(2).slice(start, 1000)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out))], ["slot"])
+                yield packed([np.unique(slots_of(keys(text)[0], bits)) for text in batch.column(2).slice(start, 1000)], bits)
 
-    bitmap = repeated_slots(rows.mapInArrow(slots, "slot long"), bits)
+    bitmap = repeated_slots(rows.mapInArrow(slots, PACKED), bits)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,7 +240,10 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .groupBy(F.col("head").alias("a"), F.col("row").alias("b"), "size").agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") * 4 >= F.least("size", F.ceil(F.col("size") * (1 - num / den)))).select("a", "b")
     )
-    links = stored(_verified(stored(stars, "star-pairs"), rows, num, den), "star-links")
+    stars = stored(stars, "star-pairs")
+    texts = _texts(stars, rows)
+    links = _verified(stars, texts, num, den)
+    dropped(texts)
 
     # second round: pairs across components, in the lists that reach over several
     label = components(links)
@@ -212,11 +259,25 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .groupBy("row", "s_row", "size", "s_size")
         .agg(F.sum((F.col("place") >= 0).cast("int")).alias("met"), F.max("place").alias("last"), F.max(F.when(F.col("place") >= 0, F.col("s_place"))).alias("s_last"))
         .where((F.col("met") == 0) | (F.col("met") + F.least(F.col("size") - F.col("last"), F.col("s_size") - F.col("s_last")) - 1 >= overlap))
-        .select(F.col("row").alias("a"), F.col("s_row").alias("b"))
+        .select(F.col("row").alias("a"), F.col("s_row").alias("b"), (F.col("met") / F.least("size", "s_size")).alias("share"))
     )
-    more = stored(_verified(stored(pairs, "crossing-pairs"), rows, num, den), "crossing-links")
-    if more.limit(1).count():
-        label = components(links.union(more))
+    pairs = stored(pairs, "crossing-pairs")
+    texts = _texts(pairs, rows)
+    pairs = _not_too_different(pairs, texts, num, den)
+    for turn in range(BEST_ROUNDS + 1):
+        # a few rounds verify each row's likeliest pair only, which joins most groups; the last one verifies all that still cross
+        now = pairs.select("a", "b")
+        if turn < BEST_ROUNDS:
+            best = [pairs.groupBy(x).agg(F.max(F.struct("share", "a", "b")).alias("best")).select("best.a", "best.b") for x in ("a", "b")]
+            now = stored(best[0].union(best[1]).distinct(), "likeliest-pairs")
+        links = stored(links.union(_verified(now, texts, num, den)), "links-so-far")
+        label = components(links)
+        if turn < BEST_ROUNDS:
+            names = [label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in ("a", "b")]
+            open_pairs = pairs.join(now.withColumn("done", F.lit(True)), ["a", "b"], "left").where("done is null").drop("done")
+            open_pairs = stored(open_pairs.join(names[0], "a", "left"), "half-labelled-pairs").join(names[1], "b", "left")
+            pairs = stored(open_pairs.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", "share"), "pairs-left")
+    dropped(texts)
     return sizes, label
 
 
