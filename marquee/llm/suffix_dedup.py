@@ -18,7 +18,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import bits_for, is_repeated, repeated_slots, slots_of
+from .repeats import PACKED, bits_for, is_repeated, packed, repeated_slots, slots_of
 from .scratch import shuffle_partitions
 from .substring_dedup import NO_ID, first_in_buffer, numbered
 from .windows import gram_hashes, keys_and_hashes
@@ -34,12 +34,12 @@ def bytes_of(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
-def _batches(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Slices of some ``BUFFER`` bytes of text."""
+def _batches(batch: pa.RecordBatch, column: int, most: int = BUFFER) -> Iterator[pa.RecordBatch]:
+    """Slices of some ``most`` bytes of text."""
     start, size = 0, 0
     for k, text in enumerate(batch.column(column)):
         size += len(text.as_buffer()) if text.is_valid else 0
-        if size > BUFFER:
+        if size > most:
             yield batch.slice(start, k + 1 - start)
             start, size = k + 1, 0
     if start < batch.num_rows:
@@ -69,32 +69,36 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     often = counted.where(F.col("n") >= max(16, SHARE * total.docs)).select("key").toPandas()  # at most keys / (SHARE * docs) rows
     common = spark.sparkContext.broadcast(np.sort(often["key"].to_numpy(np.int64).view(np.uint64)))
 
-    def keyed(text) -> tuple[np.ndarray, np.ndarray]:
+    def keyed(text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes, keys of the windows, and whether a key is the window's own hash."""
         data = bytes_of(text.as_py())
         key, hashes = keys_and_hashes(data, window, gram)
+        own = np.zeros(len(key), bool)
         if len(common.value) and len(key):
             at = np.minimum(np.searchsorted(common.value, key), len(common.value) - 1)
-            key = np.where(common.value[at] == key, hashes, key)
-        return data, key
+            own = common.value[at] == key
+            key = np.where(own, hashes, key)
+        return data, key, own
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _batches(batch, 0):
-                slot, n = np.unique(np.concatenate([np.unique(slots_of(np.unique(keyed(t)[1]), bits)) for t in part.column(0)]), return_counts=True)
-                slot = np.concatenate([slot, slot[n > 1]])  # twice is enough to be known as repeated
-                yield pa.RecordBatch.from_arrays([pa.array(slot)], ["slot"])
+                yield packed([np.unique(slots_of(np.unique(keyed(t)[1]), bits)) for t in part.column(0)], bits)
 
-    bitmap = repeated_slots(rows.select("text").mapInArrow(slots, "slot long"), bits)
+    bitmap = repeated_slots(rows.select("text").mapInArrow(slots, PACKED), bits)
+
+    names = ["key", "bytes", "row", "id", "start", "stop", "found"]
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _batches(batch, 2):
+            for part in _batches(batch, 2, 3 * BUFFER):
                 yield settle(part)
 
     def settle(part: pa.RecordBatch) -> pa.RecordBatch:
-        key_of, taken, row_of, id_of, from_, to = [], [], [], [], [], []
-        for row, number, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
-            data, key = keyed(text)
+        key_of, taken, at_of, bare, from_, to = [], [], [], [], [], []
+        ids, rows_ = part.column(1).to_numpy(), part.column(0).to_numpy()
+        for k, text in enumerate(part.column(2)):
+            data, key, own = keyed(text)
             if not len(key):
                 continue
             begin = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
@@ -103,31 +107,39 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             begin, end = begin[use], end[use]
             raw = data.tobytes()
             key_of.append(key[begin])
+            bare.append(own[begin] & (end - begin == 1))
             taken += [raw[b:e] for b, e in zip(begin.tolist(), (end + window - 1).tolist(), strict=True)]
-            row_of += [row] * len(begin)
-            id_of += [number] * len(begin)
+            at_of.append(np.full(len(begin), k))
             from_.append(begin)
             to.append(end)
+        if not taken:
+            return pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())], names)
+        key, at, start, stop = (np.concatenate(x) for x in (key_of, at_of, from_, to))
+        id_of = ids[at].tolist()
         least: dict[bytes, int] = {}
         for context, number in zip(taken, id_of, strict=True):
             if number < least.get(context, NO_ID + 1):
                 least[context] = number
         found = np.fromiter((number > least[context] for context, number in zip(taken, id_of, strict=True)), bool, len(taken))
-        row_of = np.array(row_of, np.int64)
-        key_of = np.concatenate(key_of).view(np.int64) if key_of else np.zeros(0, np.int64)
-        none = pa.array([None if f else c for c, f in zip(taken, found.tolist(), strict=True)], pa.binary())
-        start, stop = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (from_, to))
-        return pa.RecordBatch.from_arrays([pa.array(np.where(found, row_of, key_of)), none, pa.array(row_of), pa.array(id_of, pa.int64()), pa.array(start), pa.array(stop)], ["key", "bytes", "row", "id", "start", "stop"])
+        whole = [None if none else c for c, none in zip(taken, (found | np.concatenate(bare)).tolist(), strict=True)]
+        # runs of settled stretches that follow each other become one row
+        head = np.concatenate([[True], ~(found[1:] & found[:-1] & (at[1:] == at[:-1]) & (start[1:] == stop[:-1]))])
+        last = np.concatenate([np.flatnonzero(head)[1:] - 1, [len(head) - 1]])
+        head = np.flatnonzero(head)
+        row = rows_[at[head]]
+        columns = [np.where(found[head], row, key.view(np.int64)[head]), row, ids[at[head]], start[head], stop[last], found[head]]
+        arrays = [pa.array(x) for x in columns]
+        arrays.insert(1, pa.array([whole[k] for k in head.tolist()], pa.binary()))
+        return pa.RecordBatch.from_arrays(arrays, names)
 
     shape = "row long, start long, stop long"
-    met = rows.mapInArrow(stretches, "key long, bytes binary, row long, id long, start long, stop long").repartition(shuffle_partitions(spark), "key")
+    met = rows.mapInArrow(stretches, "key long, bytes binary, row long, id long, start long, stop long, found boolean").repartition(shuffle_partitions(spark), "key")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, held = ["row", "start", "stop"], []
         for batch in batches:
-            settled = batch.column("bytes").is_null()
-            yield batch.select(names).filter(settled)
-            held.append(batch.filter(pa.compute.invert(settled)))
+            yield batch.select(names).filter(batch.column("found"))
+            held.append(batch.filter(pa.compute.invert(batch.column("found"))))
         if not held:
             return
         whole = pa.Table.from_batches(held)
@@ -169,12 +181,15 @@ def _later(part: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     """Runs of windows (row, start, stop) that some stretch of a smaller id has too."""
     start, row, number = (part[c].to_numpy() for c in ("start", "row", "id"))
     count = part["stop"].to_numpy() - start
-    data = np.frombuffer(b"".join(part["bytes"].to_pylist()), np.uint8)
-    length = count + window - 1
+    bare = part["bytes"].is_null().to_numpy()  # one window of a common key: its key is its hash
+    data = np.frombuffer(b"".join(x for x in part["bytes"].to_pylist() if x is not None), np.uint8)
+    length = np.where(bare, 0, count + window - 1)
     first = np.cumsum(length) - length
     of = np.repeat(np.arange(len(count)), count)
     place = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-    hashes = gram_hashes(data, window)[0][first[of] + place]
+    hashes = part["key"].to_numpy().view(np.uint64)[of]
+    spanned = ~bare[of]
+    hashes[spanned] = gram_hashes(data, window)[0][(first[of] + place)[spanned]]
     order, least = first_in_buffer(hashes, number[of])
     later = np.zeros(len(of), bool)
     later[order] = ~least
