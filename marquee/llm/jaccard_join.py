@@ -30,7 +30,7 @@ NUM, DEN = 80, 100
 #: Distinct shingles of this share of all documents are put last in the order; at most 1 / SHARE of the mean set size are.
 SHARE, BUFFER = 0.001, 2_000_000
 #: Rounds that verify the likeliest crossing pair of each row before all that are left.
-BEST_ROUNDS = 2
+BEST_ROUNDS = 1
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -123,12 +123,12 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def parity(tokens: np.ndarray) -> np.ndarray:
-    """Parity of the set's number of tokens in each of at least twice as many slots as it has tokens, one bit each.
+    """Parity of the set's number of tokens in each of some one to two slots per token (32,768 at most), one bit each.
 
     Two sets differ in at least as many tokens as their parities differ in slots. Slots are the highest bits of a hash,
     so that the exclusive-or of neighbouring slots gives the parity of half as many.
     """
-    bits = min(17, max(10, int(2 * len(tokens)).bit_length()))
+    bits = min(15, max(9, len(tokens).bit_length()))
     return np.packbits(np.bincount((mixed(tokens) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1)
 
 
@@ -235,10 +235,11 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # first round: each list links its members to its first one, where a good part of the looked-up keys agree
     heads = stored(lists.groupBy("key").agg(F.min(F.struct("row", "size")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("head.row").alias("head"), F.col("head.size").alias("head_size")), "list-heads")
+    # (for each member the head with which it has most keys in common: one pair for each row at most)
     stars = (
         lists.join(heads, "key").where(F.col("row") != F.col("head")).where(F.least("size", "head_size") * den >= F.greatest("size", "head_size") * num)
-        .groupBy(F.col("head").alias("a"), F.col("row").alias("b"), "size").agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") * 4 >= F.least("size", F.ceil(F.col("size") * (1 - num / den)))).select("a", "b")
+        .groupBy("head", "row", "size").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * 4 >= F.least("size", F.ceil(F.col("size") * (1 - num / den))))
+        .groupBy(F.col("row").alias("b")).agg(F.max(F.struct("n", -F.col("head"))).alias("best")).select((-F.col("best")["col2"]).alias("a"), "b")
     )
     stars = stored(stars, "star-pairs")
     texts = _texts(stars, rows)
@@ -270,8 +271,10 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if turn < BEST_ROUNDS:
             best = [pairs.groupBy(x).agg(F.max(F.struct("share", "a", "b")).alias("best")).select("best.a", "best.b") for x in ("a", "b")]
             now = stored(best[0].union(best[1]).distinct(), "likeliest-pairs")
-        links = stored(links.union(_verified(now, texts, num, den)), "links-so-far")
-        label = components(links)
+        new = _verified(now, texts, num, den)
+        if new.limit(1).count():
+            links = stored(links.union(new), "links-so-far")
+            label = components(links)
         if turn < BEST_ROUNDS:
             names = [label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in ("a", "b")]
             open_pairs = pairs.join(now.withColumn("done", F.lit(True)), ["a", "b"], "left").where("done is null").drop("done")
