@@ -22,7 +22,7 @@ from marquee.llm.sentencepiece_codec import encode_decode
 from marquee.llm.sharding import CommitConflict, ShardStore, shard
 from marquee.llm.substring_dedup import substring_dedup
 from marquee.llm.suffix_dedup import suffix_dedup
-from marquee.llm.toxicity import toxicity
+from marquee.llm.toxicity import toxicity, training_rows
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 #: Extra columns that clash with names which the operators use inside.
@@ -270,6 +270,34 @@ def test_toxicity(spark, none):
     assert toxicity(none, known).collect() == []
 
 
+def test_toxicity_of_long_texts(spark):
+    """Insults count as often as they are said, also in texts of 20,000 words, and long labelled texts are trained on."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 8))) for _ in range(6000)]
+    insults = ["vilify" + end for end in ("", "s", "ed", "ing")]
+    rows, labels = [], []
+    for k in range(360):
+        w, toxic = rng.choices(words, k=rng.choice((40, 400, 1500, 2500))), k % 3 == 0
+        for _ in range(len(w) // 25 if toxic else 0):
+            w[rng.randrange(len(w))] = rng.choice(insults)
+        rows.append((k, " ".join(w)))
+        labels.append((k, int(toxic)))
+    for k, share in ((1000, 0), (1001, 25)):
+        w = rng.choices(words, k=20_000)
+        for _ in range(20_000 // share if share else 0):
+            w[rng.randrange(len(w))] = rng.choice(insults)
+        rows.append((k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # labels of absent documents take no places, long documents do
+    known = spark.createDataFrame([*labels, *[(5000 + k, k % 2) for k in range(4000)]], "doc_id long, toxic int")
+    sample = training_rows(docs, known)
+    assert {r.doc_id for r in sample.collect()} == {k for k, _ in labels if zlib.crc32(str(k).encode()) % 3 != 1}
+    found = {r.doc_id: r.predicted for r in toxicity(docs, known).collect()}
+    assert found[1001] == 1 and found[1000] == 0
+    held = [k for k, _ in labels if zlib.crc32(str(k).encode()) % 3 == 1]
+    assert sum(found[k] == labels[k][1] for k in held) > 0.95 * len(held)
+
+
 def test_license_scan(spark, none):
     notice = "This work is licensed under the GNU General Public License, version 3."
     grant = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
