@@ -36,7 +36,8 @@ CLOSES = {
 }
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|data-y)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/\"']|$)", re.I)
+#: One whole attribute, from its name to the end of its value, quoted or bare; what stands inside a value is never a name.
+ATTR = re.compile(r"([^\s\"'>/][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?|\"[^\"]*\"|'[^']*'")
 WORD = re.compile(r"[a-z]+")
 SPACE = re.compile(r"[ \t\n\r\f\v   　]+")
 #: Bounds of the classes of text lengths and of shares of linked text.
@@ -46,22 +47,26 @@ LENGTHS, LINKED = (1, 25, 80, 300, 1200), (0.05, 0.35, 0.75)
 class Page:
     """A page as parallel lists in document order; element 0 is the root. A text belongs to its element."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, labelled: bool = True):
+        self.labelled = labelled  # otherwise data-y is an attribute of the page's own
         self.tag, self.parent, self.words, self.label, self.skip = ["#root"], [-1], [()], [None], [False]
         self.texts: list[tuple[int, int, str]] = []  # element, block, text
         self.block = 0
         self._parse(source)
 
     def _open(self, tag: str, parent: int, attrs: str) -> int:
-        words, label, skip = [], self.label[parent], self.skip[parent] or tag in SKIPPED
+        words, label, skip, given = [], self.label[parent], self.skip[parent] or tag in SKIPPED, {""}
         if attrs and not attrs.isspace():
             for m in ATTR.finditer(attrs):
-                name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+                name, value = (m[1] or "").lower(), m[2] or m[3] or m[4] or ""
+                if name in given:  # of repeated attributes the first counts
+                    continue
+                given.add(name)
                 if name in ("class", "id", "role"):
                     words += WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())
-                elif name == "data-y":
+                elif name == "data-y" and self.labelled:
                     label = int(value)
-                elif name == "hidden" or value.lower() == "true":
+                elif name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
                     skip = True
         self.tag.append(tag)
         self.parent.append(parent)
@@ -191,7 +196,7 @@ class TreeModel:
         return [1 / (1 + math.exp(min(700.0, max(-700.0, x - y)))) for x, y in zip(b0, b1, strict=True)]
 
     def extract(self, source: str | None) -> str:
-        page = Page(source or "")
+        page = Page(source or "", labelled=False)
         if not page.texts:
             return ""
         content, blocks = self.marginals(page), {}

@@ -216,6 +216,20 @@ def test_html_extraction(spark):
     assert extract_main_text(spark.createDataFrame([], shape)).collect() == []
 
 
+def test_html_attributes_are_read_whole(spark):
+    """Only an attribute's name hides an element, never what stands inside a value; a page's own data-y is no label."""
+    body = "<article{}><h1>Head of it</h1><p>A first <a{}>linked name</a> stands here, long enough to be read as text.</p><p>And a second one after it.</p></article>"
+    shown = "Head of it\n\nA first linked name stands here, long enough to be read as text.\n\nAnd a second one after it."
+    same = [
+        (' style="overflow:hidden"', ""), (' title="the hidden truth"', ""), ("", ' href="/a/hidden/b"'), ("", " href=/a/hidden/b"), (" title='x aria-hidden=true y'", ' rel="x hidden"'), (' data-y="12.5"', ' data-y="0"'),
+        (' data-x="true" aria-hidden="false"', " data-hidden"), (' title="class=hidden id=hidden"', ""), (" title = 'a \"hidden\" b'", ""),
+    ]
+    gone = [" hidden", " HIDDEN=''", ' id="x"hidden', ' title="a"  hidden="until-found"', " aria-hidden=true", " aria-hidden = 'TRUE'", ' data-y="1" hidden']
+    pages = ['<html><body><div style="overflow:hidden">' + body.format("", "") + "</div></body></html>", *["<html><body>" + body.format(*x) + "</body></html>" for x in same], *["<html><body>" + body.format(x, "") + "</body></html>" for x in gone]]
+    found = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame([(k, "u", p) for k, p in enumerate(pages)], "page_id long, url string, html string")).collect()}
+    assert [found[k] for k in range(len(pages))] == [shown] * (1 + len(same)) + [""] * len(gone)
+
+
 def test_html_model_on_held_out_pages():
     model, right, total = TreeModel(training_pages()), 0, 0
     for source in training_pages(60, seed=77):
