@@ -2,21 +2,24 @@
 
 Two window sizes are scanned. Long windows hold 2 * ``STEP`` five-word shingles and begin every ``STEP`` shingles; a
 template of more shingles is represented by its pieces of that length at every start, so a window inside an occurrence
-equals a piece. A window's band i is its least shingle hash after an exclusive-or with seed i. With ``BANDS`` bands of one
-row, windows of Jaccard similarity s to a piece share a band with probability 1 - (1 - s)^BANDS: 0.998 for the least s,
-9 / 16, of a template that goes this way. Templates of at most ``STEP`` shingles meet in windows of one shingle instead:
-each of their bands is one of their shingles, so an occurrence with four fifths of them is missed with a chance below
-(1 / 5)^BANDS. Candidates are then measured exactly, shingle by shingle.
+equals a piece. A window's band i is the least of its shingles' hashes under the i-th of ``BANDS`` hash functions. With
+bands of one row, windows of Jaccard similarity s to a piece share a band with probability 1 - (1 - s)^BANDS. An unbroken
+occurrence with four fifths of a template's shingles has a window of s >= 7 / 19 at the worst alignment (10 shingles, two
+lost by edits and one cut off), so one in 2 million of the worst is missed. Windows without any shingle of a long template
+share no band with a piece, and their bands are not computed. Templates of at most ``STEP`` shingles meet in windows of one
+shingle instead, each of which is one of theirs or not, so none is missed. Candidates are then measured exactly, shingle by
+shingle.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SHINGLE, STEP, BANDS, NUM, DEN = 5, 8, 8, 4, 5
+SHINGLE, STEP, BANDS, NUM, DEN = 5, 8, 32, 4, 5
 #: Templates are given to every task as constants of the plan; more than these shingles are refused.
 MAX_TEMPLATE_SHINGLES = 20_000
 
@@ -45,34 +48,28 @@ def _hash(shingle: Column) -> Column:
     return F.xxhash64(*[F.xxhash64(words[k]) for k in range(SHINGLE)])
 
 
-def _bands(hashes: Column) -> list[Column]:
-    def least(seed: int) -> Column:
-        return F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(seed))))
+def _bands(hashes: Column) -> Column:
+    """The least of the hashes under each of ``BANDS`` hash functions."""
+    return F.array(*[F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(k)))) for k in range(BANDS)])
 
-    return [least(seed) for seed in _seeds()]
 
-
-def _seeds() -> list[int]:
-    return [((k + 1) * 0x9E3779B97F4A7C15) % (1 << 63) for k in range(BANDS)]
-
-
-def template_bands(docs: DataFrame, templates: dict[str, str]) -> tuple[list[int], list[list[int]]]:
-    """Shingle hashes that are bands of short templates, and by seed the bands of the long ones' pieces."""
-    short, long = [], []
+def template_bands(docs: DataFrame, templates: dict[str, str]) -> tuple[list[int], list[int], list[int]]:
+    """Shingle hashes of the short templates, those of the long ones, and the bands of the long ones' pieces."""
+    short, long, pieces = [], [], []
     for text in templates.values():
         own = shingles_of(text)
-        pieces = [own[i : i + 2 * STEP] for i in range(max(len(own) - 2 * STEP + 1, 1))]
-        (short if len(own) <= STEP else long).extend(pieces)
+        (short if len(own) <= STEP else long).append(own)
+        if len(own) > STEP:
+            pieces += [own[i : i + 2 * STEP] for i in range(max(len(own) - 2 * STEP + 1, 1))]
     spark = docs.sparkSession
 
-    def bands(pieces: list[list[str]]) -> list[list[int]]:
-        if not pieces:
-            return [[] for _ in range(BANDS)]
-        table = spark.createDataFrame([(p,) for p in pieces], "piece array<string>").select(F.transform("piece", _hash).alias("h"))
-        return [sorted(set(x)) for x in zip(*table.select(*[b.alias(f"b{k}") for k, b in enumerate(_bands(F.col("h")))]).collect(), strict=True)]
+    def values(lists: list[list[str]], of: Callable[[Column], Column]) -> list[int]:
+        if not lists:
+            return []
+        table = spark.createDataFrame([(x,) for x in lists], "s array<string>").select(F.transform("s", _hash).alias("h"))
+        return sorted(r.v for r in table.select(F.explode(of(F.col("h"))).alias("v")).distinct().collect())
 
-    singles = {b ^ s for s, column in zip(_seeds(), bands(short), strict=True) for b in column}
-    return sorted(singles), bands(long)
+    return values(short, lambda h: h), values(long, lambda h: h), values(pieces, _bands)
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -87,29 +84,25 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_co
     templates = TEMPLATES if templates is None else templates
     if sum(len(shingles_of(t)) for t in templates.values()) > MAX_TEMPLATE_SHINGLES:
         raise ValueError("too many template shingles for constants of a plan; scan with several smaller sets")
-    singles, long = template_bands(docs, templates)
+    singles, parts, bands = template_bands(docs, templates)
     lowered = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.regexp_extract_all(lowered, F.lit("[a-z0-9]+"), F.lit(0)).alias("words")).where(F.size("words") >= SHINGLE)
     hashed = words.withColumn("wh", F.transform("words", lambda w: F.xxhash64(w)))
     starts = F.sequence(F.lit(0), F.size("wh") - SHINGLE)
     hashed = hashed.withColumn("h", F.transform(starts, lambda i: F.xxhash64(*[F.get("wh", i + k) for k in range(SHINGLE)])))
-    by_one = F.transform(F.filter(F.transform("h", lambda h, i: F.when(h.isin(singles), i)), lambda i: i.isNotNull()), lambda i: i) if singles else F.array().cast("array<int>")
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("h") - 1) / STEP).cast("int")), lambda j: F.slice("h", j * STEP + 1, F.lit(STEP)))
-    least = F.transform(blocks, lambda b: F.array(*_bands(b)))
-
-    def window(j: Column) -> Column:
-        own, after = F.get("least", j), F.get("least", j + 1)
-        met = None
-        for k, values in enumerate(long):
-            hit = F.least(own[k], after[k]).isin(values)  # least() skips the null after the last block
-            met = hit if met is None else met | hit
-        return met
-
-    found = hashed.withColumn("least", least)
-    by_many = F.filter(F.sequence(F.lit(0), F.size("least") - 1), window) if any(long) else F.array().cast("array<int>")
+
+    def places_of(values: list[int]) -> Column:
+        if not values:
+            return F.array().cast("array<int>")
+        return F.filter(F.transform("h", lambda h, i: F.when(h.isin(values), i)), lambda i: i.isNotNull())
+
+    by_one = places_of(singles)
+    # the windows that hold such a shingle: the one of its block and the one before
+    near = F.filter(F.array_distinct(F.flatten(F.transform(places_of(parts), lambda i: F.array(F.floor(i / STEP) - 1, F.floor(i / STEP))))), lambda j: j >= 0)
+    by_many = F.filter(near, lambda j: F.exists(_bands(F.slice("h", (j * STEP + 1).cast("int"), F.lit(2 * STEP))), lambda v: v.isin(bands))) if bands else F.array().cast("array<long>")
     # a generator, not a filter: a filter would be pushed below and evaluate everything it refers to anew
     hits = F.filter(F.array(F.struct(by_one.alias("one"), by_many.alias("many"))), lambda x: (F.size(x["one"]) > 0) | (F.size(x["many"]) > 0))
-    found = found.select("doc_id", "words", F.explode(hits).alias("hits")).select("doc_id", "words", "hits.*")
+    found = hashed.select("doc_id", "words", F.explode(hits).alias("hits")).select("doc_id", "words", "hits.*")
     shingled = found.withColumn("s", F.transform(F.sequence(F.lit(0), F.size("words") - SHINGLE), lambda i: F.array_join(F.slice("words", i + 1, F.lit(SHINGLE)), " ")))
     def measure(name: str, own: list[str], at: Column) -> Column:
         n, constants = len(own), F.array(*map(F.lit, own))

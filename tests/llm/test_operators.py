@@ -15,7 +15,7 @@ from marquee.llm.decontaminate import decontaminate
 from marquee.llm.exact_dedup import exact_dedup
 from marquee.llm.html_extract import Page, TreeModel, extract_main_text
 from marquee.llm.labelled_pages import training_pages
-from marquee.llm.license_scan import license_scan, shingles_of
+from marquee.llm.license_scan import TEMPLATES, license_scan, shingles_of
 from marquee.llm.repeats import components
 from marquee.llm.scratch import stored
 from marquee.llm.sentencepiece_codec import encode_decode
@@ -324,6 +324,34 @@ def test_license_scan(spark, none):
     assert license_scan(none).collect() == []
 
 
+def test_license_scan_of_edited_notices(spark):
+    """Long notices with changed words, at all eight offsets to the windows, against brute force over all regions."""
+    rng = random.Random(8)
+    long = [t for t in TEMPLATES.values() if len(shingles_of(t)) > 8]
+    assert min(len(shingles_of(t)) for t in long) == 10
+    rows = []
+    for text in long:
+        n = len(text.split())
+        edits = [{k} for k in range(n)] + [set(rng.sample(range(n), 2)) for _ in range(20)] + [set()]
+        for offset in range(8):
+            for edit in 2 * edits:
+                words = [f"edit{rng.randrange(10**6)}" if k in edit else w for k, w in enumerate(text.split())]
+                before, after = ([f"w{rng.randrange(10**6)}" for _ in range(size)] for size in (8 * rng.randrange(4) + offset, rng.randrange(30)))
+                rows.append((len(rows), " ".join([*before, *words, *after])))
+    expected = []
+    for id_, text in rows:
+        own = shingles_of(text)
+        for name, template in TEMPLATES.items():
+            want = set(shingles_of(template))
+            n = len(want)
+            most = max(len(want & set(own[k : k + 2 * n])) for k in range(0, len(own), n))
+            if 5 * most >= 4 * n:
+                expected.append((id_, name, most))
+    assert len(expected) > 1500
+    found = license_scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
+    assert bag((r.doc_id, r.template, r.n_shared) for r in found.collect()) == bag(expected)
+
+
 def test_sharding(spark, docs, rows, none, tmp_path):
     whole = shard(docs, str(tmp_path / "a"), arrivals=8)
     assert bag((r.doc_id, r.text) for r in whole.collect()) == bag(rows) and set(CLASH) < set(whole.columns)
