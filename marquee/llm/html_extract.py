@@ -1,7 +1,7 @@
 """Main text of web pages by a tree-structured graphical model.
 
 Every element of a page is a binary variable, content or not. A potential joins each element to its parent, and one per
-element comes from what is seen of it (tag, class words, length of its text, share of linked text). All are counted on
+element comes from what is seen of it (tag, class words, length of its text, share of linked text, paragraphs and text of its own). All are counted on
 labelled pages. Sum-product messages pass from the leaves up and from the root down and give each element's marginal;
 the text of the elements whose marginal is at least a half is the main text.
 """
@@ -24,7 +24,9 @@ from .labelled_pages import training_pages
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp".split())
-SKIPPED = frozenset("head script style noscript template iframe svg math select button textarea object audio video canvas title form".split())
+SKIPPED = frozenset("head script style noscript template iframe svg math select button textarea object audio video canvas title label".split())
+#: All that may stand in a head; anything else ends it.
+IN_HEAD = frozenset("head title meta link base script style noscript template".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -35,11 +37,15 @@ CLOSES = {
     "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+#: What ends a tag, or begins a quoted value in it.
+TAG_END = re.compile(r">|=\s*([\"'])")
 #: One whole attribute, from its name to the end of its value, quoted or bare; what stands inside a value is never a name.
 ATTR = re.compile(r"([^\s\"'>/][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?|\"[^\"]*\"|'[^']*'")
 WORD = re.compile(r"[a-z]+")
 SPACE = re.compile(r"[ \t\n\r\f\v   　]+")
+#: Elements that say nothing by their names: without class words, their own text and paragraphs tell most.
+FRAME = frozenset(("#root", "html", "body", "div", "form"))
 #: Bounds of the classes of text lengths and of shares of linked text.
 LENGTHS, LINKED = (1, 25, 80, 300, 1200), (0.05, 0.35, 0.75)
 
@@ -80,25 +86,43 @@ class Page:
             self.texts.append((element, self.block, html.unescape(text) if "&" in text else text))
 
     def _parse(self, source: str) -> None:
-        stack, at, size = [0], 0, len(source)
+        stack, at, size, opened = [0], 0, len(source), Counter()
+
+        def close(k: int) -> None:
+            opened.subtract(self.tag[e] for e in stack[k:])
+            del stack[k:]
+
         while at < size:
             m = TOKEN.search(source, at)
+            text = source[at : m.start() if m else size]
+            if self.tag[stack[-1]] == "head" and text and not text.isspace():
+                close(len(stack) - 1)
+            self._say(stack[-1], text)
             if m is None:
-                self._say(stack[-1], source[at:])
                 break
-            self._say(stack[-1], source[at : m.start()])
             at = m.end()
             if not m[2]:
                 continue
-            tag = m[2].lower()
+            tag, begin, at = m[2].lower(), at, size
+            end = size
+            for part in TAG_END.finditer(source, begin):
+                if part.start() < begin:  # inside a quoted value
+                    continue
+                if part[1] is None:
+                    end, at = part.start(), part.end()
+                    break
+                begin = source.find(part[1], part.end()) + 1
+                if not begin:  # a quote that nothing closes
+                    begin = part.end()
+            attrs = source[m.end() : end]
             if m[1]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == tag:
-                        del stack[k:]
-                        break
+                if opened[tag] > 0:
+                    close(next(k for k in range(len(stack) - 1, 0, -1) if self.tag[stack[k]] == tag))
                 if tag in BLOCKS:
                     self.block += 1
                 continue
+            if opened["head"] > 0 and tag not in IN_HEAD:
+                close(next(k for k in range(len(stack) - 1, 0, -1) if self.tag[stack[k]] == "head"))
             if tag == "br":
                 self._say(stack[-1], "\n")
             if tag in BLOCKS:
@@ -106,7 +130,7 @@ class Page:
                 for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
                     name = self.tag[stack[k]]
                     if name == "p":
-                        del stack[k:]
+                        close(k)
                         break
                     if name in BLOCKS:
                         break
@@ -115,12 +139,12 @@ class Page:
                 for k in range(len(stack) - 1, 0, -1):
                     name = self.tag[stack[k]]
                     if name in ends:
-                        del stack[k:]
+                        close(k)
                         break
                     if name in stops:
                         break
-            element = self._open(tag, stack[-1], m[3])
-            if tag in VOID or m[3].endswith("/") and tag not in BLOCKS and tag not in RAW:
+            element = self._open(tag, stack[-1], attrs)
+            if tag in VOID or attrs.endswith("/") and tag not in BLOCKS and tag not in RAW:
                 continue
             if tag in RAW:
                 end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
@@ -128,22 +152,25 @@ class Page:
                 at = end.end() if end else size
                 continue
             stack.append(element)
+            opened[tag] += 1
 
     def seen(self) -> list[tuple[str, ...]]:
         """What is observed of each element, as feature names."""
         n = len(self.tag)
-        total, linked, in_link = np.zeros(n), np.zeros(n), [False] * n
+        total, linked, in_link, own, paragraphs = np.zeros(n), np.zeros(n), [False] * n, [0] * n, [0] * n
         for k in range(1, n):
             in_link[k] = self.tag[k] == "a" or in_link[self.parent[k]]
+            paragraphs[self.parent[k]] += self.tag[k] == "p"
         for k, _, text in self.texts:
             total[k] += len(text)
+            own[k] += len(text.strip())
             linked[k] += len(text) * in_link[k]
         for k in range(n - 1, 0, -1):
             total[self.parent[k]] += total[k]
             linked[self.parent[k]] += linked[k]
         size = np.searchsorted(LENGTHS, total, side="right")
         share = np.searchsorted(LINKED, linked / np.maximum(total, 1), side="right")
-        return [(f"tag {self.tag[k]}", f"size {size[k]}", f"linked {share[k]}", *[f"word {w}" for w in self.words[k]]) for k in range(n)]
+        return [(f"tag {self.tag[k]}", f"size {size[k]}", f"linked {share[k]}", *([f"frame {min(2, paragraphs[k])} {own[k] > 0}"] if self.tag[k] in FRAME and not self.words[k] else []), *[f"word {w}" for w in self.words[k]]) for k in range(n)]
 
 
 class TreeModel:
@@ -155,6 +182,7 @@ class TreeModel:
         for source in pages:
             page = Page(source)
             label = [int(y or 0) for y in page.label]
+            label[0] = max([0, *(y for y, p in zip(label, page.parent, strict=True) if p == 0)])  # the root is what it holds
             root[label[0]] += 1
             for k, features in enumerate(page.seen()):
                 if k:

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import random
+import re
 
 # Usual markup of main texts and of what stands around them.
 CONTENT = (
     '<article data-y="1">{}</article>', '<main><article class="post" data-y="1">{}</article></main>', '<main data-y="1">{}</main>', '<div class="article-body" data-y="1">{}</div>',
     '<div id="content"><div class="entry-content" data-y="1">{}</div></div>', '<section class="post-content" data-y="1">{}</section>', '<div role="main"><div class="story-text" data-y="1">{}</div></div>',
     '<article data-y="1"><div class="text">{}</div></article>', '<div class="wrapper"><div class="page-body article" data-y="1">{}</div></div>',
+    '<div class="content" data-y="1">{}</div>', '<div id="main"><div class="content main-text" data-y="1">{}</div></div>', '<div data-y="1">{}</div>', '<div><div data-y="1">{}</div></div>', '<article data-y="1">{}</article>',
 )
+WHOLE = ('<body data-y="1">{}', '<body class="page" data-y="1"><div>{}</div>', '<body data-y="1"><div id="wrapper"><div class="inner">{}</div></div>')
+FORM = '<form method="post" action="/p" id="aspnetForm">{}</form>'
 LINKS = '<ul><li><a href="/a">{}</a></li><li><a href="/b">{}</a></li><li><a href="/c">{}</a></li></ul>'
 AROUND = (
     "<nav>" + LINKS + "</nav>", '<div class="menu">' + LINKS + "</div>", '<div id="navbar" class="nav">' + LINKS + "</div>", "<header><a>{}</a><p>{}</p></header>", '<div class="header"><h1>{}</h1><p>{}</p></div>',
@@ -17,6 +21,9 @@ AROUND = (
     '<div class="sponsored promo">{}<a href="/x">{}</a></div>', '<div class="banner"><p>{}</p></div>', '<div class="cookie-notice" role="dialog"><p>{}</p><p>{}</p></div>', '<div id="notice" class="alert">{}</div>', '<div class="newsletter subscribe popup"><p>{}</p></div>',
     '<div class="consent gdpr"><p>{}</p></div>', '<section id="comments" class="comments"><h2>{}</h2><div class="comment"><p>{}</p></div><div class="comment"><p>{} {}</p></div></section>', '<ol class="comment-list"><li class="comment"><p>{}</p></li><li class="comment reply"><p>{}</p></li></ol>',
     '<div id="disqus_thread" class="responses"><p>{}</p></div>', '<div class="related"><h3>{}</h3>' + LINKS + "</div>", '<div class="share social"><a href="#">{}</a><a href="#">{}</a></div>', '<div class="breadcrumb"><a href="/">{}</a> / <a href="/x">{}</a></div>',
+    '<form action="/s" class="search"><p>{}</p><input name="q"></form>', '<form class="login" method="post"><h3>{}</h3><p>{}</p><input></form>', '<div class="subscribe"><form><p>{}</p><input type="email"></form></div>', '<form id="contact-form"><fieldset><legend>{}</legend><p>{}</p></fieldset></form>',
+    '<section id="reader-comments"><h2>{}</h2><div class="comment"><p>{}</p><p>{}</p></div></section>', '<div class="comments-area"><div class="comment-body"><p>{}</p></div></div>', '<div class="discussion replies"><p>{}</p><p>{}</p></div>', '<ul class="tags meta"><li><a>{}</a></li><li><a>{}</a></li></ul>',
+    '<div class="pagination"><a>{}</a> <a>{}</a></div>', '<div class="toolbar topbar"><span>{}</span><a>{}</a></div>', '<div class="author-bio bio"><p>{}</p></div>', '<section class="recommended more-stories"><h3>{}</h3><p><a>{}</a></p></section>',
 )
 AFTER = ("<footer>{}</footer>", '<footer><p>{}</p><a href="/t">{}</a></footer>', '<div class="footer"><p>{}</p></div>', '<div id="footer" class="copyright">{}</div>')
 LETTERS = "eeetaoinshrdlucmfwypvbgkjqxz"
@@ -34,11 +41,11 @@ def _fill(rng: random.Random, shape: str, most: int) -> str:
 
 def _body(rng: random.Random) -> str:
     parts = [f"<h1>{_words(rng, 2, 10)}</h1>"] if rng.random() < 0.8 else []
-    for _ in range(rng.randint(1, 14)):
+    for _ in range(rng.choice((rng.randint(1, 3), rng.randint(1, 14)))):
         kind = rng.random()
         text = _words(rng, 1, rng.choice((3, 12, 40, 120)))
         if kind < 0.62:
-            link = f' <a href="/w">{_words(rng, 1, 4)}</a> ' if rng.random() < 0.2 else " "
+            link = f' <a href="/w">{_words(rng, 1, 4)}</a> ' if rng.random() < 0.5 else " "
             parts.append(f"<p>{text}{link}{_words(rng, 0, 20)}</p>")
         elif kind < 0.7:
             parts.append(f"<p><b>{text}<br><p>{_words(rng, 3, 60)}</p>")
@@ -56,14 +63,35 @@ def _body(rng: random.Random) -> str:
             parts.append(f"<div><p>{text} <em>{_words(rng, 1, 3)}</em> <strong>{_words(rng, 1, 3)}</strong> <span>{_words(rng, 1, 5)}</span></p></div>")
         if rng.random() < 0.06:
             parts.append('<div class="{}" data-y="0"><p>{}</p></div>'.format(rng.choice(("ad", "advert", "related", "share", "promo", "newsletter")), _words(rng, 2, 20)))
+    if rng.random() < 0.3:
+        name = rng.choice(('div class="comments"', 'section id="comments"', 'section id="reader-comments"', 'div class="comment-list"', 'div class="responses"', 'section class="user-comments"'))
+        parts.append(f'<{name} data-y="0">' + "".join(f'<div class="comment"><p>{_words(rng, 2, 30)}</p></div>' if rng.random() < 0.6 else f"<p>{_words(rng, 2, 30)}</p>" for _ in range(rng.randint(1, 5))) + f"</{name.split()[0]}>")
     return "".join(parts)
 
 
-def training_pages(count: int = 300, seed: int = 11) -> list[str]:
+def _plain(rng: random.Random) -> str:
+    """Paragraphs, or lines without any markup."""
+    if rng.random() < 0.3:
+        return "<br>".join(_words(rng, 3, 60) for _ in range(rng.randint(1, 4)))
+    link = lambda: f"<a href=\"/w\">{_words(rng, 1, 4)}</a> " * (rng.random() < 0.3)
+    return "".join(f"<p>{_words(rng, 1, rng.choice((5, 30, 90)))} {link()}{_words(rng, 1, 20)}</p>" for _ in range(rng.randint(1, 8)))
+
+
+def training_pages(count: int = 500, seed: int = 11) -> list[str]:
     """``count`` pages, the same for the same seed."""
     rng, pages = random.Random(seed), []
+    other = lambda shape, most: _fill(rng, re.sub(r"^<(\w+)", r'<\1 data-y="0"', shape), most)
     for _ in range(count):
-        before = "".join(_fill(rng, rng.choice(AROUND), rng.choice((3, 12, 40))) for _ in range(rng.randint(1, 5)))
-        after = "".join(_fill(rng, rng.choice(AROUND), rng.choice((3, 12, 40))) for _ in range(rng.randint(0, 3)))
-        pages.append(f"<!DOCTYPE html><html><head><title>x</title></head><body>{before}{rng.choice(CONTENT).replace('{}', _body(rng))}{after}{_fill(rng, rng.choice(AFTER), 15)}</body></html>")
+        before = "".join(other(rng.choice(AROUND), rng.choice((3, 12, 40))) for _ in range(rng.randint(1, 5)))
+        after = "".join(other(rng.choice(AROUND), rng.choice((3, 12, 40))) for _ in range(rng.randint(0, 3)))
+        last, head, kind = other(rng.choice(AFTER), 15), rng.choice(("<head><title>x</title></head>", "<head><title>x</title>", "")), rng.random()
+        if kind < 0.15:  # nothing but text
+            start = rng.choice(("", "", '<html data-y="1">', '<html data-y="1"><body>', '<div data-y="1">'))
+            pages.append(start + _plain(rng) if start else f'<b data-y="1">{_words(rng, 0, 2)}</b>{_words(rng, 3, 60)}' if rng.random() < 0.5 else "".join(f'<p data-y="1">{_words(rng, 1, rng.choice((3, 60)))}</p>' for _ in range(rng.choice((1, 1, 2, 4)))))
+        elif kind < 0.35:  # the page itself is the text
+            whole = rng.choice(WHOLE)
+            pages.append(f"<html>{head}{whole.split('{}')[0]}{before if rng.random() < 0.6 else ''}{_body(rng) if rng.random() < 0.6 else _plain(rng)}{after if rng.random() < 0.3 else ''}{last}{whole.split('{}')[1]}</body></html>")
+        else:
+            inside = f"{before}{rng.choice(CONTENT).replace('{}', _body(rng))}{after}{last}"
+            pages.append(f"<!DOCTYPE html><html>{head}<body>{FORM.replace('{}', inside) if rng.random() < 0.12 else inside}</body></html>")
     return pages
