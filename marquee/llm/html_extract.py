@@ -170,7 +170,9 @@ class Page:
             linked[self.parent[k]] += linked[k]
         size = np.searchsorted(LENGTHS, total, side="right")
         share = np.searchsorted(LINKED, linked / np.maximum(total, 1), side="right")
-        return [(f"tag {self.tag[k]}", f"size {size[k]}", f"linked {share[k]}", *([f"frame {min(2, paragraphs[k])} {own[k] > 0}"] if self.tag[k] in FRAME and not self.words[k] else []), *[f"word {w}" for w in self.words[k]]) for k in range(n)]
+        block = [t in BLOCKS or t in FRAME for t in self.tag]  # what stands inside a line goes with it, but for its class words
+        own_seen = lambda k: (f"tag {self.tag[k]}", f"size {size[k]}", f"linked {share[k]}") if block[k] else ()
+        return [(*own_seen(k), *([f"frame {min(2, paragraphs[k])} {own[k] > 0}"] if self.tag[k] in FRAME and not self.words[k] else []), *[f"word {w}" for w in self.words[k]]) for k in range(n)]
 
 
 class TreeModel:
