@@ -1,10 +1,10 @@
 """Registered queries of the library itself and the SQL that states their results."""
 
-from . import board, store, stream, text
+from . import announce, board, store, stream, text
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _part in (board, store, text, stream):
+for _part in (board, store, text, announce, stream):
     QUERIES |= _part.QUERIES
     SQL |= _part.SQL
 FLAGSHIP = "board_active"
