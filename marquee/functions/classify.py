@@ -103,6 +103,12 @@ def noise_reason(title: Column, summary: Column, url: Column, rules: RuleSet = F
     return F.coalesce(*steps)
 
 
+def subject_relevant(title: Column, college_type: Column, waived: Column, topics: tuple[str, ...], rules: RuleSet = FIXTURE) -> Column:
+    """A topic or an excellent word, and a word of the college's subject, which messaging sources need not have."""
+    topical = any_word(title, topics) | any_word(title, rules.excellent[1:])
+    return topical & (waived | F.when(college_type == "law", any_word(title, rules.law)).otherwise(any_word(title, rules.language)))
+
+
 def host(url: Column) -> Column:
     """Host in lower case without a leading ``www.``."""
     return F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")

@@ -6,8 +6,9 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SKIPPED = frozenset(("script", "style", "nav", "footer", "header", "iframe"))
@@ -59,6 +60,15 @@ def absolute(base: str, link: str) -> str | None:
     return joined if joined.startswith(("http://", "https://")) else None
 
 
+def absolute_links(base: str, link: str) -> Column:
+    """``absolute`` of two columns, in Arrow batches."""
+
+    def resolve(base: pd.Series, link: pd.Series) -> pd.Series:
+        return pd.Series([absolute(b or "", x or "") for b, x in zip(base, link, strict=True)], dtype=object)
+
+    return F.pandas_udf(resolve, "string")(base, link)
+
+
 def anchors(pages: DataFrame) -> DataFrame:
     """One row per anchor of each page: page_id, ord, href (absolute or null), text."""
 

@@ -128,3 +128,51 @@ def attribute(texts: DataFrame, dimension: DataFrame, text_col: str, id_col: str
     scored = named.withColumn("score", score).where(F.col("score") >= threshold)
     best = F.max_by(F.struct("university", "college"), F.struct("score", -F.col("ord"))).alias("best")
     return scored.groupBy(id_col).agg(best, F.max("score").alias("score")).select(id_col, "best.university", "best.college", "score")
+
+
+def attribute_feed(texts: DataFrame, targets: DataFrame, text_col: str, id_col: str, threshold: int = 7) -> DataFrame:
+    """Best target for each text; the university may be missing: university (+5), college or its first two characters (+4), subject (+2).
+
+    Nothing here is an equality, so every text meets every target; the planner broadcasts the directory of targets.
+    """
+    t = F.col(text_col)
+    law, language = t.contains("BUILDING") | t.contains("FURNITURE"), t.contains("MACHINERY") | t.contains("AUTOMOBILE") | t.contains("HOUSEHOLD")
+    own = ((F.col("college_type") == "law") & law) | ((F.col("college_type") == "foreign_lang") & language)
+    college = t.contains(F.col("college")) | t.contains(F.substring("college", 1, 2))
+    score = F.when(t.contains(F.col("university")), 5).otherwise(0) + F.when(college, 4).otherwise(0) + F.when(own, 2).otherwise(0)
+    scored = texts.select(id_col, text_col).join(targets, score >= threshold).withColumn("score", score)
+    best = F.max_by(F.struct("university", "college"), F.struct("score", -F.col("ord"))).alias("best")
+    return scored.groupBy(id_col).agg(best, F.max("score").alias("score")).select(id_col, "best.university", "best.college", "score")
+
+
+def attribute_by_domain(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """id, university, college: of the first target whose domain the url contains, else of the first one whose university the title contains.
+
+    ``targets`` has domain (empty if unknown) and ord, which breaks ties; both are empty where nothing fits.
+    """
+    first = lambda keys, name: targets.groupBy(*keys).agg(F.min_by(F.struct("university", "college"), "ord").alias(name), F.min("ord").alias(f"{name}_ord"))
+    domains = first(["domain"], "by_domain").where("domain <> ''")
+    named = targets.groupBy(F.col("university").alias("spoken")).agg(F.min_by(F.struct("university", "college"), "ord").alias("by_title"), F.min("ord").alias("by_title_ord"))
+    met = rows.join(domains, F.col("url").contains(F.col("domain")), "left").groupBy("id").agg(F.first("title").alias("title"), F.min_by("by_domain", "by_domain_ord").alias("by_domain"))
+    rest = met.where("by_domain is null").join(named, F.col("title").contains(F.col("spoken"))).groupBy("id").agg(F.min_by("by_title", "by_title_ord").alias("by_title"))
+    best = F.coalesce("by_domain", "by_title")
+    return met.join(rest, "id", "left").select("id", F.coalesce(best["university"], F.lit("")).alias("university"), F.coalesce(best["college"], F.lit("")).alias("college"))
+
+
+def match_existing(stored: DataFrame, arrived: DataFrame, width: int = 24) -> DataFrame:
+    """ord, id, leg: the stored row that an arrival is, by url, else by original url, else by its college and the start of its title.
+
+    Either title may contain the other's first ``width`` characters; the smallest id wins. Titles of a college meet as
+    distinct texts, so that many equal ones cost one comparison. Arrivals without any match are absent.
+    """
+    by_url = arrived.join(stored.select("url", F.col("id").alias("m1")), "url").groupBy("ord").agg(F.min("m1").alias("m1"))
+    moved = arrived.where("original_url <> url").join(stored.select(F.col("url").alias("original_url"), F.col("id").alias("m2")), "original_url").groupBy("ord").agg(F.min("m2").alias("m2"))
+    found = arrived.join(by_url, "ord", "left").join(moved, "ord", "left")
+    key = ["university", "college"]
+    titles = stored.where("title <> ''").groupBy(*key, F.col("title").alias("s_title")).agg(F.min("id").alias("s_id"))
+    asked = found.where("m1 is null and m2 is null and title <> ''").select("ord", *key, "title")
+    alike = F.col("s_title").contains(F.left("title", F.lit(width))) | F.col("title").contains(F.left("s_title", F.lit(width)))
+    by_title = asked.select(*key, "title").distinct().join(titles, key).where(alike).groupBy(*key, "title").agg(F.min("s_id").alias("m3"))
+    out = found.join(asked.join(by_title, [*key, "title"]).select("ord", "m3"), "ord", "left")
+    leg = F.when(F.col("m1").isNotNull(), "url").when(F.col("m2").isNotNull(), "original_url").when(F.col("m3").isNotNull(), "title")
+    return out.select("ord", F.coalesce("m1", "m2", "m3").alias("id"), leg.alias("leg")).where("id is not null")

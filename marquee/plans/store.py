@@ -191,11 +191,6 @@ def join_05(spark, sf_dir):
     return S.attribute(notices(spark, sf_dir), targets(spark, sf_dir), "title", "id")
 
 
-@query("join_06_feed_attribution", sql("SELECT id, university, college, score FROM scored WHERE score >= 7 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, ord) = 1", NOTICES, TARGETS, ATTRIBUTION))
-def join_06(spark, sf_dir):
-    return S.attribute(notices(spark, sf_dir), targets(spark, sf_dir), "title", "id", threshold=7)
-
-
 @query("join_07_enrichment", sql("""SELECT d.ord, coalesce(e.s_name, f.s_name) AS site FROM directory d
     LEFT JOIN (SELECT n_name AS university, c AS college, arg_max(s_name, s_suppkey) AS s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey, (SELECT 'BUILDING' AS c) WHERE s_suppkey % 2 = 0 GROUP BY ALL) e USING (university, college)
     LEFT JOIN (SELECT n_name AS university, arg_max(s_name, s_suppkey) AS s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL) f USING (university)""", DIRECTORY))

@@ -211,13 +211,6 @@ def agg_14(spark, sf_dir):
     return read(spark, sf_dir, "pages").groupBy(C.host(F.col("url")).alias("host")).agg(F.array_sort(F.collect_list("page_id")).alias("pages"))
 
 
-@query("proj_12_candidate_urls", "SELECT page_id, array_to_string([u, u || '/news', u || '/notice'], ' ') AS urls FROM (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS u FROM pages)")
-def proj_12(spark, sf_dir):
-    root = F.concat(F.try_parse_url("url", F.lit("PROTOCOL")), F.lit("://"), F.try_parse_url("url", F.lit("HOST")))
-    paths = F.array(F.lit(""), F.lit("/news"), F.lit("/notice"), F.lit("/news"))
-    return read(spark, sf_dir, "pages").select("page_id", F.array_join(F.array_distinct(F.transform(paths, lambda p: F.concat(root, p))), " ").alias("urls"))
-
-
 @query("proj_16_summary_block", "SELECT doc_id, string_split(text, '. ')[1] || chr(10) || '---more---' || chr(10) || 'lang: ' || lang AS summary FROM documents")
 def proj_16(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.concat(F.substring_index("text", ". ", 1), F.lit("\n---more---\nlang: "), "lang").alias("summary"))
