@@ -1,10 +1,11 @@
-"""Write side: upserts, coverage and pending tables, guards and merges, all as declarative plans.
+"""Write side: new states of the notice, coverage and pending tables, as declarative plans.
 
-Each function returns the table's new state. Plain Parquet has no MERGE; ``marquee.sources.versions`` commits a state.
+Each function returns a whole new state, since plain Parquet cannot change rows; ``marquee.sources.versions`` commits it.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from ..functions import classify as C
 from ..functions.temporal import merged_datetime
 
 KEY = ["university", "college", "college_type", "slot"]
-OVERWRITTEN = ("status", "title", "source")
+REPLACED = ("status", "title", "source")
 FILLED = ("deadline", "event_time", "event_format", "publish_date")
 
 
@@ -23,9 +24,9 @@ def first_per_key(rows: DataFrame, key: list, order: list) -> DataFrame:
 
 
 def upsert_notices(stored: DataFrame, arrived: DataFrame, at: Column) -> DataFrame:
-    """Merge arrivals by url: non-empty new values overwrite, a summary only if it is longer; others are inserted.
+    """Arrivals by url: values that are there replace the old ones, a summary only if it is longer; unknown urls are inserted.
 
-    Of several arrivals with one url the first (by ``ord``) counts. ``updated_at`` moves only if something changed.
+    Of several arrivals with one url the first (by ``ord``) counts. ``updated_at`` changes only with another value.
     event_type, university and college of a stored row never change.
     """
     new = first_per_key(arrived, ["url"], ["ord"]).select("url", *[F.col(c).alias(f"n_{c}") for c in arrived.columns if c != "url"])
@@ -33,7 +34,7 @@ def upsert_notices(stored: DataFrame, arrived: DataFrame, at: Column) -> DataFra
     is_new, met = F.col("id").isNull(), F.col("n_id").isNotNull()
     changed = F.lit(False)
     out = {}
-    for c in OVERWRITTEN:
+    for c in REPLACED:
         take = met & ~is_new & (F.coalesce(F.col(f"n_{c}"), F.lit("")) != "") & ~F.col(c).eqNullSafe(F.col(f"n_{c}"))
         out[c], changed = F.when(is_new | take, F.col(f"n_{c}")).otherwise(F.col(c)), changed | take
     for c in FILLED:
@@ -49,33 +50,39 @@ def upsert_notices(stored: DataFrame, arrived: DataFrame, at: Column) -> DataFra
 
 
 def collapse_prefixes(arrived: DataFrame, width: int = 24) -> DataFrame:
-    """In-batch fold: a row whose title's prefix is contained in an earlier kept title of its college (or the other way) is dropped.
+    """In-batch fold: a row goes if its title's start stands in an earlier title that stays, or that one's start in it.
 
-    The relation isn't transitive, so each (university, college) is folded in order of ``ord``; a college's arrivals of
-    one batch are few. Null titles count as empty and are kept apart.
+    Of equal titles of a college the first row (by ``ord``) stays, which a shuffle finds. The rest of the rule depends on
+    the order of rows, so the distinct titles of a college are folded one after another. Null and empty titles all stay.
     """
+    key = ["university", "college"]
+    titled = arrived.select("ord", *key, "title").where("title <> ''")
+    distinct = titled.groupBy(*key, "title").agg(F.min("ord").alias("ord"))
 
-    def fold(rows):
-        kept, titles = [], []
-        for _, row in rows.sort_values("ord").iterrows():
-            title = row["title"] or ""
-            if title and any(title[:width] in t or t[:width] in title for t in titles):
-                continue
-            titles += [title] if title else []
-            kept.append(row)
-        return rows.iloc[:0] if not kept else type(rows)(kept)[rows.columns.tolist()]
+    def fold(rows: pa.Table) -> pa.Table:
+        rows, stay, starts, whole = rows.sort_by("ord"), [], set(), []
+        for title in rows["title"].to_pylist():
+            start = title[:width]
+            taken = start in starts or any(start in t for t in whole) or any(s in title for s in starts)
+            stay.append(not taken)
+            if not taken:
+                starts.add(start)
+                whole.append(title)
+        return rows.filter(pa.array(stay, pa.bool_()))
 
-    return arrived.select("ord", "university", "college", "title").groupBy("university", "college").applyInPandas(fold, "ord long, university string, college string, title string")
+    shape = "ord long, university string, college string, title string"
+    folded = distinct.select("ord", *key, "title").groupBy(*key).applyInArrow(fold, shape)
+    return folded.union(arrived.where("coalesce(title, '') = ''").select("ord", *key, "title"))
 
 
 def coverage_upsert(parts: DataFrame) -> DataFrame:
-    """One row per key: newest touch, and the last known announcement id; touches carry no id. Idempotent."""
+    """One row per key: the newest time, and the last known announcement id, which some rows do not have. Idempotent."""
     known = F.max_by("announcement_id", F.when(F.col("announcement_id").isNotNull(), F.struct("touched_at", "announcement_id")))
     return parts.groupBy(*KEY).agg(known.alias("announcement_id"), F.max("touched_at").alias("updated_at"))
 
 
 def coverage_sync(listed: DataFrame, pending: DataFrame) -> DataFrame:
-    """Three rules: notices cover their slot, pending keys are touched, a notice slot touches its result slot."""
+    """Three rules: notices fill their slot, pending keys are renewed, and a notice slot renews its result slot."""
     own = listed.select(*KEY, F.col("id").alias("announcement_id"), F.col("updated_at").alias("touched_at"))
     none = F.lit(None).cast("long").alias("announcement_id")
     waiting = pending.select(*KEY, none, "touched_at")
@@ -83,10 +90,10 @@ def coverage_sync(listed: DataFrame, pending: DataFrame) -> DataFrame:
     return coverage_upsert(own.unionByName(waiting).unionByName(later))
 
 
-def pending_upsert(stored: DataFrame, misses: DataFrame) -> DataFrame:
-    """Search counts grow by one per miss; the kind is that of the newest miss."""
+def pending_upsert(stored: DataFrame, failed: DataFrame) -> DataFrame:
+    """Search counts grow by one per failed search; the kind is that of the newest one."""
     all_rows = stored.select("university", "college", "college_type", "search_count", "pending_kind", F.lit(0).alias("turn")).unionByName(
-        misses.select("university", "college", "college_type", F.lit(1).cast("long").alias("search_count"), F.when(C.text("base_url") == "", "domain_failure").otherwise("not_published").alias("pending_kind"), F.lit(1).alias("turn"))
+        failed.select("university", "college", "college_type", F.lit(1).cast("long").alias("search_count"), F.when(C.text("base_url") == "", "domain_failure").otherwise("not_published").alias("pending_kind"), F.lit(1).alias("turn"))
     )
     return all_rows.groupBy("university", "college", "college_type").agg(F.sum("search_count").alias("search_count"), F.max_by("pending_kind", F.struct("turn", "pending_kind")).alias("pending_kind"))
 
@@ -101,24 +108,24 @@ def snapshot(rows: DataFrame) -> DataFrame:
 
 
 def guarded(old: Column, new: Column, manual: Column) -> Column:
-    """Manual rows keep a value that the new one lacks, and an explicit time where the new one is only the end of a day."""
+    """Manual rows keep a value that is not in the new row, and an explicit time where the new one is only the end of a day."""
     return F.when(manual & (new.isNull() | (new.contains("23:59:59") & ~F.coalesce(old, F.lit("")).contains("23:59:59"))), old).otherwise(new)
 
 
 def enriched(rows: DataFrame) -> DataFrame:
-    """Fill nulls from what a model found (m_ columns), and prefer more precise dates."""
+    """Fill nulls from what a model found (m_ columns), and take the more precise dates."""
     return rows.withColumns({"deadline": merged_datetime(F.col("deadline"), F.col("m_deadline")), "event_time": F.coalesce("event_time", "m_event_time"), "event_format": F.coalesce("event_format", "m_event_format")})
 
 
 def attribute(texts: DataFrame, dimension: DataFrame, text_col: str, id_col: str, threshold: int = 9) -> DataFrame:
-    """Best target for each text: university contained (+5), college contained (+8) or its first two characters (+3), subject (+4 or -6).
+    """Best target for each text: university in it (+5), college in it (+8) or its first two characters (+3), topic (+4 or -6).
 
-    ``dimension`` is the directory of targets, which is small and broadcast; the first target (by ord) wins ties. The
-    containment test has no equality, so each text meets the distinct universities first, then that university's targets.
+    The first target (by ord) wins ties. A text is compared with the distinct universities first, then with the targets of
+    those it names; the planner broadcasts the directory while it is small.
     """
     t = F.col(text_col)
-    unis = dimension.select("university").distinct()
-    named = texts.select(id_col, text_col).join(F.broadcast(unis), t.contains(F.col("university"))).join(F.broadcast(dimension), "university")
+    universities = dimension.select("university").distinct()
+    named = texts.select(id_col, text_col).join(universities, t.contains(F.col("university"))).join(dimension, "university")
     law, language = t.contains("BUILDING") | t.contains("FURNITURE"), t.contains("MACHINERY") | t.contains("AUTOMOBILE") | t.contains("HOUSEHOLD")
     is_law = F.col("college_type") == "law"
     score = (
@@ -131,9 +138,9 @@ def attribute(texts: DataFrame, dimension: DataFrame, text_col: str, id_col: str
 
 
 def attribute_feed(texts: DataFrame, targets: DataFrame, text_col: str, id_col: str, threshold: int = 7) -> DataFrame:
-    """Best target for each text; the university may be missing: university (+5), college or its first two characters (+4), subject (+2).
+    """Best target for each text; the university may be missing: university (+5), college or its first two characters (+4), topic (+2).
 
-    Nothing here is an equality, so every text meets every target; the planner broadcasts the directory of targets.
+    Every text is compared with every target; the planner broadcasts the directory while it is small.
     """
     t = F.col(text_col)
     law, language = t.contains("BUILDING") | t.contains("FURNITURE"), t.contains("MACHINERY") | t.contains("AUTOMOBILE") | t.contains("HOUSEHOLD")
@@ -162,8 +169,8 @@ def attribute_by_domain(rows: DataFrame, targets: DataFrame) -> DataFrame:
 def match_existing(stored: DataFrame, arrived: DataFrame, width: int = 24) -> DataFrame:
     """ord, id, leg: the stored row that an arrival is, by url, else by original url, else by its college and the start of its title.
 
-    Either title may contain the other's first ``width`` characters; the smallest id wins. Titles of a college meet as
-    distinct texts, so that many equal ones cost one comparison. Arrivals without any match are absent.
+    Either title may contain the other's first ``width`` characters; the smallest id wins. Only distinct titles of a
+    college are compared, so that many equal ones cost one comparison. Arrivals without any match are absent.
     """
     by_url = arrived.join(stored.select("url", F.col("id").alias("m1")), "url").groupBy("ord").agg(F.min("m1").alias("m1"))
     moved = arrived.where("original_url <> url").join(stored.select(F.col("url").alias("original_url"), F.col("id").alias("m2")), "original_url").groupBy("ord").agg(F.min("m2").alias("m2"))

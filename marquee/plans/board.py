@@ -45,7 +45,7 @@ def src_01(spark, sf_dir):
 @query("src_02_keyed_scan", sql("SELECT t.university, t.college, n.id, n.url FROM targets t JOIN notices n USING (university, college) WHERE t.college_type = 'law' AND n.status IN ('active', 'ended')", NOTICES, TARGETS))
 def src_02(spark, sf_dir):
     keys = targets(spark, sf_dir).where("college_type = 'law'").select("university", "college")
-    return notices(spark, sf_dir).where(F.col("status").isin("active", "ended")).join(F.broadcast(keys), ["university", "college"]).select("university", "college", "id", "url")
+    return notices(spark, sf_dir).where(F.col("status").isin("active", "ended")).join(keys, ["university", "college"]).select("university", "college", "id", "url")
 
 
 @query("proj_01_output_view", sql("SELECT id, title, url, university, college, college_type, effective AS status, event_type, publish_date, deadline, event_time, event_format, category AS source, category AS source_category, summary, slot FROM labelled", NOTICES))
@@ -96,7 +96,7 @@ def proj_08(spark, sf_dir):
 def proj_09(spark, sf_dir):
     named = F.create_map(F.lit("ASIA"), F.lit("east"), F.lit("EUROPE"), F.lit("north"))
     n, r = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
-    return n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("province"), F.coalesce(named[F.col("r_name")], F.lit("other")).alias("region"))
+    return n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("province"), F.coalesce(named[F.col("r_name")], F.lit("other")).alias("region"))
 
 
 @query("proj_10_missing_fields", sql("SELECT id, concat_ws(',', CASE WHEN publish_date IS NULL THEN 'publish_date' END, CASE WHEN deadline IS NULL THEN 'deadline' END, CASE WHEN event_time IS NULL THEN 'event_time' END, CASE WHEN event_format IS NULL THEN 'event_format' END) AS missing FROM notices", NOTICES))
@@ -151,7 +151,7 @@ def pred_03(spark, sf_dir):
 @query("pred_04_tier_filter", sql("SELECT n.id FROM notices n WHERE university IN (SELECT university FROM (SELECT university, arg_max(tier, ord) AS tier FROM directory WHERE tier IS NOT NULL GROUP BY university) WHERE tier = '985')", NOTICES, DIRECTORY))
 def pred_04(spark, sf_dir):
     best = QUERIES["proj_08_tier"](spark, sf_dir).where("tier = '985'")
-    return notices(spark, sf_dir).join(F.broadcast(best), "university", "left_semi").select("id")
+    return notices(spark, sf_dir).join(best, "university", "left_semi").select("id")
 
 
 @query("pred_05_effective_filter", sql("SELECT id FROM labelled WHERE effective = 'ended'", NOTICES))
@@ -191,9 +191,9 @@ def agg_01(spark, sf_dir):
     return stats.join(F.broadcast(last), F.lit(True), "left")
 
 
-@query("agg_02_source_histogram", sql("SELECT c.category, count(l.id) AS n FROM (VALUES ('official'), ('search'), ('messaging'), ('forum'), ('submit'), ('manual')) c(category) LEFT JOIN labelled l ON l.category = c.category AND l.id % 2 = 0 GROUP BY 1", NOTICES))
+@query("agg_02_source_histogram", sql("SELECT c.category, count(l.id) AS n FROM (VALUES ('official'), ('search'), ('messaging'), ('forum'), ('submit'), ('manual')) c(category) LEFT JOIN labelled l ON l.category = c.category GROUP BY 1", NOTICES))
 def agg_02(spark, sf_dir):
-    counts = notices(spark, sf_dir).where("id % 2 = 0").groupBy(C.canonical_source().alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    counts = notices(spark, sf_dir).groupBy(C.canonical_source().alias("category")).agg(F.count(F.lit(1)).alias("n"))
     return spark.createDataFrame([(c,) for c in CATEGORIES], "category string").join(counts, "category", "left").select("category", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
@@ -208,10 +208,9 @@ def agg_04(spark, sf_dir):
     return directory(spark, sf_dir).rollup("region", "province").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().cast("long").alias("level"))
 
 
-@query("agg_05_filtered_totals", sql("SELECT region, count(*) AS total, count(*) FILTER (college_type = 'law') AS filtered_total, count(DISTINCT university) AS universities FROM directory WHERE region IN ('ASIA', 'EUROPE', 'AFRICA') GROUP BY region", DIRECTORY))
+@query("agg_05_filtered_totals", sql("SELECT region, count(*) AS total, count(*) FILTER (college_type = 'law') AS filtered_total, count(DISTINCT university) AS universities FROM directory GROUP BY region", DIRECTORY))
 def agg_05(spark, sf_dir):
-    order = spark.createDataFrame([("ASIA", 0), ("EUROPE", 1), ("AFRICA", 2)], "region string, place int")
-    return directory(spark, sf_dir).join(F.broadcast(order), "region").groupBy("region").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("college_type") == "law").alias("filtered_total"), F.countDistinct("university").alias("universities"))
+    return directory(spark, sf_dir).groupBy("region").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("college_type") == "law").alias("filtered_total"), F.countDistinct("university").alias("universities"))
 
 
 @query("json_03_nested_directory", sql("SELECT region, count(*) AS provinces, sum(n)::BIGINT AS rows FROM (SELECT region, province, count(*) AS n FROM directory GROUP BY ALL) GROUP BY region", DIRECTORY))
@@ -273,7 +272,12 @@ def sort_03(spark, sf_dir):
 
 @query("sort_05_label_order", sql("SELECT university, college, row_number() OVER (ORDER BY university, college) AS place FROM targets", TARGETS))
 def sort_05(spark, sf_dir):
-    return targets(spark, sf_dir).select("university", "college", F.row_number().over(W.orderBy("university", "college")).cast("long").alias("place"))
+    """Places in one order without a task that holds all rows: a place within the university, after the rows of those before it."""
+    t = targets(spark, sf_dir).select("university", "college")
+    sizes = t.groupBy("university").agg(F.count(F.lit(1)).alias("n"))
+    ahead = sizes.select("university", (F.sum("n").over(W.orderBy("university")) - F.col("n")).alias("ahead"))  # one row per university
+    own = F.row_number().over(W.partitionBy("university").orderBy("college"))
+    return t.withColumn("own", own).join(ahead, "university").select("university", "college", (F.col("ahead") + F.col("own")).alias("place"))
 
 
 @query("sort_07_region_order", "SELECT r_name AS region, CASE r_name WHEN 'ASIA' THEN 1 WHEN 'EUROPE' THEN 2 WHEN 'AFRICA' THEN 3 ELSE 0 END::BIGINT AS place FROM region")

@@ -60,7 +60,7 @@ def snk_01b(spark, sf_dir):
     return S.first_per_key(rows, ["url"], ["id"]).select("url", "id")
 
 
-@query("snk_01b_batch_prefix")
+@query("snk_01b_batch_prefix", sql("SELECT id AS ord, university, college, title FROM notices QUALIFY row_number() OVER (PARTITION BY university, college, title[1:24] ORDER BY id) = 1", NOTICES))
 def snk_01b_prefix(spark, sf_dir):
     return S.collapse_prefixes(notices(spark, sf_dir).withColumn("ord", F.col("id")))
 
@@ -94,9 +94,9 @@ def snk_06(spark, sf_dir):
     return S.pending_upsert(held, t)
 
 
-@query("snk_07_pending_delete", sql("SELECT university, college FROM pending ANTI JOIN (SELECT DISTINCT university, college FROM labelled WHERE slot IN ('camp_notice', 'pre_notice')) USING (university, college)", NOTICES, TARGETS, COVERED, PENDING))
+@query("snk_07_pending_delete", sql("SELECT university, college FROM pending ANTI JOIN (SELECT DISTINCT university, college FROM labelled WHERE slot IN ('camp_notice', 'pre_notice') AND college <> 'BUILDING') USING (university, college)", NOTICES, TARGETS, COVERED, PENDING))
 def snk_07(spark, sf_dir):
-    done = listed(spark, sf_dir).where(F.col("slot").isin("camp_notice", "pre_notice")).select("university", "college").distinct()
+    done = listed(spark, sf_dir).where(F.col("slot").isin("camp_notice", "pre_notice") & (F.col("college") != "BUILDING")).select("university", "college").distinct()
     return pending(spark, sf_dir).join(done, ["university", "college"], "left_anti").select("university", "college")
 
 
@@ -196,7 +196,7 @@ def join_05(spark, sf_dir):
     LEFT JOIN (SELECT n_name AS university, arg_max(s_name, s_suppkey) AS s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL) f USING (university)""", DIRECTORY))
 def join_07(spark, sf_dir):
     s, n = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "nation")
-    sites = s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey).withColumn("university", F.col("n_name"))
+    sites = s.join(n, s.s_nationkey == n.n_nationkey).withColumn("university", F.col("n_name"))
     exact = sites.where("s_suppkey % 2 = 0").groupBy("university").agg(F.max_by("s_name", "s_suppkey").alias("e")).withColumn("college", F.lit("BUILDING"))
     fallback = sites.groupBy("university").agg(F.max_by("s_name", "s_suppkey").alias("f"))
     return directory(spark, sf_dir).join(exact, ["university", "college"], "left").join(fallback, "university", "left").select("ord", F.coalesce("e", "f").alias("site"))
@@ -216,27 +216,28 @@ def join_11(spark, sf_dir):
 
 @query("join_12_target_lookup", sql("SELECT id, ord FROM notices JOIN targets USING (university, college)", NOTICES, TARGETS))
 def join_12(spark, sf_dir):
-    return notices(spark, sf_dir).join(F.broadcast(targets(spark, sf_dir).select("university", "college", "ord")), ["university", "college"]).select("id", "ord")
+    return notices(spark, sf_dir).join(targets(spark, sf_dir).select("university", "college", "ord"), ["university", "college"]).select("id", "ord")
 
 
-@query("join_13_url_conflict", sql("SELECT a.id FROM notices a SEMI JOIN (SELECT url, id - 1 AS other FROM notices) b ON a.url = b.url AND a.id <> b.other", NOTICES))
+@query("join_13_url_conflict", sql("SELECT id FROM (SELECT id, count(*) OVER (PARTITION BY regexp_replace(url, '/[0-9]+\\.htm$', '')) AS n FROM notices) WHERE n > 1", NOTICES))
 def join_13(spark, sf_dir):
-    n = notices(spark, sf_dir)
-    other = n.select(F.col("url").alias("u"), (F.col("id") - 1).alias("other"))
-    return n.join(other, (F.col("url") == F.col("u")) & (F.col("id") != F.col("other")), "left_semi").select("id")
+    """Rows whose address another row has too (addresses cut to the publisher's folder, so that some are equal)."""
+    n = notices(spark, sf_dir).select("id", F.regexp_replace("url", r"/[0-9]+\.htm$", "").alias("url"))
+    shared = n.groupBy("url").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("url")
+    return n.join(shared, "url", "left_semi").select("id")
 
 
 @query("join_14_calendar", "SELECT n_name AS university, CASE WHEN n_nationkey % 5 = 0 THEN '06-15' ELSE '07-01' END AS start, '08-20' AS finish FROM nation")
 def join_14(spark, sf_dir):
     n = read(spark, sf_dir, "nation")
     own = n.where("n_nationkey % 5 = 0").select("n_name", F.lit("06-15").alias("own"))
-    return n.join(F.broadcast(own), "n_name", "left").select(F.col("n_name").alias("university"), F.coalesce("own", F.lit("07-01")).alias("start"), F.lit("08-20").alias("finish"))
+    return n.join(own, "n_name", "left").select(F.col("n_name").alias("university"), F.coalesce("own", F.lit("07-01")).alias("start"), F.lit("08-20").alias("finish"))
 
 
-@query("set_01_source_union", sql("SELECT url, arg_min(src, rank) AS src FROM (SELECT url, 'search' AS src, 0 AS rank FROM notices WHERE id % 2 = 0 UNION ALL SELECT url, 'official', 1 FROM notices WHERE id % 3 = 0) GROUP BY url", NOTICES))
+@query("set_01_source_union", sql("SELECT url, arg_min(src, rank) AS src FROM (SELECT url, 'search' AS src, 0 AS rank FROM notices WHERE id % 2 = 0 UNION ALL SELECT url, 'official', 1 FROM notices WHERE id % 3 = 0 OR id % 2 <> 0) GROUP BY url", NOTICES))
 def set_01(spark, sf_dir):
     n = notices(spark, sf_dir)
-    both = n.where("id % 2 = 0").select("url", F.lit("search").alias("src"), F.lit(0).alias("rank")).unionByName(n.where("id % 3 = 0").select("url", F.lit("official").alias("src"), F.lit(1).alias("rank")))
+    both = n.where("id % 2 = 0").select("url", F.lit("search").alias("src"), F.lit(0).alias("rank")).unionByName(n.where("id % 3 = 0 or id % 2 <> 0").select("url", F.lit("official").alias("src"), F.lit(1).alias("rank")))
     return both.groupBy("url").agg(F.min_by("src", "rank").alias("src"))
 
 
@@ -264,7 +265,12 @@ def win_03(spark, sf_dir):
 
 @query("win_05_running_counts", sql("SELECT id, sum(found) OVER (PARTITION BY board ORDER BY started_at, id)::BIGINT AS so_far FROM runs", RUNS))
 def win_05(spark, sf_dir):
-    return runs(spark, sf_dir).select("id", F.sum("found").over(W.partitionBy("board").orderBy("started_at", "id").rowsBetween(W.unboundedPreceding, 0)).alias("so_far"))
+    """Running totals by days: what all days before found, and the running total within the day, so that no task holds a board."""
+    r = runs(spark, sf_dir).select("id", "board", "found", "started_at", F.to_date("started_at").alias("day"))
+    days = r.groupBy("board", "day").agg(F.sum("found").alias("n"))
+    ahead = days.select("board", "day", (F.sum("n").over(W.partitionBy("board").orderBy("day")) - F.col("n")).alias("ahead"))
+    own = F.sum("found").over(W.partitionBy("board", "day").orderBy("started_at", "id").rowsBetween(W.unboundedPreceding, 0))
+    return r.withColumn("own", own).join(ahead, ["board", "day"]).select("id", (F.col("own") + F.col("ahead")).alias("so_far"))
 
 
 @query("win_06_batches", sql("SELECT university, college, (row_number() OVER (PARTITION BY university ORDER BY ord) - 1) // 3 AS batch FROM targets", TARGETS))
@@ -280,8 +286,10 @@ def win_07(spark, sf_dir):
 
 @query("agg_08_empty_streak", sql("SELECT board, count(*) FILTER (later = 0) AS streak FROM (SELECT board, sum((found > 0)::INT) OVER (PARTITION BY board ORDER BY started_at DESC, id DESC) AS later FROM runs) GROUP BY board", RUNS))
 def agg_08(spark, sf_dir):
-    later = F.sum((F.col("found") > 0).cast("int")).over(W.partitionBy("board").orderBy(F.desc("started_at"), F.desc("id")).rowsBetween(W.unboundedPreceding, 0))
-    return runs(spark, sf_dir).withColumn("later", later).groupBy("board").agg(F.count_if(F.col("later") == 0).alias("streak"))
+    """Runs after the newest one that found something."""
+    r = runs(spark, sf_dir).withColumn("moment", F.struct("started_at", "id"))
+    last = r.groupBy("board").agg(F.max(F.when(F.col("found") > 0, F.col("moment"))).alias("last"))
+    return r.join(last, "board").groupBy("board").agg(F.count_if(F.col("last").isNull() | (F.col("moment") > F.col("last"))).alias("streak"))
 
 
 @query("agg_07_alerts", sql("SELECT 'needs_manual' AS alert, n FROM (SELECT count(*) AS n FROM (SELECT ann_id FROM fails WHERE op = 'fail' GROUP BY ann_id HAVING count(*) >= 2)) WHERE n >= 10", FAILS))

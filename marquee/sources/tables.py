@@ -13,7 +13,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One notice per order. Nation is a dimension of 25 rows; customers join by their key."""
     o, c, n = (read(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
-    base = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
+    base = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
     day = lambda days: f"date_format(o_orderdate + INTERVAL {days} DAY, 'yyyy-MM-dd')"
     return base.selectExpr(
         "o_orderkey AS id",
@@ -37,7 +37,7 @@ def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, n, r = (read(spark, sf_dir, t) for t in ("customer", "nation", "region"))
-    return c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).join(F.broadcast(r), n.n_regionkey == r.r_regionkey).selectExpr(
+    return c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).selectExpr(
         "c_custkey AS ord", "n_name AS university", "c_mktsegment AS college", "CASE WHEN c_mktsegment IN ('BUILDING', 'FURNITURE') THEN 'law' ELSE 'foreign_lang' END AS college_type",
         "n_name AS province", "r_name AS region", "CASE c_custkey % 4 WHEN 0 THEN array('985', '211', 'dual') WHEN 1 THEN array('211', 'dual') WHEN 2 THEN array('dual') ELSE array() END AS tags",
     )
@@ -45,7 +45,7 @@ def directory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, n = read(spark, sf_dir, "customer"), read(spark, sf_dir, "nation")
-    base = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).groupBy("n_nationkey", "n_name", "c_mktsegment").agg(F.min("c_custkey").alias("ord"))
+    base = c.join(n, c.c_nationkey == n.n_nationkey).groupBy("n_nationkey", "n_name", "c_mktsegment").agg(F.min("c_custkey").alias("ord"))
     return base.selectExpr(
         "ord", "n_name AS university", "c_mktsegment AS college", "CASE WHEN c_mktsegment IN ('BUILDING', 'FURNITURE') THEN 'law' ELSE 'foreign_lang' END AS college_type",
         "CASE WHEN n_nationkey % 9 = 0 THEN '' ELSE concat('https://n', n_nationkey, '.example.org') END AS base_url",

@@ -2,73 +2,74 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.store import first_per_key
-from ..sources.versions import VersionedTable, fresh
+from ..sources.versions import fresh
 
 #: Failure types that need a person at once, and how many other failures do.
 IMMEDIATE, MOST = ("no_content", "pdf_garble", "empty_fields", "forum_needs_link"), 2
 
 
-def events_stream(spark: SparkSession, sf_dir: str, files: int = 1) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/events.parquet*")
+#: Files that the event log is split into by time, and which events arrive in one more file after all others.
+FILES, LATE = 10, "event_id % 97 = 0"
+
 
+def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log as files that arrive one after another, each in a micro-batch of its own; late events come last."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    root, on_time = fresh(spark, "arriving-events"), events.where(f"not ({LATE})")
+    span = on_time.agg(F.min("ts").cast("timestamp").cast("double").alias("first"), F.max("ts").cast("timestamp").cast("double").alias("last")).first()
+    step = max(1.0, (span["last"] or 0.0) - (span["first"] or 0.0)) / FILES
+    number = F.least(F.lit(FILES - 1), F.floor((F.col("ts").cast("timestamp").cast("double") - F.lit(span["first"] or 0.0)) / step))
+    for k in range(FILES):
+        on_time.where(number == k).coalesce(1).write.mode("append").parquet(root)
+    events.where(LATE).coalesce(1).write.mode("append").parquet(root)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(root)
 
-def run_to_table(stream: DataFrame, name: str, mode: str, fold: Callable[[DataFrame | None, DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Run a query over all that is there; each micro-batch commits a new state of a versioned table, made by ``fold``.
 
-    A batch that is tried again after a failure starts from the state before it: its number names its version.
+def run_to_table(changes: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Run a query over all that is there, and give the last state of each key.
+
+    The query's state is in Spark's state store; each micro-batch writes the rows that it changed under its number, so a
+    batch that is tried again after a failure replaces its own rows, and time and disk grow with the changes alone.
     """
-    spark = stream.sparkSession
+    spark = changes.sparkSession
     root = fresh(spark, name)
-    table = VersionedTable(spark, root)
 
     def commit(batch: DataFrame, number: int) -> None:
-        if number + 1 in table.versions():
-            return
-        before = table.read() if number else None
-        (batch if fold is None else fold(before, batch)).write.mode("overwrite").parquet(f"{root}/v{number + 1}")
+        batch.write.mode("overwrite").parquet(f"{root}/batch={number}")
 
-    stream.writeStream.outputMode(mode).foreachBatch(commit).option("checkpointLocation", f"{root}-checkpoint").trigger(availableNow=True).start().awaitTermination()
-    found = table.read()
-    return spark.createDataFrame([], stream.schema) if found is None else found
+    query = changes.writeStream.outputMode("update").foreachBatch(commit).option("checkpointLocation", f"{root}-checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    if not query.recentProgress:
+        return spark.createDataFrame([], changes.schema)
+    found = spark.read.option("basePath", root).schema(StructType([*changes.schema.fields, StructField("batch", IntegerType())])).parquet(root)
+    return first_per_key(found, keys, [F.desc("batch")]).drop("batch")
 
 
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts per six hours and kind, with late rows up to a day."""
+    """Counts per six hours and kind. Late rows count while their window ends after the newest event, two batches before, less one day."""
     stream = events_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day")
     counts = stream.groupBy(F.window("ts", "6 hours").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return run_to_table(counts.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n"), "event-windows", "complete")
+    return run_to_table(counts.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n"), "event-windows", ["start", "event_type"])
 
 
 def seen_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first event of each user and kind over all micro-batches."""
-
-    def fold(before: DataFrame | None, batch: DataFrame) -> DataFrame:
-        rows = batch if before is None else before.unionByName(batch)
-        return first_per_key(rows, ["user_id", "event_type"], ["event_id"])
-
-    return run_to_table(events_stream(spark, sf_dir).select("user_id", "event_type", "event_id"), "seen-keys", "append", fold)
+    first = events_stream(spark, sf_dir).groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+    return run_to_table(first, "seen-keys", ["user_id", "event_type"])
 
 
 def buffered_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running totals per board, as a buffered writer keeps them."""
-
-    def fold(before: DataFrame | None, batch: DataFrame) -> DataFrame:
-        now = batch.groupBy("board").agg(F.count(F.lit(1)).alias("items"))
-        both = now if before is None else before.unionByName(now)
-        return both.groupBy("board").agg(F.sum("items").alias("items"))
-
-    boards = events_stream(spark, sf_dir).select(F.when(F.col("user_id") % 2 == 0, "summer_camp").otherwise("pre_admission").alias("board"))
-    return run_to_table(boards, "buffered-totals", "append", fold)
+    board = F.when(F.col("user_id") % 2 == 0, "summer_camp").otherwise("pre_admission").alias("board")
+    return run_to_table(events_stream(spark, sf_dir).groupBy(board).agg(F.count(F.lit(1)).alias("items")), "buffered-totals", ["board"])
 
 
 def failure_state(fails: DataFrame) -> DataFrame:
@@ -88,7 +89,7 @@ def failure_state(fails: DataFrame) -> DataFrame:
 
 
 def fold_failures(key, batches, state: GroupState):
-    """The same fold, event by event, in the state of a stream."""
+    """The same fold, event by event in the order of arrival, in the state of a stream."""
     count, flag, there = state.get if state.exists else (0, False, False)
     for rows in batches:
         for op, kind in rows.sort_values(["ts", "event_id"])[["op", "failure_type"]].itertuples(index=False):
@@ -111,7 +112,4 @@ def failure_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = "ann_id long, count long, needs_manual boolean, there boolean"
     folded = stream.groupBy("ann_id").applyInPandasWithState(fold_failures, shape, "count long, needs_manual boolean, there boolean", "update", GroupStateTimeout.NoTimeout)
 
-    def latest(before: DataFrame | None, batch: DataFrame) -> DataFrame:
-        return batch if before is None else before.join(batch, "ann_id", "left_anti").unionByName(batch)
-
-    return run_to_table(folded, "failure-state", "update", latest).where("there").drop("there")
+    return run_to_table(folded, "failure-state", ["ann_id"]).where("there").drop("there")
