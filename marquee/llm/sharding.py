@@ -23,6 +23,10 @@ class CommitConflict(RuntimeError):
     """Another writer has committed the version first."""
 
 
+class _MergedElsewhere(Exception):
+    """Another writer has merged runs of this merge."""
+
+
 class ShardStore:
     """Shards under one folder of any file system that Spark reaches."""
 
@@ -119,16 +123,19 @@ class ShardStore:
 
             def replaced(runs: list[dict], merged=merged, gone=gone) -> list[dict]:
                 if not gone <= {r["path"] for r in runs}:
-                    raise ValueError("a merged run has gone meanwhile")
+                    raise _MergedElsewhere
                 return [*(r for r in runs if r["path"] not in gone), merged]
 
-            self._change(replaced)
+            try:
+                self._change(replaced)
+            except _MergedElsewhere:  # another writer was first: its runs count, and this one's files go
+                self._fs.delete(self._path(folder), True)
 
-    def read(self, version: int | None = None) -> DataFrame | None:
-        """All rows of a version with the name of their run; None if there are no runs."""
+    def read(self, version: int | None = None, run_col: str = "run") -> DataFrame | None:
+        """All rows of a version with the name of their run in ``run_col``; None if there are no runs."""
         whole = None
         for run in self.runs(version):
-            part = self.spark.read.parquet(run["path"]).withColumn("run", F.lit(run["name"]))
+            part = self.spark.read.parquet(run["path"]).withColumn(run_col, F.lit(run["name"]))
             whole = part if whole is None else whole.unionByName(part)
         return whole
 
@@ -150,11 +157,17 @@ class ShardStore:
 def shard(docs: DataFrame, root: str, arrivals: int = 8, id_col: str = "doc_id") -> DataFrame:
     """Store ``docs`` as arrivals by id modulo ``arrivals``, compacted; every row back from the newest version, with ``run``.
 
-    Null ids arrive first, with 0. All columns are kept; a column named run or _arrival is not allowed. Null and long
-    texts and repeated rows are stored as they are; an empty table gives no runs and an empty result.
+    Null ids arrive first, with 0. All columns are kept under their names; where one is called ``run``, the operator's own
+    column is ``_run``, or has as many more underscores as it takes. Null and long texts and repeated rows are stored as
+    they are; an empty table gives no runs and an empty result.
     """
+    run, arrival = "run", "_arrival"
+    while run in docs.columns:
+        run = f"_{run}"
+    while arrival in docs.columns:
+        arrival = f"_{arrival}"
     store = ShardStore(docs.sparkSession, root)
-    store.append(docs.withColumn("_arrival", F.coalesce(F.pmod(F.col(id_col), F.lit(arrivals)), F.lit(0)).cast("int")), "_arrival")
+    store.append(docs.withColumn(arrival, F.coalesce(F.pmod(F.col(id_col), F.lit(arrivals)), F.lit(0)).cast("int")), arrival)
     store.vacuum()
-    whole = store.read()
-    return docs.limit(0).withColumn("run", F.lit("")) if whole is None else whole
+    whole = store.read(run_col=run)
+    return docs.limit(0).withColumn(run, F.lit("")) if whole is None else whole
