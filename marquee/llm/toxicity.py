@@ -113,7 +113,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC
     bounded = known.where("toxic > 0").orderBy("order", "doc_id").limit(max_toxic).union(known.where("toxic <= 0").orderBy("order", "doc_id").limit(max_clean))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     picked = bounded.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
-    return texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    # of several texts of one id always the same one
+    one = F.min(F.struct(F.xxhash64("text").alias("order"), "text", "toxic")).alias("one")
+    return texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(one).select("doc_id", "one.text", "one.toxic")
 
 
 def train(sample: DataFrame) -> tuple[np.ndarray, float]:
