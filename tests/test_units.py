@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,8 +90,24 @@ def test_rest_without_llm():
     import subprocess
     import sys
 
-    code = "import sys; sys.modules['x']=1; import marquee.plans.registry, pkgutil; assert not [m for m in sys.modules if m.startswith('marquee.llm')]"
+    code = "import sys; import marquee.plans.registry; assert not [m for m in sys.modules if m.startswith('marquee.llm')]"
     subprocess.run([sys.executable, "-c", code], check=True)
+    blocked = "import sys; sys.modules['marquee.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert len(e.queries()) > 150 and not [k for k in e.queries() if k.startswith('op') or k == 'pipeline']"
+    subprocess.run([sys.executable, "-c", blocked], check=True, cwd=Path(__file__).parent.parent)
+
+
+def test_similar_titles_against_brute_force(spark):
+    """All pairs of distinct titles of a college, not only neighbours."""
+    from difflib import SequenceMatcher
+
+    from marquee.functions.similarity import similarity
+
+    texts = ["a notice of the school", "a notice of the schools", "the notice of a school", "x", "a list", "a lists"]
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts if a < b], "a string, b string")
+    found = {(r.a, r.b): round(r.ratio, 6) for r in pairs.select("a", "b", similarity("a", "b").alias("ratio")).collect()}
+    assert found == {(a, b): round(SequenceMatcher(None, a, b).ratio(), 6) for a in texts for b in texts if a < b}
+    for (a, b), ratio in found.items():
+        assert ratio <= 2 * min(len(a), len(b)) / (len(a) + len(b)) + 1e-6
 
 
 def test_domain_rules(spark):
