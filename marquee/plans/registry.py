@@ -1,10 +1,10 @@
 """Registered queries of the library itself and the SQL that states their results."""
 
-from . import announce, board, resolve, store, stream, text
+from . import announce, board, flows, resolve, store, stream, text
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _part in (board, store, text, announce, resolve, stream):
+for _part in (board, store, text, announce, resolve, flows, stream):
     QUERIES |= _part.QUERIES
     SQL |= _part.SQL
 FLAGSHIP = "board_active"

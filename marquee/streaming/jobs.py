@@ -113,3 +113,42 @@ def failure_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     folded = stream.groupBy("ann_id").applyInPandasWithState(fold_failures, shape, "count long, needs_manual boolean, there boolean", "update", GroupStateTimeout.NoTimeout)
 
     return run_to_table(folded, "failure-state", ["ann_id"]).where("there").drop("there")
+
+
+def incremental_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that each of two scheduled runs took: the second one takes only what has arrived since; one query at a time."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    inbox, root = fresh(spark, "inbox"), fresh(spark, "scheduled-runs")
+    for run, part in ((1, events.where("event_id % 3 > 0")), (2, events.where("event_id % 3 = 0"))):
+        part.write.mode("append").parquet(inbox)
+
+        def commit(batch: DataFrame, number: int, run: int = run) -> None:
+            batch.groupBy().count().write.mode("overwrite").parquet(f"{root}/run={run}/batch={number}")
+
+        stream = spark.readStream.schema(events.schema).parquet(inbox)
+        stream.writeStream.foreachBatch(commit).option("checkpointLocation", f"{root}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    taken = spark.read.schema("count long, run int, batch int").parquet(root)
+    return taken.groupBy("run").agg(F.sum("count").alias("n"))
+
+
+def learned_rules(spark: SparkSession, rows: DataFrame, parts: int = 4, width: int = 24) -> DataFrame:
+    """id, rejected: each batch is judged by the title starts that rejected rows of earlier batches have taught.
+
+    Every 200th row is rejected by a model (a stand-in) and teaches. Rules are a table that each batch reads anew.
+    """
+    inbox, root = fresh(spark, "arriving-notices"), fresh(spark, "judged-notices")
+    whole = rows.select("id", "title")
+    most = whole.agg(F.max("id")).first()[0] or 0
+    for k in range(parts):
+        whole.where(F.floor(F.col("id") * parts / (most + 1)) == k).coalesce(1).write.mode("append").parquet(inbox)
+
+    def judge(batch: DataFrame, number: int) -> None:
+        start = F.left("title", F.lit(width))
+        rules = spark.read.schema("start string, batch int").parquet(f"{root}-rules").where(F.col("batch") < number).select("start").distinct() if number else spark.createDataFrame([], "start string")
+        judged = batch.withColumn("start", start).join(rules.withColumn("known", F.lit(True)), "start", "left")
+        judged.select("id", F.coalesce("known", F.lit(False)).alias("rejected")).write.mode("overwrite").parquet(f"{root}/batch={number}")
+        batch.where("id % 200 = 0").select(start.alias("start")).distinct().write.mode("overwrite").parquet(f"{root}-rules/batch={number}")
+
+    stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    stream.writeStream.foreachBatch(judge).option("checkpointLocation", f"{root}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("id long, rejected boolean, batch int").parquet(root).drop("batch")
