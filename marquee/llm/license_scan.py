@@ -33,6 +33,14 @@ TEMPLATES = {
     "Apache-2.0-header": "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
     "BSD-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "GPL-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "LGPL-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "AGPL-header": "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
+    "ISC-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "BSL-1.0-grant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit the Software",
+    "Zlib-grant": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
+    "Warranty-disclaimer": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT",
     "CC-BY-SA-4.0": "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License",
 }
 
@@ -53,23 +61,27 @@ def _bands(hashes: Column) -> Column:
     return F.array(*[F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(k)))) for k in range(BANDS)])
 
 
-def template_bands(docs: DataFrame, templates: dict[str, str]) -> tuple[list[int], list[int], list[int]]:
-    """Shingle hashes of the short templates, those of the long ones, and the bands of the long ones' pieces."""
+def template_bands(docs: DataFrame, templates: dict[str, str]) -> tuple[list[int], list[int], dict[str, list[int]]]:
+    """Shingle hashes of the short templates, those of the long ones, and for each long one the bands of its pieces."""
     short, long, pieces = [], [], []
-    for text in templates.values():
+    for name, text in templates.items():
         own = shingles_of(text)
-        (short if len(own) <= STEP else long).append(own)
+        (short if len(own) <= STEP else long).append((name, own))
         if len(own) > STEP:
-            pieces += [own[i : i + 2 * STEP] for i in range(max(len(own) - 2 * STEP + 1, 1))]
+            pieces += [(name, own[i : i + 2 * STEP]) for i in range(max(len(own) - 2 * STEP + 1, 1))]
     spark = docs.sparkSession
 
-    def values(lists: list[list[str]], of: Callable[[Column], Column]) -> list[int]:
+    def values(lists: list[tuple[str, list[str]]], of: Callable[[Column], Column]) -> list[tuple[str, int]]:
         if not lists:
             return []
-        table = spark.createDataFrame([(x,) for x in lists], "s array<string>").select(F.transform("s", _hash).alias("h"))
-        return sorted(r.v for r in table.select(F.explode(of(F.col("h"))).alias("v")).distinct().collect())
+        table = spark.createDataFrame(lists, "name string, s array<string>").select("name", F.transform("s", _hash).alias("h"))
+        return sorted((r["name"], r.v) for r in table.select("name", F.explode(of(F.col("h"))).alias("v")).distinct().collect())
 
-    return values(short, lambda h: h), values(long, lambda h: h), values(pieces, _bands)
+    bands: dict[str, list[int]] = {}
+    for name, v in values(pieces, _bands):
+        bands.setdefault(name, []).append(v)
+    plain = lambda found: sorted({v for _, v in found})
+    return plain(values(short, lambda h: h)), plain(values(long, lambda h: h)), bands
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,7 +111,10 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_co
     by_one = places_of(singles)
     # the windows that hold such a shingle: the one of its block and the one before
     near = F.filter(F.array_distinct(F.flatten(F.transform(places_of(parts), lambda i: F.array(F.floor(i / STEP) - 1, F.floor(i / STEP))))), lambda j: j >= 0)
-    by_many = F.filter(near, lambda j: F.exists(_bands(F.slice("h", (j * STEP + 1).cast("int"), F.lit(2 * STEP))), lambda v: v.isin(bands))) if bands else F.array().cast("array<long>")
+    # of each such window the bands that some template has; those tell which templates are measured there
+    known = sorted({v for own in bands.values() for v in own})
+    met = F.transform(near, lambda j: F.struct(j.cast("long").alias("j"), F.filter(_bands(F.slice("h", (j * STEP + 1).cast("int"), F.lit(2 * STEP))), lambda v: v.isin(known)).alias("bands")))
+    by_many = F.filter(met, lambda x: F.size(x["bands"]) > 0) if bands else F.array().cast("array<struct<j:bigint,bands:array<bigint>>>")
     # a generator, not a filter: a filter would be pushed below and evaluate everything it refers to anew
     hits = F.filter(F.array(F.struct(by_one.alias("one"), by_many.alias("many"))), lambda x: (F.size(x["one"]) > 0) | (F.size(x["many"]) > 0))
     found = hashed.select("doc_id", "words", F.explode(hits).alias("hits")).select("doc_id", "words", "hits.*")
@@ -110,7 +125,10 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_co
         shared = F.array_max(F.transform(regions, lambda r: F.size(F.array_intersect(F.slice("s", (r * n + 1).cast("int"), F.lit(2 * n)), constants))))
         return F.struct(F.lit(name).alias("template"), F.coalesce(shared, F.lit(0)).cast("long").alias("n_shared"), F.lit(n).cast("long").alias("n_shingles"))
 
-    places = F.flatten(F.transform("many", lambda j: F.sequence(j * STEP, j * STEP + 2 * STEP - 1)))
-    measured = [measure(name, sorted(set(shingles_of(text))), F.col("one") if len(shingles_of(text)) <= STEP else places) for name, text in templates.items()]
+    def places(name: str) -> Column:
+        retrieved = F.filter("many", lambda x: F.arrays_overlap(x["bands"], F.array(*map(F.lit, bands[name]))))
+        return F.flatten(F.transform(retrieved, lambda x: F.sequence(x["j"] * STEP, x["j"] * STEP + 2 * STEP - 1)))
+
+    measured = [measure(name, sorted(set(shingles_of(text))), F.col("one") if len(shingles_of(text)) <= STEP else places(name)) for name, text in templates.items()]
     out = shingled.select("doc_id", F.explode(F.filter(F.array(*measured), lambda m: m["n_shared"] * DEN >= m["n_shingles"] * NUM)).alias("m"))
     return out.select("doc_id", "m.*", F.round(F.col("m.n_shared") / F.col("m.n_shingles"), 6).alias("containment"))
