@@ -183,3 +183,24 @@ def match_existing(stored: DataFrame, arrived: DataFrame, width: int = 24) -> Da
     out = found.join(asked.join(by_title, [*key, "title"]).select("ord", "m3"), "ord", "left")
     leg = F.when(F.col("m1").isNotNull(), "url").when(F.col("m2").isNotNull(), "original_url").when(F.col("m3").isNotNull(), "title")
     return out.select("ord", F.coalesce("m1", "m2", "m3").alias("id"), leg.alias("leg")).where("id is not null")
+
+
+def upsert_matched(stored: DataFrame, arrived: DataFrame, at: Column) -> DataFrame:
+    """id, url, title, deadline, summary, updated_at, change of all rows after arrivals were found by ``match_existing``.
+
+    Of several arrivals that are one stored row the first (by ``ord``) counts. The row takes the arrival's url; another
+    stored row that has this url goes. Titles and deadlines that are there replace the old ones, a summary only if it is
+    longer. Arrivals that are no stored row are inserted, one for each url, with their ``ord`` as id.
+    """
+    columns = ["url", "title", "deadline", "summary"]
+    met = match_existing(stored, arrived)
+    new = first_per_key(arrived.join(met, "ord"), ["id"], ["ord"]).select("id", *[F.col(c).alias(f"n_{c}") for c in columns])
+    taken = new.select(F.col("n_url").alias("url"), F.col("id").alias("owner"))
+    gone = stored.join(taken, "url").where("id <> owner").select("id").distinct()
+    rows = stored.join(gone, "id", "left_anti").join(new, "id", "left")
+    longer = F.length(C.text("n_summary")) > F.length(C.text("summary"))
+    take = {c: (C.text(f"n_{c}") != "") & ~F.col(c).eqNullSafe(F.col(f"n_{c}")) for c in ("url", "title", "deadline")} | {"summary": longer}
+    changed = take["url"] | take["title"] | take["deadline"] | take["summary"]
+    kept = rows.select("id", *[F.when(t, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c, t in take.items()], F.when(changed, at).otherwise(F.col("updated_at")).alias("updated_at"), F.when(changed, "updated").otherwise("kept").alias("change"))
+    fresh = first_per_key(arrived.join(met, "ord", "left_anti"), ["url"], ["ord"])
+    return kept.unionByName(fresh.select(F.col("ord").alias("id"), *columns, at.alias("updated_at"), F.lit("inserted").alias("change")))

@@ -326,9 +326,21 @@ ARRIVED = """arrived AS (SELECT id AS ord, university, college, title || CASE WH
 def join_10(spark, sf_dir):
     """Which stored row an arrival is: by url, else by original url, else the first one of its college whose title begins alike."""
     n = notices(spark, sf_dir)
+    return S.match_existing(n, moved_arrivals(n))
+
+
+def moved_arrivals(n):
     k = F.col("id") % 10
     new_url = F.when(k == 2, F.concat("url", F.lit("?moved"))).when(k == 3, F.concat("url", F.lit("?new"))).when(k == 4, F.concat("url", F.lit("?x"))).otherwise(F.col("url"))
-    arrived = n.where(k.isin(1, 2, 3, 4) & (F.col("id") % 3 == 0)).select(
-        F.col("id").alias("ord"), "university", "college", F.concat("title", F.when(k == 3, " (revised)").otherwise("")).alias("title"), new_url.alias("url"), F.when(k == 2, F.col("url")).alias("original_url")
+    return n.where(k.isin(1, 2, 3, 4) & (F.col("id") % 3 == 0)).select(
+        F.col("id").alias("ord"), "university", "college", F.concat("title", F.when(k == 3, " (revised)").otherwise("")).alias("title"), new_url.alias("url"), F.when(k == 2, F.col("url")).alias("original_url"), "deadline", "summary"
     )
-    return S.match_existing(n, arrived)
+
+
+@query("snk_01_three_way", sql("""SELECT n.id, coalesce(a.url, n.url) AS url, coalesce(a.title, n.title) AS title, CASE WHEN a.url IS NOT NULL AND (a.url <> n.url OR a.title <> n.title OR coalesce(a.deadline, n.deadline) IS DISTINCT FROM n.deadline
+    OR length(coalesce(a.summary, '')) > length(coalesce(n.summary, ''))) THEN 'updated' ELSE 'kept' END AS change FROM notices n LEFT JOIN (SELECT x.*, CASE WHEN id % 10 <= 2 THEN id ELSE (SELECT min(o.id) FROM notices o WHERE o.university = x.university
+    AND o.college = x.college AND (contains(o.title, x.title[1:24]) OR contains(x.title, o.title[1:24]))) END AS target, FROM (SELECT v.*, n2.deadline, n2.summary FROM arrived v JOIN notices n2 ON n2.id = v.id) x QUALIFY row_number() OVER (PARTITION BY target ORDER BY ord) = 1) a ON a.target = n.id""", NOTICES, ARRIVED))
+def snk_01_three_way(spark, sf_dir):
+    """All rows after arrivals under new addresses and titles were merged into the rows that they are."""
+    n = notices(spark, sf_dir)
+    return S.upsert_matched(n, moved_arrivals(n), as_of()).select("id", "url", "title", "change")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from marquee.functions.html import absolute, anchors, page_texts
 from marquee.functions.similarity import similarity
 from marquee.functions.temporal import merged_datetime, next_check, normalise_datetime, parse_datetime
-from marquee.operators.store import attribute, collapse_prefixes, upsert_notices
+from marquee.operators.store import attribute, collapse_prefixes, upsert_matched, upsert_notices
 from marquee.sources.versions import VersionedTable, fresh
 
 
@@ -122,3 +122,20 @@ def test_domain_rules(spark):
     assert [r[0] for r in t.select(C.canonical_source(SOURCES)).collect()] == ["用户补全", "微信公众号", "学院官网", "forum", "全网检索"]
     reasons = [r[0] for r in t.select(C.noise_reason(F.col("title"), F.lit(None), F.lit("https://x"), DOMAIN)).collect()]
     assert reasons == [None, "exclude:拟录取名单", None, "blacklist:高中生", "attachment_form"]
+
+
+def test_three_way_merge_with_url_conflict(spark):
+    """A moved row takes the new url from another row, which goes; unknown arrivals are inserted once."""
+    shape = "id long, url string, university string, college string, title string, deadline string, summary string, updated_at timestamp"
+    stored = spark.createDataFrame([(1, "a", "u", "c", "long title of the first notice", None, "xx", None), (2, "b", "u", "c", "something else", "2026", None, None), (3, "z", "u", "d", "", None, None, None)], shape)
+    arrived = spark.createDataFrame(
+        [(10, "b", "a", "u", "c", "first title", "2027", "x"), (11, "n", None, "u", "d", "a title without a match", None, None), (12, "n", None, "u", "d", "a title without a match", None, None), (13, "m", None, "u", "c", "long title of the first notice, revised", None, None)],
+        "ord long, url string, original_url string, university string, college string, title string, deadline string, summary string",
+    )
+    found = {r.id: (r.url, r.title, r.deadline, r.summary, r.change) for r in upsert_matched(stored, arrived, F.lit("2026-01-01").cast("timestamp")).collect()}
+    # the arrival 10 is row 2 by its url, which counts before its original url
+    assert found == {1: ("m", "long title of the first notice, revised", None, "xx", "updated"), 2: ("b", "first title", "2027", "x", "updated"), 3: ("z", "", None, None, "kept"), 11: ("n", "a title without a match", None, None, "inserted")}
+    moved = spark.createDataFrame([(10, "b2", "a", "u", "c", "t", None, None)], arrived.schema)
+    taken = stored.union(spark.createDataFrame([(4, "b2", "u", "x", "owner of the url", None, None, None)], shape).where("id = 4"))
+    # by its url it would be row 4: a url that is there always counts first
+    assert {r.id: r.change for r in upsert_matched(taken, moved, F.lit("2026-01-01").cast("timestamp")).collect()} == {1: "kept", 2: "kept", 3: "kept", 4: "updated"}
