@@ -1,14 +1,16 @@
 """Exact Jaccard self-join of word-shingle sets: size-aware, heavy and light.
 
-Shingles have one global order (frequent ones last, then by hash). A pair of the wanted similarity with overlap ``o``
-shares at least k shingles within the first ``size - o + k`` of either set. Light (small) sets therefore enumerate the
+Documents of the same set are one node. Shingles have one global order: rare ones first, by the logarithm of a count of
+documents in an array of a fixed size, then by hash; shared slots of the array only make the order less good. A pair of
+the wanted similarity with overlap ``o`` shares at least k shingles within the first ``size - o + k`` of either set. Light (small) sets therefore enumerate the
 subsets of k = 2 shingles of that part and meet in them; heavy (large) sets put its single shingles (k = 1) into
 inverted lists that are scanned, where the place of the last common shingle bounds the overlap. The boundary between
 them is where enumerating subsets begins to cost more than scanning lists, by the measured mean length of a list. All
 candidates are verified on the whole sets.
 
-Each list first links its members to its first one; lists that lie in one component after that need no pairs, so a
-large group of near copies is never expanded into all its pairs. Only pairs across components are then scanned.
+Each list first links its members to one head in another component, twice; lists that lie in one component after that
+need no pairs, so a large group of near copies is never expanded into all its pairs. Only pairs across components are
+then scanned, and only those pass whose places in the lists and whose parities leave room for the wanted overlap.
 """
 
 from __future__ import annotations
@@ -18,19 +20,27 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .repeats import PACKED, bits_for, components, is_repeated, packed, repeated_slots, slots_of
-from .scratch import dropped, stored
+from .repeats import PACKED, Frequencies, bits_for, components, frequencies, is_repeated, marked_slots, packed, slots_of
+from .scratch import dropped, steady, stored
 
 SHINGLE = 5
 #: Similarity as a ratio of whole numbers, 80 / 100.
 NUM, DEN = 80, 100
-#: Distinct shingles of this share of all documents are put last in the order; at most 1 / SHARE of the mean set size are.
-SHARE, BUFFER = 0.001, 2_000_000
+#: Lists of shingles of more than this share of all documents do not count in the mean length; they come last in the order.
+SHARE = 0.001
+#: Shingles whose slots a task holds at a time.
+BUFFER = 1_500_000
+#: Bits of the parity that rides along with open lists, as so many longs.
+SIGNS, SIGN_BITS = 8, 9
 #: Rounds that verify the likeliest crossing pair of each row before all that are left.
 BEST_ROUNDS = 1
+#: Rounds that link the members of each list to one head.
+STAR_ROUNDS = 2
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -57,67 +67,28 @@ def least_overlap(size: int, num: int, den: int) -> tuple[int, int]:
     return -(-num * size // den), -(-2 * num * size // (num + den))
 
 
-class Order:
-    """The global order: frequent shingles last, the rarer of them first."""
+def keys_of(tokens: np.ndarray, often: np.ndarray, boundary: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of an ordered set that may be in others: key, place (-1 for a subset), whether partners that are no smaller look it up.
 
-    def __init__(self, frequent: np.ndarray):
-        self.token = np.sort(frequent["token"])
-        self.rank = frequent["n"][np.argsort(frequent["token"])]
-
-    def sort(self, tokens: np.ndarray) -> np.ndarray:
-        """``tokens`` come sorted by hash."""
-        if not len(self.token):
-            return tokens
-        at = np.minimum(np.searchsorted(self.token, tokens), len(self.token) - 1)
-        often = self.token[at] == tokens
-        late = tokens[often]
-        return np.concatenate([tokens[~often], late[np.argsort(self.rank[at[often]], kind="stable")]])
-
-
-def keys_of(tokens: np.ndarray, boundary: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of an ordered set: key, place (-1 for a subset) and whether partners that are no smaller look it up."""
+    ``often`` tells which tokens may be in other sets.
+    """
     s = len(tokens)
     any_overlap, larger_overlap = least_overlap(s, num, den)
     key, place, index = [], [], []
     if s <= boundary and any_overlap >= 2:
-        part = tokens[: s - any_overlap + 2]
+        part = tokens[: s - any_overlap + 2][often[: s - any_overlap + 2]]
         i, j = np.triu_indices(len(part), 1)
         key.append(mixed(np.minimum(part[i], part[j]) * _A + np.maximum(part[i], part[j])))
         place.append(np.full(len(i), -1))
         index.append(np.ones(len(i), bool))
     if any_overlap < 2 or s * den >= (boundary + 1) * num:
-        part = tokens[: s - any_overlap + 1]
-        key.append(part)
-        place.append(np.arange(len(part)))
-        index.append(place[-1] < s - larger_overlap + 1)
+        at = np.flatnonzero(often[: s - any_overlap + 1])
+        key.append(tokens[at])
+        place.append(at)
+        index.append(at < s - larger_overlap + 1)
     return np.concatenate(key), np.concatenate(place), np.concatenate(index)
 
 
-def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document (row, id, size); per buffer of documents the shingles (token, count) that occur in several."""
-    held, size = [], 0
-
-    def repeated() -> pa.RecordBatch:
-        token, n = np.unique(np.concatenate(held), return_counts=True)
-        token, n = token[n > 1], n[n > 1]
-        none = pa.nulls(len(token), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, pa.array(n, pa.int64()), pa.array(token.view(np.int64))], ["row", "id", "n", "token"])
-
-    for batch in batches:
-        counts = []
-        for text in batch.column(2):
-            tokens = shingles(text.as_py())
-            counts.append(len(tokens))
-            held.append(tokens)
-            size += len(tokens)
-            if size > BUFFER:
-                yield repeated()
-                held, size = [], 0
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.nulls(len(counts), pa.int64())], ["row", "id", "n", "token"])
-    if held:
-        yield repeated()
-
-
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
@@ -128,7 +99,7 @@ def parity(tokens: np.ndarray) -> np.ndarray:
     Two sets differ in at least as many tokens as their parities differ in slots. Slots are the highest bits of a hash,
     so that the exclusive-or of neighbouring slots gives the parity of half as many.
     """
-    bits = min(15, max(9, len(tokens).bit_length()))
+    bits = min(15, max(SIGN_BITS, len(tokens).bit_length()))
     return np.packbits(np.bincount((mixed(tokens) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1)
 
 
@@ -141,19 +112,25 @@ def least_difference(x: bytes, y: bytes) -> int:
     return int((a ^ b).sum())
 
 
-def _texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Stored row, text, size and parity of the rows in ``pairs``."""
-    wanted = stored(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "candidate-rows")
+def _texts(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Stored node and text of the nodes in ``pairs``. A bitmap of their rows keeps most other texts out of the shuffle."""
+    wanted = stored(nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node").select("node", "row"), "candidate-rows")
+    bits = bits_for(wanted.count())
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(map(len, sets)), pa.int64()), pa.array([parity(x).tobytes() for x in sets])], ["row", "text", "size", "parity"])
+            yield packed([slots_of(batch.column(0).to_numpy().view(np.uint64), bits)], bits)
+
+    bitmap = marked_slots(wanted.select("row").mapInArrow(slots, PACKED), bits, least=1)
 
-    return stored(docs.select("row", "text").join(wanted, "row").mapInArrow(measure, "row long, text string, size long, parity binary"), "candidate-texts")
+    @F.arrow_udf("boolean")
+    def may_be_wanted(row: pa.Array) -> pa.Array:
+        return pa.array(is_repeated(bitmap.value, slots_of(row.to_numpy().view(np.uint64), bits)))
 
+    return stored(docs.select("row", "text").where(may_be_wanted("row")).join(wanted, "row").select("node", "text"), "candidate-texts")
 
-def _not_too_different(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+
+def _not_too_different(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs whose parities leave room for the similarity: of sets that link, at most this share of both is not common."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +140,7 @@ def _not_too_different(pairs: DataFrame, texts: DataFrame, num: int, den: int) -
             keep = [least_difference(p, q) <= m for p, q, m in zip(x, y, most.tolist(), strict=True)]
             yield batch.select(["a", "b", "share"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda x: texts.select(F.col("row").alias(x), F.col("size").alias(f"s{x}"), F.col("parity").alias(f"p{x}"))
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("size").cast("long").alias(f"s{x}"), F.col("parity").alias(f"p{x}"))
     return stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a long, b long, share double"), "likely-pairs")
 
 
@@ -187,86 +164,116 @@ def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFra
                 keep.append(common > 0 and den * common >= num * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(texts.select(F.col("row").alias("b"), F.col("text").alias("tb")), "b").select("a", "ta", "b", "tb")
+    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "ta", "b", "tb")
     return stored(both.mapInArrow(check, "a long, b long"), "verified-links")
 
 
-def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN) -> tuple[DataFrame, DataFrame]:
-    """(documents: row, id, n; membership: node, component) over rows of ``docs``."""
-    rows = _numbered(docs, id_col, text_col)
-    survey = stored(rows.mapInArrow(_survey, "row long, id long, n long, token long"), "shingle-survey")
-    sizes = survey.where("row is not null").select("row", "id", "n")
-    total = sizes.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("shingles")).first()
-    counted = stored(survey.where("row is null").groupBy("token").agg(F.sum("n").alias("n")), "repeated-shingles")
-    frequent = counted.where(F.col("n") >= max(16, SHARE * total.docs)).toPandas()  # at most shingles / (SHARE * docs) rows
-    order = docs.sparkSession.sparkContext.broadcast(Order(np.rec.fromarrays([frequent["token"].to_numpy(np.int64).view(np.uint64), frequent["n"].to_numpy(np.int64)], names="token,n")))
-    scan = counted.where(F.col("n") < max(16, SHARE * total.docs)).agg(F.sum(F.col("n") * F.col("n")).alias("scanned")).first().scanned or 0
-    mean_list = 1 + scan / max(1, total.shingles)
-    # a set with a prefix of p shingles has p (p + 1) / 2 subsets, or p lists of that mean length to be scanned
-    boundary = int((2 * (1 + mean_list) - 2) * den / (den - num))
-    bits = bits_for(total.shingles * (1 - num / den))
-
-    def keys(text) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        tokens = order.value.sort(shingles(text.as_py()))
-        if not len(tokens):
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool), 0
-        return *keys_of(tokens, boundary, num, den), len(tokens)
+def _shingle_counts(rows: DataFrame, num: int, den: int) -> tuple[Broadcast, int]:
+    """Broadcast ``Frequencies`` of all shingles, and the boundary between light and heavy sets."""
+    total = rows.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    expected = total.bytes // 6  # words of five letters and a space
+    bits = bits_for(expected)
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                yield packed([np.unique(slots_of(keys(text)[0], bits)) for text in batch.column(2).slice(start, 1000)], bits)
+            for text in batch.column(0):
+                held.append(slots_of(shingles(text.as_py()), bits))
+                size += len(held[-1])
+                if size > BUFFER:
+                    yield packed(held, bits, None)
+                    held, size = [], 0
+        yield packed(held, bits, None)
+
+    counts, squares = frequencies(rows.select("text").mapInArrow(slots, PACKED), bits, expected, max(16, SHARE * total.docs))
+    # a set with a prefix of p shingles has p (p + 1) / 2 subsets, or p lists of the mean length to be scanned
+    return counts, int(2 * (1 + squares / max(1, expected)) * den / (den - num))
+
 
-    bitmap = repeated_slots(rows.mapInArrow(slots, PACKED), bits)
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN) -> tuple[DataFrame, DataFrame]:
+    """(documents: row, id, node, size; membership: node, component) over rows of ``docs``. Equal sets are one node."""
+    rows = _numbered(steady(docs), id_col, text_col)
+    counts, boundary = _shingle_counts(rows, num, den)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row of each document, and the keys of each set that is new to this task."""
+        known: Frequencies = counts.value
+        seen: set[int] = set()
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
-                part, out = batch.slice(start, 1000), [[], [], [], [], []]
-                for row, text in zip(part.column(0).to_numpy(), part.column(2), strict=True):
-                    key, place, index, size = keys(text)
-                    use = is_repeated(bitmap.value, slots_of(key, bits))
-                    for column, x in zip(out, (key[use].view(np.int64), np.full(use.sum(), row), np.full(use.sum(), size, np.int32), place[use].astype(np.int32), index[use]), strict=True):
+                part, own, out = batch.slice(start, 1000), [[], [], []], [[], [], [], [], []]
+                for text in part.column(2):
+                    tokens = shingles(text.as_py())
+                    node = xxhash.xxh3_64_intdigest(tokens.tobytes())
+                    for column, x in zip(own, (node, len(tokens), parity(tokens).tobytes()), strict=True):
                         column.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["key", "row", "size", "place", "index"])
-
-    lists = stored(rows.mapInArrow(shared, "key long, row long, size int, place int, index boolean"), "inverted-lists")
-
-    # first round: each list links its members to its first one, where a good part of the looked-up keys agree
-    heads = stored(lists.groupBy("key").agg(F.min(F.struct("row", "size")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("head.row").alias("head"), F.col("head.size").alias("head_size")), "list-heads")
-    # (for each member the head with which it has most keys in common: one pair for each row at most)
-    stars = (
-        lists.join(heads, "key").where(F.col("row") != F.col("head")).where(F.least("size", "head_size") * den >= F.greatest("size", "head_size") * num)
-        .groupBy("head", "row", "size").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * 4 >= F.least("size", F.ceil(F.col("size") * (1 - num / den))))
-        .groupBy(F.col("row").alias("b")).agg(F.max(F.struct("n", -F.col("head"))).alias("best")).select((-F.col("best")["col2"]).alias("a"), "b")
-    )
-    stars = stored(stars, "star-pairs")
-    texts = _texts(stars, rows)
-    links = _verified(stars, texts, num, den)
-    dropped(texts)
-
-    # second round: pairs across components, in the lists that reach over several
-    label = components(links)
-    labelled = stored(
-        lists.join(label, lists["row"] == label.node, "left").select("key", "row", "size", "place", "index", F.coalesce("component", "row").alias("component")), "labelled-lists"
-    )
+                    if not len(tokens) or node in seen:
+                        continue
+                    seen.add(node)
+                    often, kind = known.look_up(tokens)
+                    order = np.argsort(kind, kind="stable")  # they come sorted by hash
+                    key, place, index = keys_of(tokens[order], often[order], boundary, num, den)
+                    for column, x in zip(out, (key.view(np.int64), np.full(len(key), node, np.uint64).view(np.int64), np.full(len(key), len(tokens), np.int32), place.astype(np.int32), index), strict=True):
+                        column.append(x)
+                n, arrays = part.num_rows, [np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, np.int32, np.int32, bool), strict=True)]
+                node = np.array(own[0], np.uint64).view(np.int64)
+                none = [pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.bool_())]
+                yield pa.RecordBatch.from_arrays([none[0], pa.array(node), pa.array(own[1], pa.int32()), none[1], none[2], part.column(0), part.column(1), pa.array(own[2], pa.binary())], names)
+                m = len(arrays[0])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], names)
+
+    names = ["key", "node", "size", "place", "index", "row", "id", "parity"]
+    found = stored(rows.mapInArrow(shared, "key long, node long, size int, place int, index boolean, row long, id long, parity binary"), "inverted-lists")
+    members, lists = found.where("row is not null"), found.where("row is null").select("key", "node", "size", "place", "index")
+    nodes = stored(members.groupBy("node").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("parity").alias("parity")), "nodes")
+
+    # star rounds: each list links its members to one head in another component, where a good part of the looked-up keys agree
+    label = links = None
+    for _ in range(STAR_ROUNDS):
+        if label is None:
+            labelled = lists.withColumn("component", F.col("node"))
+        else:
+            labelled = stored(open_lists.drop("component").join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled-lists")
+        end = F.struct("component", "node", "size")
+        heads = stored(labelled.groupBy("key").agg(F.min(end).alias("lo"), F.max(end).alias("hi")).where("lo.component < hi.component"), "list-heads")
+        wide = stored(labelled.join(heads, "key"), "wide-lists")
+        stars = _likely_stars(wide, num, den)
+        stars = _not_too_different(stars, nodes, num, den)
+        texts = _texts(stars, nodes, rows)
+        found = _verified(stars, texts, num, den)
+        dropped(texts)
+        open_lists = stored(wide.select("key", "node", "size", "place", "index", "component").distinct(), "open-lists")
+        dropped(wide)
+        links = found if links is None else stored(links.union(found), "links-so-far")
+        label = components(links)
+
+    # last round: pairs across components, in the lists that reach over several
+    labelled = stored(open_lists.drop("component").join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled-lists")
     wide = stored(labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "wide-lists")
-    open_lists = stored(labelled.join(wide, "key"), "open-lists")
-    small = open_lists.where("index").select("key", *[F.col(c).alias(f"s_{c}") for c in ("row", "size", "place", "component")])
+    signs = [f"p{k}" for k in range(SIGNS)]
+    signed = stored(labelled.join(wide, "key"), "open-lists").join(_signed(nodes, signs), "node")
+    # (a pair whose rows also follow the same key is met there already)
+    before = F.when(F.col("place") >= 0, F.lag("key").over(W.partitionBy("node").orderBy("place", "key"))).alias("before")
+    signed = stored(signed.select("*", before), "signed-lists")
+    for table in (labelled, open_lists):
+        dropped(table)
+    small = signed.where("index").select("key", *[F.col(c).alias(f"s_{c}") for c in ("node", "size", "place", "component", "before", *signs)])
     overlap = F.ceil((F.col("size") + F.col("s_size")) * num / (num + den))
+    room = F.least(F.col("size") - F.col("place"), F.col("s_size") - F.col("s_place")) + F.least("place", "s_place") >= overlap
+    first = F.coalesce(F.col("before") != F.col("s_before"), F.lit(True))
+    parted = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"s_{c}"))) for c in signs)
+    differ = parted <= F.floor((F.col("size") + F.col("s_size")) * (den - num) / (den + num))
+    crossing = (signed["key"] == small["key"]) & F.expr("component <> s_component and (s_size < size or (s_size = size and s_node < node))") & (F.col("s_size") * den >= F.col("size") * num)
     pairs = (
-        open_lists.join(small, "key").where("component <> s_component and (s_size < size or (s_size = size and s_row < row))").where(F.col("s_size") * den >= F.col("size") * num)
-        .groupBy("row", "s_row", "size", "s_size")
-        .agg(F.sum((F.col("place") >= 0).cast("int")).alias("met"), F.max("place").alias("last"), F.max(F.when(F.col("place") >= 0, F.col("s_place"))).alias("s_last"))
-        .where((F.col("met") == 0) | (F.col("met") + F.least(F.col("size") - F.col("last"), F.col("s_size") - F.col("s_last")) - 1 >= overlap))
-        .select(F.col("row").alias("a"), F.col("s_row").alias("b"), (F.col("met") / F.least("size", "s_size")).alias("share"))
+        signed.join(small, crossing & first & ((F.col("place") < 0) | room) & differ)
+        .groupBy(F.col("node").alias("a"), F.col("s_node").alias("b")).agg((1 - F.min(parted / (F.col("size") + F.col("s_size")))).alias("share"))
     )
-    pairs = stored(pairs, "crossing-pairs")
-    texts = _texts(pairs, rows)
-    pairs = _not_too_different(pairs, texts, num, den)
+    pairs = _not_too_different(stored(pairs, "crossing-pairs"), nodes, num, den)
+    dropped(signed)
+    texts = _texts(pairs, nodes, rows)
     for turn in range(BEST_ROUNDS + 1):
-        # a few rounds verify each row's likeliest pair only, which joins most groups; the last one verifies all that still cross
+        # a few rounds verify each node's likeliest pair only, which joins most groups; the last one verifies all that still cross
         now = pairs.select("a", "b")
         if turn < BEST_ROUNDS:
             best = [pairs.groupBy(x).agg(F.max(F.struct("share", "a", "b")).alias("best")).select("best.a", "best.b") for x in ("a", "b")]
@@ -276,20 +283,49 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             links = stored(links.union(new), "links-so-far")
             label = components(links)
         if turn < BEST_ROUNDS:
-            names = [label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in ("a", "b")]
+            names_of = [label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in ("a", "b")]
             open_pairs = pairs.join(now.withColumn("done", F.lit(True)), ["a", "b"], "left").where("done is null").drop("done")
-            open_pairs = stored(open_pairs.join(names[0], "a", "left"), "half-labelled-pairs").join(names[1], "b", "left")
-            pairs = stored(open_pairs.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", "share"), "pairs-left")
+            half = stored(open_pairs.join(names_of[0], "a", "left"), "half-labelled-pairs")
+            pairs = stored(half.join(names_of[1], "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", "share"), "pairs-left")
+            dropped(half)
     dropped(texts)
-    return sizes, label
+    return members.select("row", "id", "node", "size"), label
+
+
+def _likely_stars(wide: DataFrame, num: int, den: int) -> DataFrame:
+    """Stored pairs of each node with the head, of those in other components, with which it has most keys in common."""
+    head = F.when(F.col("lo.component") != F.col("component"), F.col("lo")).otherwise(F.col("hi"))
+    pairs = wide.select("key", "node", "size", head["node"].alias("head"), head["size"].alias("head_size")).distinct()
+    shared = (
+        pairs.where(F.least("size", "head_size") * den >= F.greatest("size", "head_size") * num).groupBy("head", "node", "size").agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") * 4 >= F.least("size", F.ceil(F.col("size") * (1 - num / den))))
+    )
+    best = shared.groupBy(F.col("node").alias("b")).agg(F.max(F.struct("n", "head", "size")).alias("best"))
+    return stored(best.select(F.col("best.head").alias("a"), "b", (F.col("best.n") / F.col("best.size")).alias("share")), "star-pairs")
+
+
+def _signed(nodes: DataFrame, signs: list[str]) -> DataFrame:
+    """Nodes with their parities, folded to ``SIGN_BITS``, as longs."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros((batch.num_rows, SIGNS), np.int64)
+            for k, whole in enumerate(batch.column(1)):
+                bit = np.unpackbits(np.frombuffer(whole.as_buffer(), np.uint8)).reshape(1 << SIGN_BITS, -1).sum(1) & 1
+                out[k] = np.packbits(bit).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[:, k]) for k in range(SIGNS))], ["node", *signs])
+
+    return nodes.select("node", "parity").mapInArrow(fold, "node long, " + ", ".join(f"{c} long" for c in signs))
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
     """row of the one document of each component that stays: the smallest id, null ids last, then the first row."""
-    sizes, label = jaccard_links(docs, id_col, text_col, num, den)
-    member = sizes.join(label, sizes["row"] == label.node, "left")
-    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
-    return member.groupBy(F.coalesce("component", "row").alias("component")).agg(best).select("best.row")
+    members, label = jaccard_links(docs, id_col, text_col, num, den)
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
+    # texts without words have no set, and each of them is alone
+    alone = members.where("size = 0").select("row")
+    by_node = members.where("size > 0").groupBy("node").agg(least).join(label, "node", "left")
+    return alone.union(by_node.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("best").alias("best")).select("best.row"))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
@@ -299,9 +335,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     is at least ``num`` times the union. Null texts and texts without words have no set and link with nothing; a text of
     fewer than five words is one shingle. component_id is the smallest id reachable (null ids count last). Repeated rows
     link with each other. An empty table gives an empty result; other columns are ignored. Shingles are compared as
-    64-bit hashes. The input must be a plain scan or a stored table, since rows are numbered in their partitions.
+    64-bit hashes, and so are whole sets. Rows are numbered in their partitions; an input with a shuffle is stored first.
     """
-    sizes, label = jaccard_links(docs, id_col, text_col, num, den)
-    member = stored(sizes.join(label, sizes["row"] == label.node, "left").select("row", "id", "n", F.coalesce("component", "row").alias("component")), "members")
-    least = stored(member.groupBy("component").agg(F.min("id").alias("component_id")), "component-ids")
-    return member.join(least, "component").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+    members, label = jaccard_links(docs, id_col, text_col, num, den)
+    by_node = stored(members.where("size > 0").groupBy("node").agg(F.min("id").alias("least")).join(label, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component")), "node-ids")
+    least = stored(by_node.join(by_node.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id"), "component-ids")
+    named = members.where("size > 0").join(least, "node").select(F.col("id").alias("doc_id"), F.col("size").cast("long").alias("n_shingles"), "component_id")
+    return named.union(members.where("size = 0").select("id", F.col("size").cast("long"), "id"))

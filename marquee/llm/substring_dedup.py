@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .repeats import PACKED, bits_for, is_repeated, packed, repeated_slots, slots_of
+from .repeats import PACKED, bits_for, is_repeated, marked_slots, packed, slots_of
 from .windows import covered, keys_and_hashes
 
 WINDOW, GRAM = 13, 5
@@ -68,7 +68,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for start in range(0, batch.num_rows, 1000):
                 yield packed([np.unique(slots_of(np.unique(keys_and_hashes(hashed(words_of(t.as_py())), window, gram)[0]), bits)) for t in batch.column(0).slice(start, 1000)], bits)
 
-    bitmap = repeated_slots(rows.select("text").mapInArrow(slots, PACKED), bits)
+    bitmap = marked_slots(rows.select("text").mapInArrow(slots, PACKED), bits)
 
     def settle(held: list[tuple[np.ndarray, np.ndarray, int, int]]) -> pa.RecordBatch:
         hashes, place = (np.concatenate([x[k] for x in held]) for k in (0, 1))
