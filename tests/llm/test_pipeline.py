@@ -51,3 +51,22 @@ def test_stages(spark):
 
 def test_run(spark):
     assert {"doc_id", "n_tokens", "ids"} <= set(P.run(spark, SF).columns)
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, columns of the operators' own names, and empty tables come through."""
+    clash = ("row", "whole", "_whole", "score", "predicted", "held_out", "hits", "contaminated", "n_words", "n_items", "kept", "node")
+    rows = [(None, None), (1, ""), (2, "one two"), (2, "one two"), (3, "word " * 30_000), (None, "some more words stand here now"), (4, None), (5, "benchmark item words stand here for all to see and find again")]
+    docs = stored(spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(f"own {c}") for c in clash}), "odd-documents")
+    for name, shape, of in (("benchmark", "item_id long, text string", [(1, rows[-1][1])]), ("labels", "doc_id long, quality int, toxic int", [(1, 0, 0), (2, 1, None), (None, 0, 1)])):
+        spark.createDataFrame(of, shape).write.parquet(f"{tmp_path}/{name}.parquet")
+    expected = {"toxicity": 8, "exact dedup": 5, "n-gram Jaccard join": 5, "benchmark decontamination": 4}
+    for table, empty in ((docs, False), (docs.limit(0), True)):
+        at = stored(table, "odd-input")
+        for name, stage in P.STAGES:
+            at = stored(stage(spark, at, str(tmp_path)), "odd-stage")
+            if name in expected:
+                assert at.columns == docs.columns
+                assert at.count() == (0 if empty else expected[name]), name
+                assert all(r[c] == f"own {c}" for r in at.collect() for c in clash)
+        assert at.count() == (0 if empty else 4)
