@@ -1,10 +1,18 @@
 """Removal of byte strings of ``WINDOW`` bytes that a document with a smaller id has too.
 
-A suffix is taken once per stretch of windows that share their key, the least hash of their shorter grams, with the
-bytes that the stretch's windows span. A bitmap of a fixed size tells which keys may occur twice. Keys of very many
-documents give way to the windows' own hashes, so that no key gathers the surroundings of a common passage. Stretches
-that are equal within a buffer of documents are settled there; the others are dealt out by key, and each task finds for
-every window among them the smallest id. A full bitmap lets more stretches through, and changes no result.
+Only suffixes that start at an anchor are sorted: the least gram of a window is its anchor, and the windows of one anchor
+are a stretch. Equal windows lie alike about equal anchors, so a suffix at its anchor with what stands before it stands
+for all windows of its stretch, and suffixes of different grams need not meet.
+
+1. Stretches whose gram stands in one document only are put aside, by a bitmap of a fixed size.
+2. The others meet by the hash of the whole stretch. All but those of the smallest id are done: their windows go.
+3. Grams of which different stretches are left, and the stretches themselves, are marked in two more bitmaps. Each task
+   sorts the marked suffixes of its documents and front-codes them into one run for each range of gram names; each
+   range's runs are merged by a loser tree, and the lengths that neighbours share tell which windows are equal.
+4. Grams with very many different stretches, as at the borders of a common passage, give way to the windows' hashes, so
+   that no task gathers the surroundings of a common passage.
+
+A full bitmap lets more stretches through, and changes no result.
 """
 
 from __future__ import annotations
@@ -16,143 +24,270 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .repeats import PACKED, bits_for, is_repeated, packed, repeated_slots, slots_of
-from .scratch import shuffle_partitions
+from .repeats import PACKED, bits_for, is_repeated, marked_slots, packed, slots_of
+from .scratch import dropped, shuffle_partitions, steady, stored
 from .substring_dedup import NO_ID, first_in_buffer, numbered
-from .windows import gram_hashes, keys_and_hashes
+from .suffix_runs import NAME, front_coded, merged
+from .windows import gram_hashes, stretches
 
-WINDOW, GRAM = 50, 16
-#: A key in at least this share of all documents gives way to the windows' own hashes; at most 1 / SHARE of the mean number of keys do.
-SHARE = 0.001
-#: Bytes of text, and windows, that one task holds at a time.
-BUFFER, CHUNK = 4_000_000, 2_000_000
+WINDOW, GRAM = 50, 24
+#: A gram gives way if it has at least this share of all different stretches, or ``MOST`` of them, but never with fewer than ``COMMON``.
+COMMON, SHARE, MOST = 200, 1 / 2000, 100_000
+#: Bytes of text that one task holds at a time.
+BUFFER = 6_000_000
+#: Rows that a task hands over at a time.
+ROWS = 50_000
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def bytes_of(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
-def _batches(batch: pa.RecordBatch, column: int, most: int = BUFFER) -> Iterator[pa.RecordBatch]:
-    """Slices of some ``most`` bytes of text."""
-    start, size = 0, 0
-    for k, text in enumerate(batch.column(column)):
-        size += len(text.as_buffer()) if text.is_valid else 0
-        if size > most:
-            yield batch.slice(start, k + 1 - start)
-            start, size = k + 1, 0
-    if start < batch.num_rows:
-        yield batch.slice(start)
+def _buffers(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple[int, int, np.ndarray]]]:
+    """(row, id, bytes) of documents, some ``most`` bytes at a time."""
+    held, size = [], 0
+    for batch in batches:
+        for row, number, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            held.append((row, number, bytes_of(text.as_py())))
+            size += len(held[-1][2])
+            if size > most:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _marked(keys: DataFrame) -> tuple[object, int]:
+    """Broadcast bitmap of a column of 64-bit keys, and its bits."""
+    bits = bits_for(keys.count())
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield packed([slots_of(batch.column(0).to_numpy().view(np.uint64), bits)], bits, 1)
+
+    return marked_slots(keys.mapInArrow(slots, PACKED), bits, least=1), bits
+
+
+def _of(name: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """64-bit name of a stretch of a document."""
+    return (name ^ number.view(np.uint64) * _MIX) * _MIX
+
+
+def _runs(later: np.ndarray, row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[np.ndarray]:
+    """row, start, stop of the stretches ``later``, those that follow each other as one."""
+    at = np.flatnonzero(later)
+    if not len(at):
+        return [row[:0], start[:0], stop[:0]]
+    new = np.concatenate([[True], (row[at[1:]] != row[at[:-1]]) | (start[at[1:]] != stop[at[:-1]])])
+    last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(at) - 1]])
+    return [row[at[new]], start[at[new]], stop[at[last]]]
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, common: int = COMMON) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (array<start, end> removed, in bytes).
 
     Texts are UTF-8 bytes; null is empty. A byte goes if a string of ``window`` bytes that covers it also starts in a
     row with a smaller id. Null ids count as larger than all others; rows of the same id, null or not, are not smaller
     than each other, so repeated rows keep their bytes. Shorter texts stay whole. An empty table gives an empty result;
-    other columns are ignored. Strings are compared as 64-bit hashes. The input must be a plain scan or a stored table,
-    since rows are numbered in their partitions.
+    other columns are ignored. Stretches are compared as 64-bit hashes, and so is what stands before an anchor. Rows are
+    numbered in their partitions; an input with a shuffle is stored first.
     """
-    spark, rows = docs.sparkSession, numbered(docs, id_col, text_col)
-    total = rows.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    if not 0 < gram <= window <= 120:
+        raise ValueError("a gram is no longer than a window, and a window at most 120 bytes")  # lengths in runs are single bytes
+    spark, rows = docs.sparkSession, numbered(steady(docs), id_col, text_col)
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     bits = bits_for(total.bytes * 2 / (window - gram + 2))
 
-    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _batches(batch, 0):
-                key, n = np.unique(np.concatenate([np.unique(keys_and_hashes(bytes_of(t.as_py()), window, gram)[0]) for t in part.column(0)]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key[n > 1].view(np.int64)), pa.array(n[n > 1])], ["key", "n"])
-
-    counted = rows.select("text").mapInArrow(survey, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    often = counted.where(F.col("n") >= max(16, SHARE * total.docs)).select("key").toPandas()  # at most keys / (SHARE * docs) rows
-    common = spark.sparkContext.broadcast(np.sort(often["key"].to_numpy(np.int64).view(np.uint64)))
-
-    def keyed(text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bytes, keys of the windows, and whether a key is the window's own hash."""
-        data = bytes_of(text.as_py())
-        key, hashes = keys_and_hashes(data, window, gram)
-        own = np.zeros(len(key), bool)
-        if len(common.value) and len(key):
-            at = np.minimum(np.searchsorted(common.value, key), len(common.value) - 1)
-            own = common.value[at] == key
-            key = np.where(own, hashes, key)
-        return data, key, own
-
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _batches(batch, 0):
-                yield packed([np.unique(slots_of(np.unique(keyed(t)[1]), bits)) for t in part.column(0)], bits)
+        for held in _buffers(batches, BUFFER):
+            yield packed([np.unique(slots_of(stretches(data, window, gram, named=False).key, bits)) for _, _, data in held], bits)
 
-    bitmap = repeated_slots(rows.select("text").mapInArrow(slots, PACKED), bits)
+    grams = marked_slots(rows.mapInArrow(slots, PACKED), bits)
 
-    names = ["key", "bytes", "row", "id", "start", "stop", "found"]
+    def passing(held: list[tuple[int, int, np.ndarray]], use) -> list[np.ndarray]:
+        """name, key, id, row, start, stop, anchor of the stretches of a buffer that ``use`` lets through."""
+        out: list[list[np.ndarray]] = [[], [], [], [], [], [], []]
+        for row, number, data in held:
+            found = stretches(data, window, gram)
+            at = use(found, number)
+            for column, x in zip(out, (found.name[at], found.key[at], np.full(len(at), number), np.full(len(at), row), found.begin[at], found.end[at], found.anchor[at]), strict=True):
+                column.append(x)
+        return [np.concatenate(x) for x in out]
+
+    names = ["name", "key", "id", "row", "start", "stop"]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Stretches that are left of a buffer, and (without name, key and id) runs of those that are settled in it."""
+        for held in _buffers(batches, BUFFER):
+            name, key, number, row, start, stop, _ = passing(held, lambda found, _: np.flatnonzero(is_repeated(grams.value, slots_of(found.key, bits))))
+            if not len(name):
+                continue
+            order, least = first_in_buffer(name, number)
+            later = np.empty(len(name), bool)
+            later[order] = ~least
+            spans = _runs(later, row, start, stop)
+            settled = pa.RecordBatch.from_arrays([*[pa.nulls(len(spans[0]), pa.int64())] * 3, *map(pa.array, spans)], names)
+            for part in (pa.RecordBatch.from_arrays([*(pa.array(x[~later].view(np.int64)) for x in (name, key, number, row, start, stop))], names), settled):
+                for k in range(0, part.num_rows, ROWS):
+                    yield part.slice(k, ROWS)
 
-    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    met = stored(rows.mapInArrow(meet, ", ".join(f"{n} long" for n in names)), "stretches")
+    # (at most one row of each id and buffer for a stretch, however common it is)
+    named = met.where("name is not null").withColumn("later", F.col("id") > F.min("id").over(W.partitionBy("name")))
+    kept = lambda c: F.when(~F.col("later"), F.col(c)).alias(c)
+    gone = lambda c: F.when(F.col("later"), F.col(c)).alias(c)
+    settled = named.select("later", *map(kept, ("name", "key", "id")), *map(gone, ("row", "start", "stop"))).union(met.where("name is null").select(F.lit(True), "name", "key", "id", "row", "start", "stop"))
+    settled = stored(settled, "settled-stretches")
+    dropped(met)
+    left = settled.where("not later")
+    count = stored(left.groupBy("key").agg(F.min("name").alias("lo"), F.max("name").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n"), "open-grams")
+    most = max(common, min(MOST, SHARE * (count.agg(F.sum("n").alias("n")).first().n or 0)))
+    often = spark.sparkContext.broadcast(np.sort(count.where(F.col("n") >= most).select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64)))  # at most 2,000 rows, or a hundred thousandth of all stretches
+    open_grams, gram_bits = _marked(count.select("key"))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _batches(batch, 2, 3 * BUFFER):
-                yield settle(part)
-
-    def settle(part: pa.RecordBatch) -> pa.RecordBatch:
-        key_of, taken, at_of, bare, from_, to = [], [], [], [], [], []
-        ids, rows_ = part.column(1).to_numpy(), part.column(0).to_numpy()
-        for k, text in enumerate(part.column(2)):
-            data, key, own = keyed(text)
-            if not len(key):
+            yield pa.RecordBatch.from_arrays([pa.array(_of(batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()).view(np.int64))], ["of"])
+
+    open_stretches, name_bits = _marked(left.select("name", "id").mapInArrow(of, "of long"))
+    ranges = 4 * shuffle_partitions(spark)
+    width = (1 << 64) // ranges + 1
+    shape = "part int, shared binary, tail binary, length binary, before binary, ids array<long>, rows array<long>, starts array<long>, stops array<long>, anchors array<long>, name long, id long, row long, start long, stop long"
+    fields = [x.split()[0] for x in shape.split(", ")]
+
+    def to_sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A front-coded run for each range of names; windows of common grams in rows of their own, by their hash."""
+
+        def use(found, number: int) -> np.ndarray:
+            at = np.flatnonzero(is_repeated(open_grams.value, slots_of(found.key, gram_bits)))
+            return at[is_repeated(open_stretches.value, slots_of(_of(found.name[at], np.full(len(at), number)), name_bits))]
+
+        for held in _buffers(batches, BUFFER):
+            name, key, *rest = passing(held, use)
+            if not len(name):
                 continue
-            begin = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
-            end = np.concatenate([begin[1:], [len(key)]])
-            use = is_repeated(bitmap.value, slots_of(key[begin], bits))
-            begin, end = begin[use], end[use]
-            raw = data.tobytes()
-            key_of.append(key[begin])
-            bare.append(own[begin] & (end - begin == 1))
-            taken += [raw[b:e] for b, e in zip(begin.tolist(), (end + window - 1).tolist(), strict=True)]
-            at_of.append(np.full(len(begin), k))
-            from_.append(begin)
-            to.append(end)
-        if not taken:
-            return pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())], names)
-        key, at, start, stop = (np.concatenate(x) for x in (key_of, at_of, from_, to))
-        id_of = ids[at].tolist()
-        least: dict[bytes, int] = {}
-        for context, number in zip(taken, id_of, strict=True):
-            if number < least.get(context, NO_ID + 1):
-                least[context] = number
-        found = np.fromiter((number > least[context] for context, number in zip(taken, id_of, strict=True)), bool, len(taken))
-        whole = [None if none else c for c, none in zip(taken, (found | np.concatenate(bare)).tolist(), strict=True)]
-        # runs of settled stretches that follow each other become one row
-        head = np.concatenate([[True], ~(found[1:] & found[:-1] & (at[1:] == at[:-1]) & (start[1:] == stop[:-1]))])
-        last = np.concatenate([np.flatnonzero(head)[1:] - 1, [len(head) - 1]])
-        head = np.flatnonzero(head)
-        row = rows_[at[head]]
-        columns = [np.where(found[head], row, key.view(np.int64)[head]), row, ids[at[head]], start[head], stop[last], found[head]]
-        arrays = [pa.array(x) for x in columns]
-        arrays.insert(1, pa.array([whole[k] for k in head.tolist()], pa.binary()))
-        return pa.RecordBatch.from_arrays(arrays, names)
-
-    shape = "row long, start long, stop long"
-    met = rows.mapInArrow(stretches, "key long, bytes binary, row long, id long, start long, stop long, found boolean").repartition(shuffle_partitions(spark), "key")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, held = ["row", "start", "stop"], []
+            order, least = first_in_buffer(name, rest[0])
+            at = order[least]
+            text = {row: data.tobytes() for row, _, data in held}
+            way = np.isin(key[at], often.value)
+            yield from _sorted_runs(key[at[~way]], [x[at[~way]] for x in rest], text, window, width, fields)
+            yield from _bare_windows([x[at[way]] for x in rest], text, window, fields)
+
+    sent = stored(rows.mapInArrow(to_sort, shape), "suffix-runs")
+    spans = "row long, start long, stop long"
+
+    def compare(runs: pa.Table) -> pa.Table:
+        return pa.table([pa.array(x) for x in _equal_windows(runs, window, gram)], names=["row", "start", "stop"])
+
+    compared = sent.where("part is not null").groupBy("part").applyInArrow(compare, spans)
+    bare = sent.where("name is not null").withColumn("later", F.col("id") > F.min("id").over(W.partitionBy("name"))).where("later")
+    parts = [settled.where("later"), sent.where("part is null and name is null"), bare]
+    for part in parts:
+        compared = compared.union(part.select("row", "start", "stop"))
+    hits = stored(compared.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("hits")), "hits")
+    for table in (settled, sent, count):
+        dropped(table)
+    touched, row_bits = _marked(hits.select("row"))
+
+    def hit(row: pa.Array) -> np.ndarray:
+        return is_repeated(touched.value, slots_of(row.to_numpy().view(np.uint64), row_bits))
+
+    @F.arrow_udf("boolean")
+    def may_be_hit(row: pa.Array) -> pa.Array:
+        return pa.array(hit(row))
+
+    remove, result = _remover(window), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.select(names).filter(batch.column("found"))
-            held.append(batch.filter(pa.compute.invert(batch.column("found"))))
-        if not held:
-            return
-        whole = pa.Table.from_batches(held)
-        windows = pa.compute.sum(pa.compute.subtract(whole["stop"], whole["start"])).as_py() or 0
-        parts = max(1, -(-windows // CHUNK))
-        share = whole["key"].to_numpy().view(np.uint64) // np.uint64(257) % np.uint64(parts)
-        for k in range(parts):
-            part = whole.filter(pa.array(share == k)).combine_chunks()
-            if part.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _later(part, window)], names)
-
-    hits = met.mapInArrow(compare, shape).groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("hits"))
+            part = batch.filter(pa.array(~hit(batch.column("row"))))
+            none = pa.nulls(part.num_rows, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
+            yield from remove(iter([pa.RecordBatch.from_arrays([part.column("id"), part.column("text"), none], ["id", "text", "hits"])]))
+
+    # only texts of which something may go are sent
+    done = rows.where(may_be_hit("row")).join(hits, "row", "left").select("id", "text", "hits").mapInArrow(remove, result).union(rows.mapInArrow(whole, result))
+    return done.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
+
+
+def _batch(fields: list[str], n: int, **columns: pa.Array) -> pa.RecordBatch:
+    kinds = {"part": pa.int32(), **dict.fromkeys(("shared", "tail", "length", "before"), pa.binary()), **dict.fromkeys(("ids", "rows", "starts", "stops", "anchors"), pa.list_(pa.int64()))}
+    return pa.RecordBatch.from_arrays([columns[f] if f in columns else pa.nulls(n, kinds.get(f, pa.int64())) for f in fields], fields)
+
+
+def _sorted_runs(key: np.ndarray, rest: list[np.ndarray], text: dict[int, bytes], window: int, width: int, fields: list[str]) -> Iterator[pa.RecordBatch]:
+    """One batch for each range of names: its suffixes, sorted and front-coded, with what stands before their anchors, backwards."""
+    number, row, start, stop, anchor = rest
+    strings = [k.to_bytes(NAME, "big") + text[r][p : e + window - 1] for k, r, p, e in zip(key.tolist(), row.tolist(), anchor.tolist(), stop.tolist(), strict=True)]
+    order = sorted(range(len(strings)), key=strings.__getitem__)
+    part = [k // width for k in key[order].tolist()]
+    edge = [k for k in range(len(part)) if not k or part[k] != part[k - 1]] + [len(part)]
+    for a, b in zip(edge, edge[1:], strict=False):
+        at = order[a:b]
+        shared, tail = front_coded([strings[k] for k in at])
+        length = np.array([len(strings[k]) for k in at], np.uint8)
+        before = b"".join(text[r][s:p][::-1] for r, s, p in zip(row[at].tolist(), start[at].tolist(), anchor[at].tolist(), strict=True))
+        blobs = {n: pa.array([x], pa.binary()) for n, x in (("shared", shared.tobytes()), ("tail", tail), ("length", length.tobytes()), ("before", before))}
+        lists = {n: pa.array([x[at]], pa.list_(pa.int64())) for n, x in (("ids", number), ("rows", row), ("starts", start), ("stops", stop), ("anchors", anchor))}
+        yield _batch(fields, 1, part=pa.array([part[a]], pa.int32()), **blobs, **lists)
+
 
+def _bare_windows(rest: list[np.ndarray], text: dict[int, bytes], window: int, fields: list[str]) -> Iterator[pa.RecordBatch]:
+    """Windows of the stretches by their hashes; without them, runs of those that have a smaller id in the buffer."""
+    if not len(rest[0]):
+        return
+    number, row, start, stop, _ = (x[np.lexsort((rest[2], rest[1]))] for x in rest)
+    size = stop - start
+    hashes = np.concatenate([gram_hashes(np.frombuffer(text[r], np.uint8, e + window - 1 - s, s), window)[0] for r, s, e in zip(row.tolist(), start.tolist(), stop.tolist(), strict=True)])
+    of = np.repeat(np.arange(len(size)), size)
+    at = start[of] + np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+    order, least = first_in_buffer(hashes, number[of])
+    later = np.empty(len(of), bool)
+    later[order] = ~least
+    own = [pa.array(x[~later]) for x in (hashes.view(np.int64), number[of], row[of], at, at + 1)]
+    yield _batch(fields, len(own[0]), **dict(zip(("name", "id", "row", "start", "stop"), own, strict=True)))
+    spans = [pa.array(x) for x in _runs(later, row[of], at, at + 1)]
+    yield _batch(fields, len(spans[0]), **dict(zip(("row", "start", "stop"), spans, strict=True)))
+
+
+def _equal_windows(table: pa.Table, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows (row, start, stop) that a stretch of a smaller id in one of the runs of suffixes has too."""
+    blob = lambda c: [np.frombuffer(x.as_buffer(), np.uint8) for x in table[c]]
+    column = lambda c: pa.compute.list_flatten(table[c].combine_chunks()).to_numpy()
+    runs, share = merged([(x, t.tobytes(), n) for x, t, n in zip(blob("shared"), blob("tail"), blob("length"), strict=True)])
+    # the merged order as places in the runs laid end to end
+    at = np.argsort(np.argsort(runs, kind="stable"))
+    number, row, start, stop, anchor = (column(c)[at] for c in ("ids", "rows", "starts", "stops", "anchors"))
+    before, reach = np.concatenate(blob("before")), anchor - start
+    ahead = column("anchors") - column("starts")
+    first = (np.cumsum(ahead) - ahead)[at]
+    left, found = np.zeros(len(at), np.uint64), np.zeros((len(at), window - gram + 1), bool)
+    for i in range(window - gram + 1):  # windows that start i bytes before their anchors
+        if i:
+            has = reach >= i
+            left[has] = (left[has] ^ before[first[has] + i - 1].astype(np.uint64) + np.uint64(1)) * _MIX
+            left[has] ^= left[has] >> np.uint64(29)
+        right = np.cumsum(share < NAME + window - i)
+        k = np.flatnonzero((reach >= i) & (anchor - stop < i))
+        if len(k) < 2:
+            continue
+        same = right[k[1:]] == right[k[:-1]]
+        k = k[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+        if not len(k):
+            continue
+        k = k[np.lexsort((number[k], left[k], right[k]))]
+        new = np.concatenate([[True], (right[k[1:]] != right[k[:-1]]) | (left[k[1:]] != left[k[:-1]])])
+        found[k, i] = number[k] > number[k[new]][np.cumsum(new) - 1]
+    edge = np.diff(np.pad(found[:, ::-1], ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    (which, begin), end = np.nonzero(edge == 1), np.nonzero(edge == -1)[1]
+    base = anchor[which] - (window - gram)
+    return row[which], base + begin, base + end
+
+
+def _remover(window: int):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [[], [], [], [], []]
@@ -173,30 +308,4 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x, t) for x, t in zip(out, types, strict=True))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    done = rows.join(hits, "row", "left").select("id", "text", "hits").mapInArrow(remove, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
-    return done.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
-
-
-def _later(part: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows (row, start, stop) that some stretch of a smaller id has too."""
-    start, row, number = (part[c].to_numpy() for c in ("start", "row", "id"))
-    count = part["stop"].to_numpy() - start
-    bare = part["bytes"].is_null().to_numpy()  # one window of a common key: its key is its hash
-    data = np.frombuffer(b"".join(x for x in part["bytes"].to_pylist() if x is not None), np.uint8)
-    length = np.where(bare, 0, count + window - 1)
-    first = np.cumsum(length) - length
-    of = np.repeat(np.arange(len(count)), count)
-    place = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-    hashes = part["key"].to_numpy().view(np.uint64)[of]
-    spanned = ~bare[of]
-    hashes[spanned] = gram_hashes(data, window)[0][(first[of] + place)[spanned]]
-    order, least = first_in_buffer(hashes, number[of])
-    later = np.zeros(len(of), bool)
-    later[order] = ~least
-    at = np.flatnonzero(later)
-    if not len(at):
-        return row[:0], start[:0], start[:0]
-    new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (of[at[1:]] != of[at[:-1]])])
-    begin = at[new]
-    end = at[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(at) - 1]])]
-    return row[of[begin]], start[of[begin]] + place[begin], start[of[end]] + place[end] + 1
+    return remove

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -58,3 +60,34 @@ def covered(starts: np.ndarray, window: int, length: int) -> np.ndarray:
     np.add.at(edge, starts, 1)
     np.add.at(edge, starts + window, -1)
     return np.cumsum(edge)[:length] > 0
+
+
+class Stretches(NamedTuple):
+    """Runs of windows whose least gram is the same place: windows ``begin`` to ``end``, the place, its gram's hash, the run's hash."""
+
+    begin: np.ndarray
+    end: np.ndarray
+    anchor: np.ndarray
+    key: np.ndarray
+    name: np.ndarray
+
+
+def stretches(units: np.ndarray, window: int, gram: int, named: bool = True) -> Stretches:
+    """Stretches of a text; of a window's equal least grams the first counts. Equal windows lie alike about their anchors.
+
+    A stretch spans less than two windows, so the hashes of its first and its last window and its length name all of it.
+    Without ``named`` the names stay empty.
+    """
+    if len(units) < window:
+        none = np.zeros(0, np.int64)
+        return Stretches(none, none, none, none.view(np.uint64), none.view(np.uint64))
+    grams, hashes = gram_hashes(units, gram, window) if named else (gram_hashes(units, gram)[0], None)
+    low = np.uint64(32)
+    place = (sliding_min(grams >> low << low | np.arange(len(grams), dtype=np.uint64), window - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    begin = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
+    end = np.concatenate([begin[1:], [len(place)]])
+    anchor = place[begin]
+    if not named:
+        return Stretches(begin, end, anchor, grams[anchor], begin[:0].view(np.uint64))
+    name = _mix(_mix(hashes[begin] * _A + hashes[end - 1]) * _A + (end - begin).astype(np.uint64))
+    return Stretches(begin, end, anchor, grams[anchor], name)
