@@ -84,6 +84,18 @@ SQL = {
         g AS (SELECT doc_id, template, n, s, k FROM m UNION SELECT doc_id, template, n, s, k - 1 FROM m WHERE k > 0),
         c AS (SELECT doc_id, template, n, k, count(DISTINCT s) AS c FROM g GROUP BY ALL)
         SELECT doc_id, template, max(c)::BIGINT AS n_shared, n::BIGINT AS n_shingles, round(max(c) / n, 6) AS containment FROM c GROUP BY doc_id, template, n HAVING 5 * max(c) >= 4 * n""",
+    "op9_suffix_dedup": r"""
+        WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        c AS (SELECT doc_id, j, h[400 * j + 1:400 * j + 498] AS c FROM h, range(0, length(h) // 400 + 1) r(j) WHERE length(h) >= 100),
+        s AS (SELECT doc_id, 200 * j + o AS i, c[2 * o + 1:2 * o + 100] AS k FROM c, range(0, 200) r(o) WHERE length(c) >= 2 * o + 100),
+        m AS (SELECT k, min(doc_id) AS least FROM s GROUP BY k),
+        t AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER w + 50 THEN 1 ELSE 0 END AS new FROM s JOIN m USING (k) WHERE doc_id > least WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+        u AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM t),
+        v AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM u GROUP BY doc_id, run),
+        p AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM v),
+        g AS (SELECT doc_id, sum(b - a)::BIGINT AS gone, count(*) AS n, max(b) AS last, string_agg(h[2 * before + 1:2 * a], '' ORDER BY a) AS kept FROM p JOIN h USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+               sha256(unhex(coalesce(kept, '') || h[2 * coalesce(last, 0) + 1:])) AS kept_sha256 FROM h LEFT JOIN g USING (doc_id)""",
     "op10_sharding": r"""
         SELECT doc_id, CASE WHEN doc_id % 8 < 4 THEN 'a0000-a0003' ELSE 'a0004-a0007' END AS run, lang, source, n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents""",
     "op1_exact_dedup": r"""
