@@ -40,6 +40,8 @@ COMMON, SHARE, MOST = 200, 1 / 2000, 100_000
 BUFFER = 6_000_000
 #: Rows that a task hands over at a time.
 ROWS = 50_000
+#: Keys whose slots a task holds at a time.
+KEYS = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,8 +68,15 @@ def _marked(keys: DataFrame) -> tuple[object, int]:
     bits = bits_for(keys.count())
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield packed([slots_of(batch.column(0).to_numpy().view(np.uint64), bits)], bits, 1)
+        held, size = [], 0
+        for batch in batches:  # many keys at a time, as each range is a row
+            held.append(slots_of(batch.column(0).to_numpy().view(np.uint64), bits))
+            size += len(held[-1])
+            if size > KEYS:
+                yield packed(held, bits, 1)
+                held, size = [], 0
+        if held:
+            yield packed(held, bits, 1)
 
     return marked_slots(keys.mapInArrow(slots, PACKED), bits, least=1), bits
 
