@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .html_extract import extract_main_text
 from .jaccard_join import jaccard_join
 from .license_scan import TEMPLATES, license_scan, shingles_of
+from .resampling import resample
 from .scratch import shared_dir
 from .sentencepiece_codec import encode_decode
 from .sharding import shard
@@ -71,11 +72,39 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "run", "lang", "source", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_sentencepiece, op4_jaccard_join, op5_substring_dedup, op6_decontaminate, op7_html_text, op8_toxicity, op9_suffix_dedup, op10_sharding)}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_sentencepiece, op4_jaccard_join, op5_substring_dedup, op6_decontaminate, op7_html_text, op8_toxicity, op9_suffix_dedup, op10_sharding, op11_resampling)}
 
 _TEMPLATE_ROWS = ", ".join("('{}', {}, '{}')".format(name, len(set(shingles_of(text))), s) for name, text in TEMPLATES.items() for s in sorted(set(shingles_of(text))))
 
+def _half_byte(x: int) -> int:
+    for _ in range(4):
+        x = x >> 1 ^ 0xEDB88320 * (x & 1)
+    return x
+
+
+_CRC32 = f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(regexp_replace(hex(encode(k)), '(.)(.)', '\\2\\1', 'g'), ''), lambda c: strpos('123456789ABCDEF', c)::BIGINT)),
+            lambda c, x: xor(c >> 4, list_extract({[_half_byte(x) for x in range(16)]}::BIGINT[], xor(c & 15, x) + 1))))"""
+
 SQL = {
+    "op11_resampling": rf"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        f AS (SELECT doc_id, array_to_string(w[i:i + n - 1], ' ') AS k FROM w, range(1, 4) r(n), range(1, len(w) - n + 2) s(i) WHERE len(w) >= n),
+        g AS (SELECT array_to_string(w[i:i + n - 1], ' ') AS k FROM b, range(1, 4) r(n), range(1, len(w) - n + 2) s(i) WHERE len(w) >= n),
+        crc AS (SELECT k, {_CRC32} % 10000 AS bucket FROM (SELECT k FROM f UNION SELECT k FROM g)),
+        s AS (SELECT bucket, count(*) AS s FROM f JOIN crc USING (k) GROUP BY bucket),
+        t AS (SELECT bucket, count(*) AS t FROM g JOIN crc USING (k) GROUP BY bucket),
+        gain AS (SELECT r.bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM f) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM g) + 10000)::DOUBLE)))::BIGINT AS gain
+                 FROM range(10000) r(bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+        weight AS (SELECT doc_id, count(*) AS n, sum(gain)::BIGINT AS weight FROM f JOIN crc USING (k) JOIN gain USING (bucket) GROUP BY doc_id),
+        score AS (SELECT doc_id, len(w) AS words, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+                         coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || sha256('42:' || doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM w LEFT JOIN weight USING (doc_id)),
+        place AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM score WHERE words >= 20)
+        SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 5 * (SELECT count(*) FROM place) // 100 THEN rank END AS rank FROM score LEFT JOIN place USING (doc_id)""",
     "op2_license_scan": rf"""
         WITH t(template, n, s) AS (VALUES {_TEMPLATE_ROWS}),
         w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w FROM documents),
