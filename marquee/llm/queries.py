@@ -19,6 +19,7 @@ from .sharding import shard
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .toxicity import toxicity
+from .warc import read_archives, write_archives
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,7 +77,12 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_sentencepiece, op4_jaccard_join, op5_substring_dedup, op6_decontaminate, op7_html_text, op8_toxicity, op9_suffix_dedup, op10_sharding, op11_resampling)}
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packages = write_archives(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}")
+    return read_archives(packages, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_sentencepiece, op4_jaccard_join, op5_substring_dedup, op6_decontaminate, op7_html_text, op8_toxicity, op9_suffix_dedup, op10_sharding, op11_resampling, op12_warc)}
 
 _TEMPLATE_ROWS = ", ".join("('{}', {}, '{}')".format(name, len(set(shingles_of(text))), s) for name, text in TEMPLATES.items() for s in sorted(set(shingles_of(text))))
 
@@ -90,6 +96,10 @@ _CRC32 = f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_t
             lambda c, x: xor(c >> 4, list_extract({[_half_byte(x) for x in range(16)]}::BIGINT[], xor(c & 15, x) + 1))))"""
 
 SQL = {
+    "op12_warc": r"""
+        WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to FROM f""",
     "op11_resampling": rf"""
         WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
