@@ -18,6 +18,7 @@ from .sentencepiece_codec import encode_decode
 from .sharding import shard
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
+from .token_alignment import align_tokens
 from .toxicity import toxicity
 from .warc import read_archives, write_archives
 
@@ -26,10 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def piece_model() -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path(name)
+
+
+def piece_model() -> str:
+    return vocabulary("piece_bpe_32k.model")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +87,11 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(packages, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_sentencepiece, op4_jaccard_join, op5_substring_dedup, op6_decontaminate, op7_html_text, op8_toxicity, op9_suffix_dedup, op10_sharding, op11_resampling, op12_warc)}
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), piece_model())
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_sentencepiece, op4_jaccard_join, op5_substring_dedup, op6_decontaminate, op7_html_text, op8_toxicity, op9_suffix_dedup, op10_sharding, op11_resampling, op12_warc, op13_token_alignment)}
 
 _TEMPLATE_ROWS = ", ".join("('{}', {}, '{}')".format(name, len(set(shingles_of(text))), s) for name, text in TEMPLATES.items() for s in sorted(set(shingles_of(text))))
 
