@@ -5,13 +5,13 @@ Each function returns a whole new state, since plain Parquet cannot change rows;
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..functions.temporal import merged_datetime
+from ..sources.versions import kept
 
 KEY = ["university", "college", "college_type", "slot"]
 REPLACED = ("status", "title", "source")
@@ -49,30 +49,55 @@ def upsert_notices(stored: DataFrame, arrived: DataFrame, at: Column) -> DataFra
     return both.select("url", *[v.alias(k) for k, v in out.items()])
 
 
-def collapse_prefixes(arrived: DataFrame, width: int = 24) -> DataFrame:
+def _grams(text: Column, size: Column) -> Column:
+    """Distinct substrings of that length."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, size)))
+
+
+def contained_starts(titles: DataFrame, key: list[str], width: int, gram: int = 8) -> DataFrame:
+    """ord, start: which starts of a college's titles stand anywhere in which of its titles.
+
+    A start is looked up by the rarest of its substrings of ``gram`` characters (a shorter start by itself), titles by all
+    of theirs; only what shares that substring is compared.
+    """
+    starts = titles.select(*key, F.left("title", F.lit(width)).alias("start")).distinct().withColumn("size", F.least(F.length("start"), F.lit(gram)))
+    parts = starts.select(*key, "start", "size", F.explode(_grams(F.col("start"), F.col("size"))).alias("gram"))
+    sizes = starts.select("size").distinct()  # at most ``gram`` rows
+    of_titles = titles.join(F.broadcast(sizes), F.length("title") >= F.col("size")).select("ord", *key, "title", F.explode(_grams(F.col("title"), F.col("size"))).alias("gram"))
+    common = of_titles.groupBy(*key, "gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = parts.join(common, [*key, "gram"]).groupBy(*key, "start").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    return of_titles.join(rarest, [*key, "gram"]).where(F.col("title").contains(F.col("start"))).select("ord", *key, "start")
+
+
+def collapse_prefixes(arrived: DataFrame, width: int = 24, key: tuple[str, ...] = ("university", "college")) -> DataFrame:
     """In-batch fold: a row goes if its title's start stands in an earlier title that stays, or that one's start in it.
 
-    Of equal titles of a college the first row (by ``ord``) stays, which a shuffle finds. The rest of the rule depends on
-    the order of rows, so the distinct titles of a college are folded one after another. Null and empty titles all stay.
+    Of equal titles of a college the first row (by ``ord``) stays. The rest of the rule depends on the order of rows and is
+    not transitive, so it is settled in rounds: a row stays once no earlier row that is still open or stays is in conflict
+    with it, and goes once one that stays is. Conflicts are kept as pairs of a title and a start that stands in it, never
+    as pairs of titles, and each round takes minima per start and per title; the first open row is settled in each round.
+    Null and empty titles all stay.
     """
-    key = ["university", "college"]
+    key = list(key)
     titled = arrived.select("ord", *key, "title").where("title <> ''")
-    distinct = titled.groupBy(*key, "title").agg(F.min("ord").alias("ord"))
-
-    def fold(rows: pa.Table) -> pa.Table:
-        rows, stay, starts, whole = rows.sort_by("ord"), [], set(), []
-        for title in rows["title"].to_pylist():
-            start = title[:width]
-            taken = start in starts or any(start in t for t in whole) or any(s in title for s in starts)
-            stay.append(not taken)
-            if not taken:
-                starts.add(start)
-                whole.append(title)
-        return rows.filter(pa.array(stay, pa.bool_()))
-
-    shape = "ord long, university string, college string, title string"
-    folded = distinct.select("ord", *key, "title").groupBy(*key).applyInArrow(fold, shape)
-    return folded.union(arrived.where("coalesce(title, '') = ''").select("ord", *key, "title"))
+    distinct = kept(titled.groupBy(*key, "title").agg(F.min("ord").alias("ord")), "fold-titles")
+    whole = arrived.where("coalesce(title, '') = ''").select("ord", *key, "title")
+    held = kept(contained_starts(distinct, key, width), "fold-conflicts")
+    own = distinct.select("ord", *key, F.left("title", F.lit(width)).alias("start"))
+    state = distinct.select("ord", F.lit(None).cast("boolean").alias("stays"))
+    while True:
+        least = lambda name: [F.min(F.when(ok, F.col("ord"))).alias(f"{name}_{k}") for k, ok in (("open", F.coalesce("stays", F.lit(True))), ("stays", F.col("stays")))]
+        now = state.where("coalesce(stays, true)")
+        by_start = own.join(now, "ord").groupBy(*key, "start").agg(*least("owner"))
+        by_title = held.join(now, "ord").groupBy(*key, "start").agg(*least("holder"))
+        owners = held.join(by_start, [*key, "start"]).groupBy("ord").agg(F.min("owner_open").alias("owner_open"), F.min("owner_stays").alias("owner_stays"))
+        holders = own.join(by_title, [*key, "start"]).select("ord", "holder_open", "holder_stays")
+        rows = state.where("stays is null").join(owners, "ord", "left").join(holders, "ord", "left")
+        before = lambda k: (F.coalesce(f"owner_{k}", "ord") < F.col("ord")) | (F.coalesce(f"holder_{k}", "ord") < F.col("ord"))
+        settled = rows.select("ord", F.when(before("stays"), False).when(~before("open"), True).alias("stays"))
+        state = kept(state.where("stays is not null").unionByName(settled), "fold-state")
+        if state.where("stays is null").isEmpty():
+            return distinct.join(state.where("stays"), "ord", "left_semi").select("ord", *key, "title").unionByName(whole)
 
 
 def coverage_upsert(parts: DataFrame) -> DataFrame:

@@ -22,6 +22,13 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read back: it is computed once, and lost executors cost a few tasks."""
+    path = fresh(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class VersionedTable:
     """States of one table under ``root``. One writer at a time; a half-written state has no _SUCCESS and is never read."""
 
