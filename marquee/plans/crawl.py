@@ -9,6 +9,7 @@ from ..functions.rules import any_word
 from ..operators import store as S
 from ..operators.frontier import expand
 from ..sources.tables import notices, read
+from ..streaming import jobs
 from .ctes import NOTICES, sql
 
 QUERIES: dict = {}
@@ -107,3 +108,24 @@ def snk_01b_fold(spark, sf_dir):
     """Titles that contain one another's starts either way, some only by way of a title that goes."""
     rows = notices(spark, sf_dir).selectExpr("university", "college", f"{_TITLE.format(left='left(title, 12)')} AS title", "id AS ord")
     return S.collapse_prefixes(rows)
+
+
+CUES = ("worthless", "stupid", "disgusting")
+_PARTS = "least(3, doc_id * 4 // ((SELECT max(doc_id) FROM documents) + 1))"
+
+
+@query("st_08_learned_pieces", f"""WITH d AS (SELECT doc_id AS id, {_PARTS}::INT AS part, text, trim(text[1:60]) AS title, text[1:300] AS snippet, doc_id % 9 = 0 AS taught FROM documents),
+    told AS (SELECT * FROM d WHERE taught QUALIFY row_number() OVER (PARTITION BY title[1:40] ORDER BY id) = 1),
+    turns AS (SELECT *, row_number() OVER (PARTITION BY title[1:24] ORDER BY id) AS turn FROM told),
+    pieces AS (SELECT title[1:24] AS piece, part, id FROM turns WHERE turn = 1 AND length(title) >= 6 UNION ALL SELECT title[1:16], part, id FROM turns WHERE turn = 2 AND length(title) >= 6
+        UNION ALL SELECT c, part, id FROM told, (SELECT unnest({list(CUES)}) AS c) WHERE contains(title, c) OR contains(snippet, c)),
+    rules AS (SELECT piece, arg_min(part, id) AS part, min(id) AS id FROM pieces GROUP BY piece),
+    hits AS (SELECT d.id, arg_min(piece, (r.part, r.id, piece)) AS piece FROM d JOIN rules r ON r.part < d.part AND contains(d.text, piece) GROUP BY d.id)
+    SELECT id, d.part, piece IS NOT NULL AS rejected, piece FROM d LEFT JOIN hits USING (id)""")
+def st_08_pieces(spark, sf_dir):
+    """Whole texts of four runs, judged by the 24- or 16-letter starts and the cue words of what earlier runs saw rejected."""
+    d = read(spark, sf_dir, "documents")
+    most = d.agg(F.max("doc_id")).first()[0] or 0
+    rows = d.select(F.col("doc_id").alias("id"), F.trim(F.substring("text", 1, 60)).alias("title"), F.substring("text", 1, 300).alias("snippet"), "text", (F.col("doc_id") % 9 == 0).alias("taught"))
+    part = F.least(F.lit(3), F.floor(F.col("id") * 4 / (most + 1)))
+    return jobs.learned_pieces(spark, [rows.where(part == k) for k in range(4)], CUES)

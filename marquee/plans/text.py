@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions.html import anchors, page_texts
 from ..functions.rules import FIXTURE, any_word, count_words, first_word
-from ..functions.similarity import similarity
+from ..operators.near_titles import near_titles
 from ..functions.temporal import first_plain_date, merged_datetime, normalise_datetime
 from ..sources.tables import forum_posts, notices, read
 from .ctes import NOTICES, sql
@@ -154,15 +154,15 @@ def str_05(spark, sf_dir):
 
 @query("str_07_similarity")
 def str_07(spark, sf_dir):
-    """Without SQL: all pairs of distinct titles of a college whose matching-block ratio is at least 0.88; tests hold it against brute force.
-
-    The ratio is at most twice the shorter length over both lengths, which the join checks before any text is compared.
-    """
-    t = notices(spark, sf_dir).select("university", "college", "title").distinct()
-    other = t.select("university", "college", F.col("title").alias("other"))
-    short, both = F.least(F.length("title"), F.length("other")), F.length("title") + F.length("other")
-    pairs = t.join(other, ["university", "college"]).where((F.col("title") < F.col("other")) & (short * 2 >= both * 0.88))
-    return pairs.select("university", "college", "title", "other", F.round(similarity("title", "other"), 6).alias("ratio")).where("ratio >= 0.88")
+    """Without SQL: all pairs of distinct titles of a college whose matching-block ratio is at least 0.88; tests hold it against brute force."""
+    return near_titles(notices(spark, sf_dir), ["university", "college"]).withColumn("ratio", F.round("ratio", 6))
+
+
+@query("str_07_document_titles")
+def str_07_documents(spark, sf_dir):
+    """Without SQL: near duplicates among the beginnings of a source's texts, without years and white space; tests hold it against brute force."""
+    title = F.substring(F.regexp_replace(F.regexp_replace("text", r"20\d{2}", ""), r"\s+", ""), 1, 48)
+    return near_titles(read(spark, sf_dir, "documents").select("source", title.alias("title")), ["source"]).withColumn("ratio", F.round("ratio", 6))
 
 
 @query("str_08_title_line", "SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: length(x) >= 8 AND contains(x, 'the'))[1] AS title FROM documents")

@@ -152,3 +152,57 @@ def learned_rules(spark: SparkSession, rows: DataFrame, parts: int = 4, width: i
     stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
     stream.writeStream.foreachBatch(judge).option("checkpointLocation", f"{root}-checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("id long, rejected boolean, batch int").parquet(root).drop("batch")
+
+
+#: Letters of a rejected title that are learned, longest first, and the newest pieces that are in force.
+HEADS, LEAST_PIECE, NEWEST = (24, 16), 6, 50_000
+
+
+def taught(rejected: DataFrame, rules: DataFrame, cues: tuple[str, ...]) -> DataFrame:
+    """piece, id: what rejected rows (id, title, snippet) teach beyond the pieces of ``rules``, with the row that taught it.
+
+    A title teaches its first 24 letters, or, if they are known, its first 16; of titles with the same 24 the second
+    therefore teaches 16. Pieces of fewer than six letters are not learned. Cue words in title or snippet are pieces too.
+    """
+    long, short = (F.left("title", F.lit(n)) for n in HEADS)
+    turn = F.row_number().over(W.partitionBy("long").orderBy("id"))
+    rows = rejected.select("id", "title", "snippet", long.alias("long"), short.alias("short")).withColumn("turn", turn)
+    known = rules.select(F.col("piece").alias("long"), F.lit(True).alias("known")).distinct()
+    rows = rows.join(known, "long", "left")
+    heads = rows.select(F.when((F.col("turn") == 1) & F.col("known").isNull(), F.col("long")).otherwise(F.col("short")).alias("piece"), "id").where(F.length("piece") >= LEAST_PIECE)
+    spoken = F.filter(F.array(*map(F.lit, cues)), lambda w: F.contains("title", w) | F.contains("snippet", w)) if cues else F.array().cast("array<string>")
+    every = heads.unionByName(rejected.select(F.explode(spoken).alias("piece"), "id"))
+    return every.groupBy("piece").agg(F.min("id").alias("id")).join(rules.select("piece"), "piece", "left_anti")
+
+
+def learned_pieces(spark: SparkSession, parts: list[DataFrame], cues: tuple[str, ...]) -> DataFrame:
+    """id, part, rejected, piece: each scheduled run judges the texts that have arrived by the pieces that earlier runs have learned.
+
+    Parts have id, title, snippet, text and taught (whether the row was rejected by a person or a model, and so teaches). A
+    title teaches once, by its first 40 letters. Rules are a table by version; of them the newest ``NEWEST`` are in force.
+    A run that is tried again after a failure replaces its own rows and its own version.
+    """
+    from ..functions.automaton import first_piece
+
+    inbox, root = fresh(spark, "arriving-texts"), fresh(spark, "judged-texts")
+    empty = "piece string, id long"
+
+    def before(number: int, kind: str, shape: str) -> DataFrame:
+        return spark.read.schema(f"{shape}, batch int").parquet(f"{root}-{kind}").where(F.col("batch") < number) if number else spark.createDataFrame([], f"{shape}, batch int")
+
+    def judge(batch: DataFrame, number: int) -> None:
+        rules = before(number, "rules", empty)
+        pieces = [r.piece for r in rules.orderBy(F.desc("batch"), F.desc("id"), "piece").limit(NEWEST).collect()][::-1]
+        hit = first_piece(F.col("text"), pieces)
+        words = F.array(*map(F.lit, pieces)) if pieces else F.array().cast("array<string>")
+        batch.select("id", hit.alias("hit")).select("id", F.col("hit").isNotNull().alias("rejected"), F.get(words, F.col("hit").cast("int")).alias("piece")).write.mode("overwrite").parquet(f"{root}/batch={number}")
+        told = first_per_key(batch.where("taught").withColumn("sig", F.left("title", F.lit(40))), ["sig"], ["id"])
+        told = told.join(before(number, "told", "sig string").select("sig"), "sig", "left_anti")
+        told.select("sig").write.mode("overwrite").parquet(f"{root}-told/batch={number}")
+        taught(told, rules, cues).write.mode("overwrite").parquet(f"{root}-rules/batch={number}")
+
+    for part in parts:  # each run takes what has arrived since the one before
+        part.write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(part.schema).parquet(inbox)
+        stream.writeStream.foreachBatch(judge).option("checkpointLocation", f"{root}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("id long, rejected boolean, piece string, batch int").parquet(root).withColumnRenamed("batch", "part")

@@ -5,9 +5,14 @@ from collections import Counter
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
+from marquee.functions.automaton import first_piece
 from marquee.operators.frontier import expand
+from marquee.operators.near_titles import near_titles
 from marquee.operators.store import collapse_prefixes
+from marquee.plans import registry
+from marquee.streaming.jobs import learned_pieces
 
 
 @pytest.mark.parametrize(("seed", "width", "length"), [(1, 3, 6), (2, 2, 9), (3, 12, 30)])
@@ -66,3 +71,78 @@ def test_expand(spark, budget, width, depth):
     assert sorted(map(tuple, found.collect())) == crawl(seeds, pages, links, budget, width, depth)
     most = Counter(r[0] for r in found.collect())
     assert max(most.values()) <= max(1, budget)
+
+
+def similar(rows, threshold=0.88):
+    by, out = {}, set()
+    for key, title in rows:
+        if title is not None:
+            by.setdefault(key, set()).add(title)
+    for key, titles in by.items():
+        for a in titles:
+            for b in titles:
+                if a < b and (ratio := SequenceMatcher(None, a, b, autojunk=False).ratio()) >= threshold:
+                    out.add((key, a, b, round(ratio, 6)))
+    return out
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.88, 0.95])
+def test_near_titles(spark, threshold):
+    rng = random.Random(7)
+    rows = [(1, None), (1, ""), (1, "a"), (1, "aa"), (1, "aaa"), (1, "aaaa"), (1, "ab" * 20), (1, "ab" * 21), (2, "a" * 40), (2, "a" * 41), (2, "a" * 48)]
+    for k in range(60):
+        base = "".join(rng.choices("abcdefé ", k=rng.randint(3, 48)))
+        for _ in range(4):
+            edit = list(base)
+            for _ in range(rng.randint(0, 5)):
+                edit[rng.randrange(len(edit))] = rng.choice(["", "x", "ab", "q"])
+            rows.append((k % 3, "".join(edit)))
+    found = near_titles(spark.createDataFrame(rows, "board int, title string"), ["board"], threshold)
+    assert {(r.board, r.title, r.other, round(r.ratio, 6)) for r in found.collect()} == similar(rows, threshold)
+
+
+def test_near_title_queries(spark):
+    sf = "/root/testdata/sf0.001"
+    from marquee.sources.tables import notices
+
+    titles = {((r.university, r.college), r.title) for r in notices(spark, sf).collect()}
+    found = registry.QUERIES["str_07_similarity"](spark, sf).collect()
+    assert found and {((r.university, r.college), r.title, r.other, r.ratio) for r in found} == similar(titles)
+    import re
+
+    titles = {(r.source, re.sub(r"\s+", "", re.sub(r"20\d{2}", "", r.text))[:48]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = registry.QUERIES["str_07_document_titles"](spark, sf).collect()
+    assert {(r.source, r.title, r.other, r.ratio) for r in found} == similar(titles)
+
+
+def test_first_piece(spark):
+    pieces = ["she", "", "he", "hers", "he", "é日", "x" * 30]
+    texts = ["ushers", "", None, "the", "日é日", "y" + "x" * 31, "her she"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").orderBy("k")
+    for held in (pieces, [], [""]):
+        assert [r[0] for r in rows.select(first_piece(F.col("t"), held)).collect()] == [next((k for k, p in enumerate(held) if p and p in (t or "")), None) for t in texts]
+
+
+def test_learned_pieces_in_order(spark):
+    """The rules after each run are those of one pass over its rows in order."""
+    rng = random.Random(9)
+    heads = ["".join(rng.choices("abcdef", k=16)) for _ in range(4)]
+    rows = [(k, rng.choice(heads) + rng.choice(["", "zzzzzzzz", "yyyyyyyyy", "zzzzzzzzq", str(k)]), rng.choice(["bad", "fine"]), "text " + rng.choice(heads) + rng.choice(["", "zzzzzzzz", " bad"]), k % 2 == 0) for k in range(120)] + [(200, "abc", "", "abc", True), (201, None, None, None, True)]
+    frame = spark.createDataFrame(rows, "id long, title string, snippet string, text string, taught boolean")
+    found = {r.id: (r.part, r.rejected) for r in learned_pieces(spark, [frame.where(f"id % 3 = {k}") for k in range(3)], ("bad",)).collect()}
+    pieces, sigs, expected = set(), set(), {}
+    for part in range(3):
+        mine = [r for r in rows if r[0] % 3 == part]
+        for i, _, _, text, _ in mine:
+            expected[i] = (part, any(p in (text or "") for p in pieces))
+        for i, title, snippet, _, teaches in mine:
+            title, snippet = title or "", snippet or ""
+            if teaches and title[:40] not in sigs:
+                sigs.add(title[:40])
+                for piece in (title[:24], title[:16]):
+                    if len(piece) >= 6 and piece not in pieces:
+                        pieces.add(piece)
+                        break
+                if "bad" in title or "bad" in snippet:
+                    pieces.add("bad")
+    assert found == expected and any(v for _, v in found.values())
