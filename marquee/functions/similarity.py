@@ -33,5 +33,8 @@ def similarity_from(threshold: float):
 
 
 def register_functions(spark) -> None:
-    """Make the library's functions known to SQL."""
+    """Make the library's functions known to SQL: text_similarity, and the table functions of pages."""
+    from . import dom
+
     spark.udf.register("text_similarity", similarity)
+    dom.register_functions(spark)
