@@ -20,14 +20,14 @@ IMMEDIATE, MOST = ("no_content", "pdf_garble", "empty_fields", "forum_needs_link
 FILES, LATE = 10, "event_id % 97 = 0"
 
 
-def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events_stream(spark: SparkSession, sf_dir: str, files: int = FILES) -> DataFrame:
     """The event log as files that arrive one after another, each in a micro-batch of its own; late events come last."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     root, on_time = fresh(spark, "arriving-events"), events.where(f"not ({LATE})")
     span = on_time.agg(F.min("ts").cast("timestamp").cast("double").alias("first"), F.max("ts").cast("timestamp").cast("double").alias("last")).first()
-    step = max(1.0, (span["last"] or 0.0) - (span["first"] or 0.0)) / FILES
-    number = F.least(F.lit(FILES - 1), F.floor((F.col("ts").cast("timestamp").cast("double") - F.lit(span["first"] or 0.0)) / step))
-    for k in range(FILES):
+    step = max(1.0, (span["last"] or 0.0) - (span["first"] or 0.0)) / files
+    number = F.least(F.lit(files - 1), F.floor((F.col("ts").cast("timestamp").cast("double") - F.lit(span["first"] or 0.0)) / step))
+    for k in range(files):
         on_time.where(number == k).coalesce(1).write.mode("append").parquet(root)
     events.where(LATE).coalesce(1).write.mode("append").parquet(root)
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(root)
