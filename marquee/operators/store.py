@@ -100,6 +100,19 @@ def collapse_prefixes(arrived: DataFrame, width: int = 24, key: tuple[str, ...]
             return distinct.join(state.where("stays"), "ord", "left_semi").select("ord", *key, "title").unionByName(whole)
 
 
+def messaging_targets(targets: DataFrame, official: DataFrame, messages: DataFrame, waiting: DataFrame | None, searched: DataFrame) -> DataFrame:
+    """Targets worth a search for messages: four conditions in turn, each a join on (university, college).
+
+    Those with an official notice go, then those with a message, those that do not wait (if only waiting ones are
+    wanted and any wait at all), and those that were searched today.
+    """
+    key = ["university", "college"]
+    left = targets.join(official.select(*key).distinct(), key, "left_anti").join(messages.select(*key).distinct(), key, "left_anti")
+    if waiting is not None and not waiting.isEmpty():
+        left = left.join(waiting.select(*key).distinct(), key, "left_semi")
+    return left.join(searched.select(*key).distinct(), key, "left_anti")
+
+
 def coverage_upsert(parts: DataFrame) -> DataFrame:
     """One row per key: the newest time, and the last known announcement id, which some rows do not have. Idempotent."""
     known = F.max_by("announcement_id", F.when(F.col("announcement_id").isNotNull(), F.struct("touched_at", "announcement_id")))

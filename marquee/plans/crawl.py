@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import any_word
 from ..operators import store as S
+from ..functions.temporal import as_of
 from ..operators.frontier import expand
-from ..sources.tables import notices, read
+from ..operators.relocation import relocate
+from ..sources.tables import notices, read, targets
 from ..streaming import jobs
-from .ctes import NOTICES, sql
+from ..streaming.daily import daily_runs
+from .board import listed
+from .ctes import NOTICES, TARGETS, sql
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -99,11 +103,11 @@ def pipe_03_results(spark, sf_dir):
 _TITLE = "CASE id % 7 WHEN 0 THEN concat('again: ', title) WHEN 1 THEN {left} WHEN 2 THEN concat('xx ', title, ' yy', id % 5) WHEN 3 THEN concat('yy', id % 5) WHEN 4 THEN concat(title, ' ', id % 11) WHEN 5 THEN concat('no. ', id % 23, ' of the year') ELSE title END"
 
 
-@query("snk_01b_ordered_fold", sql(f"""RECURSIVE_PLACEHOLDER t AS (SELECT university, college, {_TITLE.format(left='title[1:12]')} AS title, id AS ord FROM notices),
+@query("snk_01b_ordered_fold", sql(f""", t AS (SELECT university, college, {_TITLE.format(left='title[1:12]')} AS title, id AS ord FROM notices),
     d AS (SELECT university, college, title, min(ord) AS ord FROM t GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY university, college ORDER BY ord) AS k FROM d),
     f AS (SELECT university, college, 0::BIGINT AS k, []::VARCHAR[] AS stay FROM (SELECT DISTINCT university, college FROM d)
         UNION ALL SELECT f.university, f.college, n.k, CASE WHEN len(list_filter(stay, lambda x: contains(x, n.title[1:24]) OR contains(n.title, x[1:24]))) > 0 THEN stay ELSE list_append(stay, n.title) END FROM f JOIN n ON n.university = f.university AND n.college = f.college AND n.k = f.k + 1)
-    SELECT ord, university, college, title FROM d JOIN (SELECT university, college, arg_max(stay, k) AS stay FROM f GROUP BY ALL) USING (university, college) WHERE list_contains(stay, title)""", NOTICES).replace("WITH ", "WITH RECURSIVE ", 1).replace(" RECURSIVE_PLACEHOLDER", ","))
+    SELECT ord, university, college, title FROM d JOIN (SELECT university, college, arg_max(stay, k) AS stay FROM f GROUP BY ALL) USING (university, college) WHERE list_contains(stay, title)""", NOTICES).replace("WITH ", "WITH RECURSIVE ", 1))
 def snk_01b_fold(spark, sf_dir):
     """Titles that contain one another's starts either way, some only by way of a title that goes."""
     rows = notices(spark, sf_dir).selectExpr("university", "college", f"{_TITLE.format(left='left(title, 12)')} AS title", "id AS ord")
@@ -129,3 +133,46 @@ def st_08_pieces(spark, sf_dir):
     rows = d.select(F.col("doc_id").alias("id"), F.trim(F.substring("text", 1, 60)).alias("title"), F.substring("text", 1, 300).alias("snippet"), "text", (F.col("doc_id") % 9 == 0).alias("taught"))
     part = F.least(F.lit(3), F.floor(F.col("id") * 4 / (most + 1)))
     return jobs.learned_pieces(spark, [rows.where(part == k) for k in range(4)], CUES)
+
+
+@query("pipe_06_daily_job", sql(""", a AS (SELECT *, id % 3 AS run FROM labelled WHERE id % 10 <> 0),
+    c AS (SELECT r AS batch, (SELECT count(*) FROM a WHERE run = r OR r = 1 AND run = 0 AND id % 2 = 0) AS found, (SELECT count(*) FROM a WHERE run = r) AS new, (SELECT count(*) FROM a WHERE r = 1 AND run = 0 AND id % 2 = 0) AS updated,
+        (SELECT count(DISTINCT (university, college, college_type, slot)) FROM a WHERE run <= r) AS covered, (SELECT count(*) FROM targets t WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.run <= r AND a.university = t.university AND a.college = t.college)) AS pending FROM range(3) x(r))
+    SELECT batch, found, new, updated, covered, pending FROM c""", NOTICES, TARGETS))
+def pipe_06(spark, sf_dir):
+    """Three daily runs over what has arrived, of which the second brings rows again; rejected rows are never stored. The log of the last version."""
+    n = notices(spark, sf_dir).withColumns({"ord": F.col("id"), "rejected": F.col("id") % 10 == 0})
+    again = n.where("id % 3 = 0 and id % 2 = 0").withColumn("deadline", F.lit("1999-01-01"))
+    parts = [n.where("id % 3 = 0"), n.where("id % 3 = 1").unionByName(again), n.where("id % 3 = 2")]
+    return daily_runs(spark, parts, targets(spark, sf_dir), as_of()).read("log")
+
+
+@query("pipe_04_relocation", sql(""", i AS (SELECT id, url FROM notices WHERE deadline IS NULL), m AS (SELECT max(id) + 1 AS m FROM notices),
+    c AS (SELECT i.id, i.url AS own, j, CASE j WHEN 3 THEN i.id WHEN 4 THEN (i.id * 7) % m ELSE (i.id * 7 + j * 131) % m END AS cid, (i.id + j * 5) % 9 - 2 AS score FROM i, m, range(6) r(j)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, j) AS place FROM c WHERE score >= 0),
+    t AS (SELECT r.*, n.url, n.deadline, (cid * 3) % 7 AS page_score, CASE WHEN (cid + j) % 5 = 0 THEN '1998-09-09' END AS snippet, row_number() OVER (PARTITION BY r.id, cid ORDER BY place) AS turn FROM r LEFT JOIN notices n ON n.id = cid WHERE place <= 4),
+    ok AS (SELECT *, deadline IS NOT NULL OR page_score >= score AS better FROM t WHERE turn = 1 AND cid % 11 <> 0 AND url IS NOT NULL AND url <> own)
+    SELECT id, url, CASE WHEN better THEN deadline ELSE snippet END AS deadline, place::INT AS wave FROM ok WHERE better OR snippet IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY place) = 1""", NOTICES))
+def pipe_04(spark, sf_dir):
+    """Notices without a deadline: the four best of six candidates in waves, among them the notice itself and one that comes twice."""
+    n = notices(spark, sf_dir)
+    most = n.agg((F.max("id") + 1).alias("m")).first()["m"] or 1
+    items = n.where("deadline is null").select("id", "url")
+    c = items.select("id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("j")).selectExpr("id", "j", f"CASE j WHEN 3 THEN id WHEN 4 THEN (id * 7) % {most} ELSE (id * 7 + j * 131) % {most} END AS cid", "(id + j * 5) % 9 - 2 AS score")
+    known = n.select(F.col("id").alias("cid"), "url")
+    candidates = c.join(known, "cid").selectExpr("id", "j AS position", "url", "cid % 11 <> 0 AS usable", "score", "IF((cid + j) % 5 = 0, '1998-09-09', NULL) AS snippet_deadline")
+    return relocate(items, candidates, n.select("url", "deadline", ((F.col("id") * 3) % 7).alias("page_score")))
+
+
+@query("join_02_messaging_targets", sql(""", t AS (SELECT *, college_type = 'law' AS law FROM targets), official AS (SELECT DISTINCT university, college FROM labelled WHERE category = 'official' AND slot = 'camp_notice' AND id % 500 = 1),
+    hits AS (SELECT DISTINCT university, college FROM notices WHERE id % 700 = 3), messaging AS (SELECT DISTINCT university, college FROM labelled WHERE category = 'messaging' AND slot = 'camp_notice' AND id % 300 = 2),
+    waiting AS (SELECT university, college FROM targets WHERE ord % 3 > 0), today AS (SELECT DISTINCT university, college FROM notices WHERE id % 900 = 7)
+    SELECT university, college FROM t ANTI JOIN official USING (university, college) ANTI JOIN hits USING (university, college) ANTI JOIN messaging USING (university, college) SEMI JOIN waiting USING (university, college) ANTI JOIN today USING (university, college)""", NOTICES, TARGETS))
+def join_02_messaging(spark, sf_dir):
+    """Targets to search for messages: not on an official site, in the store or this run, no message yet, waiting, and not searched today."""
+    rows = listed(spark, sf_dir)
+    camp = rows.where("slot = 'camp_notice'")
+    return S.messaging_targets(
+        targets(spark, sf_dir), camp.where("category = 'official' and id % 500 = 1").unionByName(rows.where("id % 700 = 3")), camp.where("category = 'messaging' and id % 300 = 2"),
+        targets(spark, sf_dir).where("ord % 3 > 0"), rows.where("id % 900 = 7"),
+    ).select("university", "college")

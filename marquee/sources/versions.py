@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +53,37 @@ class VersionedTable:
         version = (self.versions() or [0])[-1] + 1
         state.write.parquet(f"{self.root}/v{version}")
         return version
+
+
+class TableSet:
+    """Several tables that change together: one version holds a state of each, and one marker makes all of them visible.
+
+    A version is the number of the batch that made it. A batch that failed half-way left folders without a marker, which
+    the next attempt replaces; a batch that is tried again after its marker was set changes nothing.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[int]:
+        if not self._fs.exists(self._path(self.root)):
+            return []
+        names = [s.getPath() for s in self._fs.listStatus(self._path(self.root))]
+        return sorted(int(p.getName()[1:]) for p in names if self._fs.exists(self._path(f"{p.toString()}/_COMMITTED")))
+
+    def read(self, name: str, before: int | None = None) -> DataFrame | None:
+        """The newest state of a table, or the newest one before a version."""
+        known = [v for v in self.versions() if before is None or v < before]
+        return self.spark.read.parquet(f"{self.root}/v{known[-1]}/{name}") if known else None
+
+    def commit(self, version: int, states: dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]]) -> bool:
+        """Write the states in turn, each of which may read those written before it, then show all; False if the version is there."""
+        if version in self.versions():
+            return False
+        read = lambda name: self.spark.read.parquet(f"{self.root}/v{version}/{name}")
+        for name, state in states.items():
+            state(read).write.mode("overwrite").parquet(f"{self.root}/v{version}/{name}")
+        self._fs.create(self._path(f"{self.root}/v{version}/_COMMITTED"), False).close()
+        return True
