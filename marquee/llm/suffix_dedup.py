@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .repeats import PACKED, bits_for, is_repeated, marked_slots, packed, slots_of
-from .scratch import dropped, shuffle_partitions, steady, stored
+from .scratch import dropped, shuffle_partitions, steady, stored, swept
 from .substring_dedup import NO_ID, first_in_buffer, numbered
 from .suffix_runs import NAME, front_coded, merged
 from .windows import gram_hashes, stretches
@@ -152,6 +152,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     settled = named.select("later", *map(kept, ("name", "key", "id")), *map(gone, ("row", "start", "stop"))).union(met.where("name is null").select(F.lit(True), "name", "key", "id", "row", "start", "stop"))
     settled = stored(settled, "settled-stretches")
     dropped(met)
+    swept(spark)
     left = settled.where("not later")
     count = stored(left.groupBy("key").agg(F.min("name").alias("lo"), F.max("name").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n"), "open-grams")
     most = max(common, min(MOST, SHARE * (count.agg(F.sum("n").alias("n")).first().n or 0)))
@@ -186,6 +187,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield from _sorted_runs(key[at[~way]], [x[at[~way]] for x in rest], text, window, width, fields)
             yield from _bare_windows([x[at[way]] for x in rest], text, window, fields)
 
+    swept(spark)
     sent = stored(rows.mapInArrow(to_sort, shape), "suffix-runs")
     spans = "row long, start long, stop long"
 
@@ -200,6 +202,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hits = stored(compared.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("hits")), "hits")
     for table in (settled, sent, count):
         dropped(table)
+    swept(spark)
     touched, row_bits = _marked(hits.select("row"))
 
     def hit(row: pa.Array) -> np.ndarray:
