@@ -48,6 +48,8 @@ SPACE = re.compile(r"[ \t\n\r\f\v   　]+")
 FRAME = frozenset(("#root", "html", "body", "div", "form"))
 #: Bounds of the classes of text lengths and of shares of linked text.
 LENGTHS, LINKED = (1, 25, 80, 300, 1200), (0.05, 0.35, 0.75)
+#: From this chance on that a page has any content, its elements are judged as those of a page that has some.
+LEAST_ANY = 0.15
 
 
 class Page:
@@ -198,6 +200,10 @@ class TreeModel:
 
     def marginals(self, page: Page) -> list[float]:
         """P(content) of each element, by one pass of messages up and one down."""
+        return self.chances(page)[0]
+
+    def chances(self, page: Page) -> tuple[list[float], float]:
+        """P(content) of each element, and the chance that any element is content."""
         n, parent = len(page.tag), page.parent
         edges = [tuple(np.ravel(x).tolist()) for x in self.edge]
         edge = [edges[t in BLOCKS] for t in page.tag]
@@ -208,6 +214,7 @@ class TreeModel:
                 if (x := get(f)) is not None:
                     a0[k] += x[0]
                     a1[k] += x[1]
+        nothing = self.root[0] + sum(a0) + sum(e[0] for e in edge[1:])  # logarithm of the weight of a page without content
         for k in range(n - 1, 0, -1):
             e00, e01, e10, e11 = edge[k]
             up0[k], up1[k] = _add(e00 + a0[k], e01 + a1[k]), _add(e10 + a0[k], e11 + a1[k])
@@ -216,6 +223,7 @@ class TreeModel:
         b0, b1 = a0, a1  # beliefs from below; from here on with what comes from above
         b0[0] += self.root[0]
         b1[0] += self.root[1]
+        some = -math.expm1(min(0.0, nothing - _add(b0[0], b1[0])))
         for k in range(1, n):
             e00, e01, e10, e11 = edge[k]
             p0, p1 = b0[parent[k]] - up0[k], b1[parent[k]] - up1[k]
@@ -223,15 +231,16 @@ class TreeModel:
             top = max(m0, m1)
             b0[k] += m0 - top
             b1[k] += m1 - top
-        return [1 / (1 + math.exp(min(700.0, max(-700.0, x - y)))) for x, y in zip(b0, b1, strict=True)]
+        return [1 / (1 + math.exp(min(700.0, max(-700.0, x - y)))) for x, y in zip(b0, b1, strict=True)], some
 
     def extract(self, source: str | None) -> str:
         page = Page(source or "", labelled=False)
         if not page.texts:
             return ""
-        content, blocks = self.marginals(page), {}
+        (content, some), blocks = self.chances(page), {}
+        bar = 0.5 * some if some >= LEAST_ANY else 0.5  # of those pages that have content at all, most call it content
         for k, block, text in page.texts:
-            if content[k] >= 0.5:
+            if content[k] >= bar:
                 blocks.setdefault(block, []).append(text)
         joined = (SPACE.sub(" ", "".join(parts)).strip() for parts in blocks.values())
         return "\n\n".join(t for t in joined if t)

@@ -12,6 +12,12 @@ CONTENT = (
     '<article data-y="1"><div class="text">{}</div></article>', '<div class="wrapper"><div class="page-body article" data-y="1">{}</div></div>',
     '<div class="content" data-y="1">{}</div>', '<div id="main"><div class="content main-text" data-y="1">{}</div></div>', '<div data-y="1">{}</div>', '<div><div data-y="1">{}</div></div>', '<article data-y="1">{}</article>',
 )
+#: Containers of short texts, by themselves and in the columns of a grid.
+SHORT = (
+    '<main data-y="1">{}</main>', '<section data-y="1">{}</section>', '<div data-y="1">{}</div>', '<div id="content" data-y="1">{}</div>', '<article data-y="1">{}</article>', '<div class="post" data-y="1">{}</div>',
+    '<table><tr><td data-y="1">{}</td></tr></table>', '<main><article data-y="1">{}</article></main>', '<main><section data-y="1">{}</section></main>', '<div class="row"><div class="col" data-y="1">{}</div></div>', '<main><div data-y="1">{}</div></main>',
+    '<div class="container"><div class="row"><div class="column" data-y="1">{}</div></div></div>', '<section><div data-y="1">{}</div></section>', '<div id="main"><section data-y="1">{}</section></div>', '<div class="content" data-y="1">{}</div>',
+)
 WHOLE = ('<body data-y="1">{}', '<body class="page" data-y="1"><div>{}</div>', '<body data-y="1"><div id="wrapper"><div class="inner">{}</div></div>')
 FORM = '<form method="post" action="/p" id="aspnetForm">{}</form>'
 LINKS = '<ul><li><a href="/a">{}</a></li><li><a href="/b">{}</a></li><li><a href="/c">{}</a></li></ul>'
@@ -39,6 +45,14 @@ def _fill(rng: random.Random, shape: str, most: int) -> str:
     return shape
 
 
+def _comments(rng: random.Random) -> str:
+    """What readers say, at the end of an article."""
+    name = rng.choice(('div class="comments"', 'section id="comments"', 'section id="reader-comments"', 'div class="comment-list"', 'div class="responses"', 'section class="user-comments"'))
+    head = f"<h3>{_words(rng, 1, 3)}</h3>" if rng.random() < 0.4 else ""
+    shapes = ('<div class="comment"><p>{}</p></div>', '<div class="comment"><p>{}</p></div>', "<p>{}</p>", "<div><p>{}</p></div>")
+    return f'<{name} data-y="0">{head}' + "".join(rng.choice(shapes).replace("{}", _words(rng, 2, 30)) for _ in range(rng.randint(1, 5))) + f"</{name.split()[0]}>"
+
+
 def _body(rng: random.Random) -> str:
     parts = [f"<h1>{_words(rng, 2, 10)}</h1>"] if rng.random() < 0.8 else []
     for _ in range(rng.choice((rng.randint(1, 3), rng.randint(1, 14)))):
@@ -64,8 +78,7 @@ def _body(rng: random.Random) -> str:
         if rng.random() < 0.06:
             parts.append('<div class="{}" data-y="0"><p>{}</p></div>'.format(rng.choice(("ad", "advert", "related", "share", "promo", "newsletter")), _words(rng, 2, 20)))
     if rng.random() < 0.3:
-        name = rng.choice(('div class="comments"', 'section id="comments"', 'section id="reader-comments"', 'div class="comment-list"', 'div class="responses"', 'section class="user-comments"'))
-        parts.append(f'<{name} data-y="0">' + "".join(f'<div class="comment"><p>{_words(rng, 2, 30)}</p></div>' if rng.random() < 0.6 else f"<p>{_words(rng, 2, 30)}</p>" for _ in range(rng.randint(1, 5))) + f"</{name.split()[0]}>")
+        parts.append(_comments(rng))
     return "".join(parts)
 
 
@@ -77,8 +90,21 @@ def _plain(rng: random.Random) -> str:
     return "".join(f"<p>{_words(rng, 1, rng.choice((5, 30, 90)))} {link()}{_words(rng, 1, 20)}</p>" for _ in range(rng.randint(1, 8)))
 
 
+def _short_body(rng: random.Random) -> str:
+    """One to four paragraphs of any length, with or without a heading."""
+    head = rng.choice(("", "", f"<h1>{_words(rng, 1, 8)}</h1>", f"<h2>{_words(rng, 1, 8)}</h2>", f"<header><h1>{_words(rng, 1, 8)}</h1></header>"))
+    label = f"<p><label>{_words(rng, 1, 4)}</label> {_words(rng, 1, 20)}</p>" if rng.random() < 0.1 else ""
+    return head + "".join(f"<p>{_words(rng, 1, rng.choice((4, 12, 20, 40, 90)))}</p>" for _ in range(rng.randint(1, 4))) + label + (_comments(rng) if rng.random() < 0.25 else "")
+
+
+def _short_page(rng: random.Random) -> str:
+    around = "".join(_fill(rng, re.sub(r"^<(\w+)", r'<\1 data-y="0"', rng.choice(AROUND)), rng.choice((3, 12))) for _ in range(rng.choice((0, 0, 1, 1, 2, 3))))
+    last = _fill(rng, re.sub(r"^<(\w+)", r'<\1 data-y="0"', rng.choice(AFTER)), 12) if rng.random() < 0.5 else ""
+    return f"<html><head><title>x</title></head><body>{around}{rng.choice(SHORT).replace('{}', _short_body(rng))}{last}</body></html>"
+
+
 def training_pages(count: int = 500, seed: int = 11) -> list[str]:
-    """``count`` pages, the same for the same seed."""
+    """``count`` pages, half as many with short texts and some without any, the same for the same seed."""
     rng, pages = random.Random(seed), []
     other = lambda shape, most: _fill(rng, re.sub(r"^<(\w+)", r'<\1 data-y="0"', shape), most)
     for _ in range(count):
@@ -94,4 +120,7 @@ def training_pages(count: int = 500, seed: int = 11) -> list[str]:
         else:
             inside = f"{before}{rng.choice(CONTENT).replace('{}', _body(rng))}{after}{last}"
             pages.append(f"<!DOCTYPE html><html>{head}<body>{FORM.replace('{}', inside) if rng.random() < 0.12 else inside}</body></html>")
+    pages += [_short_page(rng) for _ in range(count // 2)]
+    for _ in range(count // 8):  # no text of its own at all
+        pages.append("<html><head><title>x</title></head><body>" + "".join(other(rng.choice(AROUND), rng.choice((3, 12, 40))) for _ in range(rng.randint(1, 4))) + other(rng.choice(AFTER), 15) + "</body></html>")
     return pages
