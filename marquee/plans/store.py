@@ -286,7 +286,7 @@ def win_07(spark, sf_dir):
 
 @query("agg_08_empty_streak", sql("SELECT board, count(*) FILTER (later = 0) AS streak FROM (SELECT board, sum((found > 0)::INT) OVER (PARTITION BY board ORDER BY started_at DESC, id DESC) AS later FROM runs) GROUP BY board", RUNS))
 def agg_08(spark, sf_dir):
-    """Runs after the newest one that found something."""
+    """Runs after the newest one that had finds."""
     r = runs(spark, sf_dir).withColumn("moment", F.struct("started_at", "id"))
     last = r.groupBy("board").agg(F.max(F.when(F.col("found") > 0, F.col("moment"))).alias("last"))
     return r.join(last, "board").groupBy("board").agg(F.count_if(F.col("last").isNull() | (F.col("moment") > F.col("last"))).alias("streak"))

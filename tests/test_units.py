@@ -127,7 +127,7 @@ def test_domain_rules(spark):
 def test_three_way_merge_with_url_conflict(spark):
     """A moved row takes the new url from another row, which goes; unknown arrivals are inserted once."""
     shape = "id long, url string, university string, college string, title string, deadline string, summary string, updated_at timestamp"
-    stored = spark.createDataFrame([(1, "a", "u", "c", "long title of the first notice", None, "xx", None), (2, "b", "u", "c", "something else", "2026", None, None), (3, "z", "u", "d", "", None, None, None)], shape)
+    stored = spark.createDataFrame([(1, "a", "u", "c", "long title of the first notice", None, "xx", None), (2, "b", "u", "c", "another notice", "2026", None, None), (3, "z", "u", "d", "", None, None, None)], shape)
     arrived = spark.createDataFrame(
         [(10, "b", "a", "u", "c", "first title", "2027", "x"), (11, "n", None, "u", "d", "a title without a match", None, None), (12, "n", None, "u", "d", "a title without a match", None, None), (13, "m", None, "u", "c", "long title of the first notice, revised", None, None)],
         "ord long, url string, original_url string, university string, college string, title string, deadline string, summary string",
