@@ -220,7 +220,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             none = pa.nulls(part.num_rows, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
             yield from remove(iter([pa.RecordBatch.from_arrays([part.column("id"), part.column("text"), none], ["id", "text", "hits"])]))
 
-    # only texts of which something may go are sent
+    # only texts that may lose bytes are sent
     done = rows.where(may_be_hit("row")).join(hits, "row", "left").select("id", "text", "hits").mapInArrow(remove, result).union(rows.mapInArrow(whole, result))
     return done.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
 

@@ -378,7 +378,7 @@ def test_license_scan(spark, none):
     assert license_scan(none).collect() == []
 
 
-def test_license_scan_of_edited_notices(spark):
+def test_license_scan_at_every_offset(spark):
     """Long notices with changed words, at all eight offsets to the windows, against brute force over all regions."""
     rng = random.Random(8)
     long = [t for t in TEMPLATES.values() if len(shingles_of(t)) > 8]
