@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .temporal import merged_datetime
+
 # Forms of dates and clocks, and the phrases around them, in the language of the announcements.
 CLOCK = r"\d{1,2}:\d{2}(?::\d{2})?"
 DAY = r"\d{1,2}[月\-/.]\d{1,2}[日号]?"
@@ -26,28 +28,76 @@ FROM_NOW = rf"(?:报名时间{IS})?即日起\s*(?:至\s*)?{ANY}"
 TIME_RANGE = rf"(?:报名|申请)时间{IS}{ANY}\s*{TO}\s*{ANY}"
 EXPLICIT = rf"报名截止时间{IS}{ANY}(?:\s*24[:：]00)?"
 REGISTRATION = rf"(?:网上)?(?:报名|填报|申请)(?:时间|日期)?{IS}{FULL}\s*{TO}\s*{ANY}"
+# Phrases in the order in which they are tried. The first group is the date.
 OPENS = (
-    rf"(?:网上)?(?:报名|填报|申请)(?:开始|开放)(?:时间|日期)?{IS}{FULL}", rf"(?:系统|报名系统)(?:开放|开启|开通)(?:时间|日期)?{IS}{FULL}", rf"(?:开放|开始)(?:网上)?(?:报名|填报)(?:时间|日期)?{IS}{FULL}",
-    rf"(?:自|于|从){FULL}(?:起|开始)", rf"开放时间{IS}{FULL}", rf"{ANY}\s*开放", rf"(?:申请|报名|填报)时间{IS}{FULL}", rf"接收(?:推免生|申请)(?:时间|报名)?{IS}{FULL}",
-    rf"{FULL}\s*{TO}\s*{ANY_DAY}{AT}(?:期间|内)?(?:进行)?(?:网上)?(?:报名|申请|填报|接收)",
-)
+    rf"(?:网上)?(?:报名|填报|申请)(?:开始|开放)(?:时间|日期)?{IS}{FULL}",
+    rf"(?:系统|报名系统)(?:开放|开启|开通)(?:时间|日期)?{IS}{FULL}",
+    rf"(?:开放|开始)(?:网上)?(?:报名|填报)(?:时间|日期)?{IS}{FULL}",
+    rf"自{FULL}(?:起|开始)",
+    rf"(?:于|从){FULL}(?:起|开始)",
+    rf"开放时间{IS}{FULL}",
+    rf"{ANY}\s*开放",
+    rf"申请时间{IS}{FULL}",
+    rf"报名时间{IS}{FULL}",
+    rf"填报时间{IS}{FULL}",
+    rf"接收(?:推免生|申请)(?:时间|报名)?{IS}{FULL}",
+    rf"{FULL}\s*{TO}\s*{ANY}(?:期间|内)?(?:进行)?(?:网上)?(?:报名|申请|填报|接收)",
+)
+# Likewise. Two of them give the start of a range, as the rules say.
 DEADLINES = (
-    rf"(?:网上)?(?:报名|填报|申请)(?:截止(?:时间|日期)?|截至|结束){IS}{FULL}", rf"(?:系统|报名系统)(?:关闭|截止)(?:时间|日期)?{IS}{FULL}", rf"{ANY}\s*关闭", rf"(?:停止|暂停)(?:网上)?(?:报名|填报)(?:时间)?{IS}{FULL}",
-    rf"(?:请于|在)\s*{ANY}\s*(?:前|之前)", rf"截止(?:时间|日期){IS}{FULL}", rf"于\s*{FULL}\s*(?:前|之前)\s*(?:发送|提交|邮寄|寄至|送达|完成|将|通过)", rf"{FULL}\s*(?:前|之前)\s*(?:发送|提交|邮寄|寄至|送达|完成)",
-    rf"(?:材料|申请(?:材料)?|扫描件).*?于\s*{FULL}\s*(?:前|之前)", rf"{FULL}\s*{TO}\s*{ANY_DAY}{AT}(?:截止|结束|为止|前截止)",
-)
+    rf"(?:网上)?(?:报名|填报|申请)(?:截止(?:时间|日期)?|截至|结束){IS}{FULL}",
+    rf"(?:系统|报名系统)(?:关闭|截止)(?:时间|日期)?{IS}{FULL}",
+    rf"{ANY}\s*关闭",
+    rf"(?:停止|暂停)(?:网上)?(?:报名|填报)(?:时间)?{IS}{FULL}",
+    rf"(?:请于|在){FULL}(?:前|之前)(?:完成)?(?:网上)?(?:报名|填报|提交)",
+    rf"(?:请于|在)\s*{ANY}\s*(?:前|之前)",
+    rf"截止(?:时间|日期){IS}{FULL}",
+    rf"截止时间{IS}{FULL}",
+    rf"报名(?:时间|日期)?{IS}{FULL}\s*{TO}\s*{ANY}",
+    rf"于\s*{FULL}\s*(?:前|之前)\s*(?:发送|提交|邮寄|寄至|送达|完成|将|通过)",
+    rf"{FULL}\s*(?:前|之前)\s*(?:发送|提交|邮寄|寄至|送达|完成|将材料|将申请)",
+    rf"(?:材料|申请(?:材料)?|扫描件).*?于\s*{FULL}\s*(?:前|之前)",
+    rf"{FULL}\s*{TO}\s*{ANY}(?:截止|结束|为止|前截止)",
+)
 PUBLISHED = (rf"发布(?:时间|日期){IS}{FULL}", rf"发文(?:时间|日期){IS}{FULL}", rf"更新时间{IS}{FULL}", rf"时间[：:\s]*(\d{{4}}-\d{{2}}-\d{{2}}(?:\s+{CLOCK})?)")
 LAST_DAY = rf"({FULL_DAY})\s*$"
 SPAN = rf"{FULL_DAY}\s*{TO}\s*{ANY_DAY}{AT}"
+LOOSE_SPAN = rf"{FULL_DAY}\s*{TO}\s*(?:\d{{4}}[年\-/.])?\d{{1,2}}[月\-/.]?\d{{1,2}}[日号]?{AT}"
 SHORT_SPAN = rf"{DAY}\s*{TO}\s*{DAY}"
 DAYS = rf"\d{{4}}[年\-/.]\d{{1,2}}月\d{{1,2}}日\s*{TO}\s*\d{{1,2}}日"
 THIRD_OF_MONTH = rf"\d{{4}}[年\-/.]\d{{1,2}}月{THIRD}"
+# When an event takes place, in the order in which the forms are tried.
 EVENTS = (
-    rf"开营时间{IS}({SPAN})", rf"({DAYS})", rf"活动时间[\s：:]*({DAYS}?)", rf"拟定于\s*({DAYS})", rf"将于\s*({DAY}\s*{TO}\s*\d{{1,2}}(?:月\d{{1,2}})?日)\s*举办", rf"(?:夏令营|入营|研学)(?:活动)?(?:举办)?(?:时间为|定于|于|安排在)[：:\s]*({SPAN})",
-    rf"(?:举办|活动|开营|夏令营)(?:时间为|时间{IS}|定于|于)({SPAN})", rf"开营时间{IS}({SHORT_SPAN})", rf"营期{IS}({SPAN})", rf"({SPAN})(?=.{{0,30}}(?:夏令营|开营|入营|活动))", rf"({SHORT_SPAN})(?=.{{0,30}}(?:夏令营|开营|入营|活动))",
-    rf"({FULL_DAY})(?=.{{0,24}}(?:举办|开营|进行|活动安排))", r"(?:夏令营|活动|开营)(?:举办)?(?:时间为|定于|于)[：:\s]*([^。；\n]{4,40})", rf"(?:夏令营安排|活动安排|日程安排).*?时间[：:\s]*({DAY})", rf"({DAY})[：:\s]*(?:夏令营)?(?:线上)?开营",
-    rf"活动时间{IS}({THIRD_OF_MONTH}[^。；\n]*)", rf"拟于\s*({THIRD_OF_MONTH})", rf"({THIRD_OF_MONTH})(?=.{{0,30}}(?:举办|举行|夏令营|开营))",
-)
+    rf"开营时间{IS}({LOOSE_SPAN})",
+    rf"({DAYS})",
+    rf"活动时间[\s：:]*({DAYS}?)",
+    rf"拟定于\s*({DAYS})",
+    rf"将于\s*(\d{{1,2}}[月\-/.]\d{{1,2}}日\s*{TO}\s*\d{{1,2}}(?:月)?\d{{1,2}}日)\s*举办",
+    rf"(?:夏令营|入营|研学)(?:活动)?(?:举办)?(?:时间为|定于|于|安排在)[：:\s]*({SPAN})",
+    rf"(?:举办|活动|开营|夏令营)(?:时间为|时间{IS}|定于|于)({SPAN})",
+    rf"开营时间{IS}({SHORT_SPAN})",
+    rf"营期{IS}({FULL_DAY}\s*{TO}\s*{ANY_DAY})",
+    rf"({SPAN})(?=.{{0,30}}(?:夏令营|开营|入营|活动))",
+    rf"({SHORT_SPAN})(?=.{{0,30}}(?:夏令营|开营|入营|活动))",
+    rf"({FULL_DAY})(?=.{{0,24}}(?:举办|开营|进行|开营式|活动安排|夏令营活动))",
+    r"(?:夏令营|活动|开营)(?:举办)?(?:时间为|定于|于)[：:\s]*([^。；\n]{4,40})",
+    rf"(?:夏令营安排|活动安排|日程安排).*?时间[：:\s]*({DAY})",
+    rf"({DAY})[：:\s]*(?:夏令营)?(?:线上)?开营",
+    rf"活动时间{IS}({THIRD_OF_MONTH}[^。；\n]*)",
+    rf"(?:一、)?活动时间{IS}({THIRD_OF_MONTH})",
+    rf"拟于\s*({THIRD_OF_MONTH})",
+    rf"({THIRD_OF_MONTH})(?=.{{0,30}}(?:举办|举行|夏令营|开营))",
+)
+# How an event is held, as phrases, and the words that tell it near a word of an event.
+BOTH_WAYS = r"线上.{0,12}线下|线下.{0,12}线上|线上线下|线上与线下|线下与线上|同步(?:进行|开展)|混合(?:模式|形式)?(?:举办)?"
+ONLINE = (
+    r"线上(?:举办|进行|开展|开营|夏令营|活动|形式|方式|参与|参加)?|在线(?:举办|进行|开展)|网络(?:远程)?(?:举办|进行|开营)|"
+    r"远程(?:举办|开营|进行)|腾讯会议|zoom|钉钉|以线上|会议号|会议链接|腾讯会议号|线上平台"
+)
+OFFLINE = (
+    r"线下(?:举办|进行|开展|开营|夏令营|活动|形式|方式|参与|参加)?|现场(?:举办|参加|开营|进行)|到校(?:参加|举办)|来校(?:参加|举办)|实地(?:举办|参加)|线下开营|举办形式为现场|形式为现场|入营报到|报到地点|举办地点|活动地址|校区|教学楼|酒店|"
+    r"参观走访|交通费报销|提供.*食宿|食宿(?:安排|提供)|校内餐饮|住宿费.*自理|往返交通"
+)
 HOSTING, HOSTED, CAMP = "举办|拟定于|将于|开营式|日程|食宿", "线下举办", "开营|夏令营|入营|活动"
 REGISTER, STRONG = "报名|登录|填报|申请|系统|yzbm|研究生招生", ("登录", "报名系统", "yzbm", "网上报名", "填报")
 SYSTEM, ARRIVAL = "登录|报名系统|yzbm|填报|申请系统", "开营|进校|入营|活动安排|夏令营活动"
@@ -151,7 +201,7 @@ def first_date(text: Column, patterns: tuple[str, ...], year: Column, deadline:
 
 
 def published(text: Column, at: Column) -> Column:
-    """Publish date: after its labels, else a date that ends the text."""
+    """Publish date: after its labels (headings like 发布时间 2026/6/1 among them), else a date that ends the text."""
     whole = held(text)
     year = reference_year(whole, at)
     return F.coalesce(first_date(whole, PUBLISHED, year), normalised(found(F.right(F.trim(whole), F.lit(80)), LAST_DAY), year))
@@ -174,20 +224,65 @@ def deadline(text: Column, at: Column) -> Column:
     exact = F.when(raw.isNotNull(), normalised(qualified(raw, said), year, True))
     return F.coalesce(
         normalised(found(whole, OPEN_CLOSE, 2), year, True), exact, _ended(whole, TIME_RANGE, 2, 20, year), _ended(whole, FROM_NOW, 1, 30, year), first_date(whole, DEADLINES, year, True),
-        normalised(found(whole, REGISTRATION, 2), F.coalesce(found(found(whole, REGISTRATION, 1), r"(20\d{2})").cast("int"), year), True), registration_period(whole, at)["end"],
+        normalised(found(whole, REGISTRATION, 2), year, True), registration_period(whole, at)["end"],
     )
 
 
-def resolved_publish_date(text: Column, url: Column, at: Column) -> Column:
-    """Opening of the registration, else its range's start, else the publish date, else the date in the url."""
+def resolved_publish_date(text: Column, url: Column, at: Column, places: Column | None = None) -> Column:
+    """Opening of the registration, else its range's start, the publish date told by ``places``, by the text, by the url.
+
+    ``places`` are texts of a page in the order in which they are asked (``dom.PageDates``); null ones tell nothing.
+    """
     year = reference_year(text, at)
-    return F.coalesce(opens(text, at), normalised(found(held(text), REGISTRATION, 1), year), published(text, at), date_of_url(url))
+    told = [] if places is None else [F.get(F.filter(F.transform(F.coalesce(places, F.array().cast("array<string>")), lambda x: published(x, at)), lambda d: d.isNotNull()), F.lit(0))]
+    return F.coalesce(opens(text, at), normalised(found(held(text), REGISTRATION, 1), year), *told, published(text, at), date_of_url(url))
+
+
+# Dates in paths, in the order in which they are tried.
+PATHS = (r"/(\d{4})(\d{2})(\d{2})/", r"/(\d{4})/(\d{2})(\d{2})/", r"/(\d{4})-(\d{2})-(\d{2})")
+MONTH_PATH = r"/(\d{4})/(\d{2})/"
 
 
 def date_of_url(url: Column) -> Column:
     """The date in a path: /YYYYMMDD/, /YYYY/MMDD/ or /YYYY-MM-DD; not checked."""
-    forms = (r"/(\d{4})(\d{2})(\d{2})/", r"/(\d{4})/(\d{2})(\d{2})/", r"/(\d{4})-(\d{2})-(\d{2})")
-    return F.coalesce(*[F.when(url.rlike(f), F.concat(F.concat_ws("-", *[F.regexp_extract(url, f, k) for k in (1, 2, 3)]), F.lit(" 00:00:00"))) for f in forms])
+    return F.coalesce(*[F.when(url.rlike(f), F.concat(F.concat_ws("-", *[F.regexp_extract(url, f, k) for k in (1, 2, 3)]), F.lit(" 00:00:00"))) for f in PATHS])
+
+
+def year_of_url(url: Column) -> Column:
+    """The year in a path, of a date or of /YYYY/MM/; null without one."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(url, f, 1), F.lit("")) for f in (*PATHS, MONTH_PATH)]).cast("int")
+
+
+def event_format(text: Column) -> Column:
+    """线上线下, 线上 or 线下 by the phrases of a text, its white space left out; null if it tells none."""
+    whole = F.regexp_replace(held(text), r"(?U)\s+", "")
+    online, offline = lambda t: has(t, ONLINE), lambda t: has(t, OFFLINE)
+    return bound(whole, lambda t: F.when(has(t, BOTH_WAYS) | (online(t) & offline(t)), "线上线下").when(online(t), "线上").when(offline(t), "线下"))
+
+
+def item_times(text: Column, url: Column, at: Column, places: Column | None = None) -> Column:
+    """What a text tells of one notice: a struct of publish_date, deadline, event_time and event_format.
+
+    The focused text is asked first, then the whole; what either finds after being focused once more is merged, the more
+    precise date winning, so that a notice's own part of a long page comes before the rest.
+    """
+
+    def asked(t: Column) -> Column:
+        return F.struct(resolved_publish_date(t, url, at, places).alias("publish_date"), deadline(t, at).alias("deadline"), event_time(t).alias("event_time"), event_format(t).alias("event_format"))
+
+    def merged(told: Column) -> Column:
+        at_ = lambda k, field: told[k][field]
+        dates = [merged_datetime(F.coalesce(at_(0, f), at_(1, f)), F.coalesce(at_(1, f), at_(2, f))).alias(f) for f in ("publish_date", "deadline")]
+        return F.struct(*dates, F.coalesce(*[at_(k, "event_time") for k in range(3)]).alias("event_time"), F.coalesce(at_(2, "event_format"), at_(1, "event_format")).alias("event_format"))
+
+    texts = bound(held(text), lambda t: bound(focused(t), lambda f: F.array(focused(f), f, t)))
+    return bound(F.transform(texts, asked), merged)
+
+
+def merged_times(old: dict[str, Column], told: Column) -> dict[str, Column]:
+    """The four fields of a stored notice with what its text tells: more precise dates win, the others only fill gaps."""
+    dates = {f: merged_datetime(F.nullif(old[f], F.lit("")), told[f]) for f in ("publish_date", "deadline")}
+    return dates | {f: F.coalesce(F.nullif(old[f], F.lit("")), told[f]) for f in ("event_time", "event_format")}
 
 
 def _cleaned(raw: Column) -> Column:

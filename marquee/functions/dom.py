@@ -31,6 +31,11 @@ TITLES = ("h1", "h2", "h3", ".article h3", ".title", ".news-title")
 # Links of result pages, each in a box, and the snippets of a box.
 BOXES = ("li.b_algo h2 a", "#b_results .b_algo h2 a", "div.result h3 a", "div.c-container h3 a", "div.result-op h3 a")
 SNIPPETS = "p, .b_caption p, .c-abstract"
+# Elements and meta names that tell when a page was published, in the order in which they are asked.
+DATED = (".time", ".date", ".pubtime", ".publish", ".article-time", ".news-time")
+DATED_META = ("publishdate", "PubDate", "pubdate", "date")
+#: Letters of a page's beginning that may tell it.
+MOST_HEAD = 2_000
 # Words of page furniture, and of what a notice is about.
 NOISE = ("首页", "返回顶部", "版权所有", "ICP", "友情链接", "扫一扫", "微信公众号")
 TOPICS = ("夏令营", "预推免", "推免", "开放日")
@@ -159,6 +164,9 @@ def select(root: Node, ways: list) -> Iterator[Node]:
 _CONTENT, _TITLES, _BOXES, _SNIPPETS = [selector(s) for s in CONTENT], [selector(s) for s in TITLES], [(selector(s)) for s in BOXES], selector(SNIPPETS)
 
 
+_DATED = [selector(s) for s in DATED]
+
+
 def table_text(root: Node) -> str:
     """Rows of all tables, cells apart by bars, tables by an empty line."""
     tables = []
@@ -267,6 +275,27 @@ class PageParts:
         yield page_title(html), page_text(html, about)
 
 
+def dated_places(html: str | None) -> list[str]:
+    """Texts that may tell a page's date: the first of each kind of element, meta tags, the page's beginning."""
+    if not html:
+        return []
+    root = tree(html)
+    found = [n.text() for ways in _DATED if (n := next(select(root, ways), None))]
+    metas = [n.attributes for n in root.walk() if n.tag == "meta"]
+    for name in DATED_META:
+        if content := next((m.get("content", "") for m in metas if m.get("name") == name), ""):
+            found.append(content)
+    return [*found, root.text()[:MOST_HEAD]]
+
+
+@udtf(returnType="places array<string>")
+class PageDates:
+    """One row per page: the texts that may tell when it was published, in the order in which they are to be asked."""
+
+    def eval(self, html: str):
+        yield (dated_places(html),)
+
+
 def register_functions(spark) -> None:
-    for name, function in (("list_items", ListItems), ("result_boxes", ResultBoxes), ("page_parts", PageParts)):
+    for name, function in (("page_dates", PageDates), ("list_items", ListItems), ("result_boxes", ResultBoxes), ("page_parts", PageParts)):
         spark.udtf.register(name, function)
