@@ -267,16 +267,14 @@ def item_times(text: Column, url: Column, at: Column, places: Column | None = No
     precise date winning, so that a notice's own part of a long page comes before the rest.
     """
 
-    def asked(t: Column) -> Column:
-        return F.struct(resolved_publish_date(t, url, at, places).alias("publish_date"), deadline(t, at).alias("deadline"), event_time(t).alias("event_time"), event_format(t).alias("event_format"))
-
-    def merged(told: Column) -> Column:
-        at_ = lambda k, field: told[k][field]
-        dates = [merged_datetime(F.coalesce(at_(0, f), at_(1, f)), F.coalesce(at_(1, f), at_(2, f))).alias(f) for f in ("publish_date", "deadline")]
-        return F.struct(*dates, F.coalesce(*[at_(k, "event_time") for k in range(3)]).alias("event_time"), F.coalesce(at_(2, "event_format"), at_(1, "event_format")).alias("event_format"))
-
-    texts = bound(held(text), lambda t: bound(focused(t), lambda f: F.array(focused(f), f, t)))
-    return bound(F.transform(texts, asked), merged)
+    def told(ts: Column) -> Column:
+        again = ts[0] != ts[1]
+        dates = F.transform(ts, lambda t, k: F.when((k > 0) | again, F.struct(resolved_publish_date(t, url, at, places).alias("publish_date"), deadline(t, at).alias("deadline"))))
+        merged = bound(dates, lambda d: F.struct(*[merged_datetime(F.coalesce(d[0][f], d[1][f]), F.coalesce(d[1][f], d[2][f])).alias(f) for f in ("publish_date", "deadline")]))
+        when = F.coalesce(F.when(again, event_time(ts[0])), event_time(ts[1]), event_time(ts[2]))
+        return bound(merged, lambda m: F.struct(m["publish_date"].alias("publish_date"), m["deadline"].alias("deadline"), when.alias("event_time"), F.coalesce(event_format(ts[2]), event_format(ts[1])).alias("event_format")))
+
+    return bound(bound(held(text), lambda t: bound(focused(t), lambda f: F.array(focused(f), f, t))), told)
 
 
 def merged_times(old: dict[str, Column], told: Column) -> dict[str, Column]:
