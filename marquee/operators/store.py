@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions.temporal import merged_datetime
 from ..sources.versions import kept
+from .occurrences import occurrences
 
 KEY = ["university", "college", "college_type", "slot"]
 REPLACED = ("status", "title", "source")
@@ -49,24 +50,10 @@ def upsert_notices(stored: DataFrame, arrived: DataFrame, at: Column) -> DataFra
     return both.select("url", *[v.alias(k) for k, v in out.items()])
 
 
-def _grams(text: Column, size: Column) -> Column:
-    """Distinct substrings of that length."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, size)))
-
-
 def contained_starts(titles: DataFrame, key: list[str], width: int, gram: int = 8) -> DataFrame:
-    """ord, start: which starts of a college's titles stand anywhere in which of its titles.
-
-    A start is looked up by the rarest of its substrings of ``gram`` characters (a shorter start by itself), titles by all
-    of theirs; only what shares that substring is compared.
-    """
-    starts = titles.select(*key, F.left("title", F.lit(width)).alias("start")).distinct().withColumn("size", F.least(F.length("start"), F.lit(gram)))
-    parts = starts.select(*key, "start", "size", F.explode(_grams(F.col("start"), F.col("size"))).alias("gram"))
-    sizes = starts.select("size").distinct()  # at most ``gram`` rows
-    of_titles = titles.join(F.broadcast(sizes), F.length("title") >= F.col("size")).select("ord", *key, "title", F.explode(_grams(F.col("title"), F.col("size"))).alias("gram"))
-    common = of_titles.groupBy(*key, "gram").agg(F.count(F.lit(1)).alias("n"))
-    rarest = parts.join(common, [*key, "gram"]).groupBy(*key, "start").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    return of_titles.join(rarest, [*key, "gram"]).where(F.col("title").contains(F.col("start"))).select("ord", *key, "start")
+    """ord, start: which starts of a college's titles stand anywhere in which of its titles."""
+    starts = titles.select(*key, F.left("title", F.lit(width)).alias("needle"))
+    return occurrences(starts, titles.select("ord", *key, F.col("title").alias("text")), "ord", key, gram).withColumnRenamed("needle", "start")
 
 
 def collapse_prefixes(arrived: DataFrame, width: int = 24, key: tuple[str, ...] = ("university", "college")) -> DataFrame:
@@ -196,19 +183,23 @@ def attribute_by_domain(rows: DataFrame, targets: DataFrame) -> DataFrame:
     ``targets`` has domain (empty if unknown) and ord, which breaks ties; both are empty where nothing fits.
     """
     first = lambda keys, name: targets.groupBy(*keys).agg(F.min_by(F.struct("university", "college"), "ord").alias(name), F.min("ord").alias(f"{name}_ord"))
-    domains = first(["domain"], "by_domain").where("domain <> ''")
-    named = targets.groupBy(F.col("university").alias("spoken")).agg(F.min_by(F.struct("university", "college"), "ord").alias("by_title"), F.min("ord").alias("by_title_ord"))
-    met = rows.join(domains, F.col("url").contains(F.col("domain")), "left").groupBy("id").agg(F.first("title").alias("title"), F.min_by("by_domain", "by_domain_ord").alias("by_domain"))
-    rest = met.where("by_domain is null").join(named, F.col("title").contains(F.col("spoken"))).groupBy("id").agg(F.min_by("by_title", "by_title_ord").alias("by_title"))
-    best = F.coalesce("by_domain", "by_title")
-    return met.join(rest, "id", "left").select("id", F.coalesce(best["university"], F.lit("")).alias("university"), F.coalesce(best["college"], F.lit("")).alias("college"))
+    domains = first([F.col("domain").alias("needle")], "by_domain").where("needle <> ''")
+    named = first([F.col("university").alias("needle")], "by_title").where("needle <> ''")
+
+    def best(texts: DataFrame, needles: DataFrame, name: str) -> DataFrame:
+        return occurrences(needles, texts, "id").join(needles, "needle").groupBy("id").agg(F.min_by(name, f"{name}_ord").alias(name))
+
+    met = rows.select("id", "title").join(best(rows.select("id", F.col("url").alias("text")), domains, "by_domain"), "id", "left")
+    rest = best(met.where("by_domain is null").select("id", F.col("title").alias("text")), named, "by_title")
+    chosen = F.coalesce("by_domain", "by_title")
+    return met.join(rest, "id", "left").select("id", F.coalesce(chosen["university"], F.lit("")).alias("university"), F.coalesce(chosen["college"], F.lit("")).alias("college"))
 
 
 def match_existing(stored: DataFrame, arrived: DataFrame, width: int = 24) -> DataFrame:
     """ord, id, leg: the stored row that an arrival is, by url, else by original url, else by its college and the start of its title.
 
-    Either title may contain the other's first ``width`` characters; the smallest id wins. Only distinct titles of a
-    college are compared, so that many equal ones cost one comparison. Arrivals without any match are absent.
+    Either title may contain the other's first ``width`` characters; the smallest id wins. Distinct titles of a college
+    meet by rare substrings of those starts, not as pairs. Arrivals without any match are absent.
     """
     by_url = arrived.join(stored.select("url", F.col("id").alias("m1")), "url").groupBy("ord").agg(F.min("m1").alias("m1"))
     moved = arrived.where("original_url <> url").join(stored.select(F.col("url").alias("original_url"), F.col("id").alias("m2")), "original_url").groupBy("ord").agg(F.min("m2").alias("m2"))
@@ -216,8 +207,12 @@ def match_existing(stored: DataFrame, arrived: DataFrame, width: int = 24) -> Da
     key = ["university", "college"]
     titles = stored.where("title <> ''").groupBy(*key, F.col("title").alias("s_title")).agg(F.min("id").alias("s_id"))
     asked = found.where("m1 is null and m2 is null and title <> ''").select("ord", *key, "title")
-    alike = F.col("s_title").contains(F.left("title", F.lit(width))) | F.col("title").contains(F.left("s_title", F.lit(width)))
-    by_title = asked.select(*key, "title").distinct().join(titles, key).where(alike).groupBy(*key, "title").agg(F.min("s_id").alias("m3"))
+    new = asked.select(*key, "title", F.left("title", F.lit(width)).alias("needle")).distinct()
+    of_asked = titles.join(asked.select(*key).distinct(), key, "left_semi")
+    starts = of_asked.groupBy(*key, F.left("s_title", F.lit(width)).alias("needle")).agg(F.min("s_id").alias("s_id"))
+    in_stored = occurrences(new, of_asked.select(*key, "s_id", F.col("s_title").alias("text")), "s_id", key).groupBy(*key, "needle").agg(F.min("s_id").alias("a"))
+    in_asked = occurrences(starts, new.select(*key, "title", F.col("title").alias("text")), "title", key).join(starts, [*key, "needle"]).groupBy(*key, "title").agg(F.min("s_id").alias("b"))
+    by_title = new.join(in_stored, [*key, "needle"], "left").join(in_asked, [*key, "title"], "left").select(*key, "title", F.least("a", "b").alias("m3")).where("m3 is not null")
     out = found.join(asked.join(by_title, [*key, "title"]).select("ord", "m3"), "ord", "left")
     leg = F.when(F.col("m1").isNotNull(), "url").when(F.col("m2").isNotNull(), "original_url").when(F.col("m3").isNotNull(), "title")
     return out.select("ord", F.coalesce("m1", "m2", "m3").alias("id"), leg.alias("leg")).where("id is not null")

@@ -6,7 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import classify as C
+from ..functions.rules import RuleSet
 from ..functions.temporal import as_of, next_check, parse_datetime
+from ..operators import arrivals as Saves
 from ..operators import store as S
 from ..sources.tables import directory, fail_events, notices, read, runs, targets
 from .board import listed
@@ -54,6 +56,50 @@ def snk_01(spark, sf_dir):
     return S.upsert_notices(notices(spark, sf_dir), arrivals(spark, sf_dir), as_of()).select("id", "url", C.text("title").alias("title"), "deadline", "summary", "change")
 
 
+#: Rows that reach every branch of a save; two thirds of the notices are stored, the others are new.
+INCOMING = """incoming AS (SELECT id AS ord, id, CASE id % 10 WHEN 1 THEN 'ftp://x/' || id WHEN 5 THEN url || '?moved' WHEN 7 THEN url || '?other' WHEN 9 THEN CASE WHEN id % 3 = 0 THEN 'https://elsewhere.net/' || id ELSE url END ELSE url END AS url,
+    CASE WHEN id % 10 = 5 THEN url END AS original_url, id % 10 = 0 AS rejected, CASE id % 10 WHEN 2 THEN 'Old 2019 recruitment notice' WHEN 3 THEN title || ' by a clown' WHEN 6 THEN 'Fresh recruitment notice 2026' WHEN 7 THEN title || ' (revised)' WHEN 8 THEN university || '外国语学院2026 recruitment notice' ELSE title END AS title,
+    CASE WHEN id % 10 IN (4, 9) AND id % 3 = 0 THEN '' ELSE university END AS university, CASE WHEN id % 10 IN (4, 9) AND id % 3 = 0 THEN '' WHEN id % 10 = 8 THEN '法学院' ELSE college END AS college, college_type, status, event_type, publish_date,
+    CASE WHEN id % 10 IN (4, 5) THEN '2026-07-01' ELSE deadline END AS deadline, event_time, event_format, source, CASE WHEN id % 2 = 0 THEN coalesce(summary, '') || ' more' ELSE summary END AS summary FROM notices WHERE id % 3 <> 2)"""
+_SAVED = """passed AS (SELECT * FROM incoming WHERE id % 10 NOT IN (0, 1, 2, 3, 8) AND regexp_extract(title, '(20[0-9][0-9])', 1)::INT >= 2024),
+    matched AS (SELECT *, CASE WHEN id % 3 = 1 AND id % 10 <> 7 THEN id WHEN university <> '' THEN (SELECT min(n.id) FROM notices n WHERE n.id % 3 <> 0 AND n.university = p.university AND n.college = p.college AND (contains(n.title, p.title[1:24]) OR contains(p.title, n.title[1:24]))) END AS target FROM passed p),
+    folded AS (SELECT target, arg_max(url, ord) AS url, arg_max(title, ord) AS title, arg_max(status, ord) AS status, arg_max(source, ord) FILTER (source <> '') AS source, arg_max(deadline, ord) FILTER (deadline <> '') AS deadline, arg_max(event_time, ord) FILTER (event_time <> '') AS event_time,
+        arg_max(event_format, ord) FILTER (event_format <> '') AS event_format, arg_max(publish_date, ord) FILTER (publish_date <> '') AS publish_date, arg_max(summary, length(coalesce(summary, ''))::BIGINT * 1000000000 - ord) AS summary FROM matched WHERE target IS NOT NULL GROUP BY target),
+    by_domain AS (SELECT regexp_extract(base_url, '//(.*)', 1) AS domain, arg_min(university, ord) AS university, arg_min(college, ord) AS college, arg_min(college_type, ord) AS college_type FROM targets WHERE base_url <> '' GROUP BY 1),
+    by_title AS (SELECT university, arg_min(college, ord) AS college, arg_min(college_type, ord) AS college_type, min(ord) AS o FROM targets GROUP BY 1),
+    fresh AS (SELECT m.ord AS id, m.url, m.title, CASE WHEN m.university <> '' THEN m.university ELSE coalesce(d.university, t.university, '未知') END AS university, CASE WHEN m.university <> '' THEN m.college ELSE coalesce(d.college, t.college, '未知') END AS college,
+        CASE WHEN m.university <> '' THEN m.college_type ELSE coalesce(d.college_type, t.college_type, 'law') END AS college_type, m.event_type, m.status, m.deadline, m.summary FROM matched m LEFT JOIN by_domain d ON regexp_extract(m.url, '//([^/]+)', 1) = d.domain LEFT JOIN by_title t ON d.domain IS NULL AND contains(m.title, t.university)
+        WHERE target IS NULL QUALIFY row_number() OVER (PARTITION BY m.ord ORDER BY t.o) = 1),
+    saved AS (SELECT n.id, coalesce(f.url, n.url) AS url, coalesce(f.title, n.title) AS title, n.university, n.college, n.college_type, n.event_type, coalesce(f.status, n.status) AS status, coalesce(f.deadline, n.deadline) AS deadline, CASE WHEN length(coalesce(f.summary, '')) > length(coalesce(n.summary, '')) THEN f.summary ELSE n.summary END AS summary,
+        CASE WHEN f.target IS NOT NULL AND (f.url <> n.url OR f.title <> n.title OR f.status <> n.status OR coalesce(f.source, n.source) <> n.source OR coalesce(f.deadline, n.deadline) IS DISTINCT FROM n.deadline OR coalesce(f.event_time, n.event_time) IS DISTINCT FROM n.event_time OR coalesce(f.event_format, n.event_format) IS DISTINCT FROM n.event_format
+            OR coalesce(f.publish_date, n.publish_date) IS DISTINCT FROM n.publish_date OR length(coalesce(f.summary, '')) > length(coalesce(n.summary, ''))) THEN 'updated' ELSE 'kept' END AS change, f.target IS NOT NULL AS touched FROM notices n LEFT JOIN folded f ON f.target = n.id WHERE n.id % 3 <> 0
+        UNION ALL SELECT *, 'inserted', true FROM fresh)"""
+
+
+def incoming(spark, sf_dir):
+    n = notices(spark, sf_dir)
+    n.createOrReplaceTempView("_save_notices")
+    return spark.sql(INCOMING.removeprefix("incoming AS (").removesuffix(")").replace("FROM notices", "FROM _save_notices"))
+
+
+def saved(spark, sf_dir):
+    places = targets(spark, sf_dir).withColumn("domain", F.regexp_extract("base_url", "//(.*)", 1))
+    return Saves.save_notices(notices(spark, sf_dir).where("id % 3 <> 0"), incoming(spark, sf_dir), places, as_of(), Saves.gate(2024, 2026, RuleSet(whitelist=("recruitment", "list"), pre_whitelist=("recruitment", "list"), camp=("camp",))))
+
+
+@query("snk_01_save", sql("SELECT id, url, title, university, college, college_type, status, deadline, summary, change, touched FROM saved", NOTICES, TARGETS, INCOMING, _SAVED))
+def snk_01_save(spark, sf_dir):
+    """A save as a whole: gate, owners of unknown rows, three ways to find a stored row, merges in order, inserts."""
+    return saved(spark, sf_dir).select("id", "url", "title", "university", "college", "college_type", "status", "deadline", "summary", "change", "touched")
+
+
+@query("snk_01_save_covered", sql("""SELECT university, college, college_type, CASE WHEN event_type = 'pre' OR title LIKE '%pre%' THEN CASE WHEN title LIKE '%result%' AND title LIKE '%list%' THEN 'pre_result' ELSE 'pre_notice' END WHEN status = 'excellent_list' OR title LIKE '%result list%' THEN 'camp_result' ELSE 'camp_notice' END AS slot,
+    max(id) AS announcement_id FROM saved WHERE touched GROUP BY ALL""", NOTICES, TARGETS, INCOMING, _SAVED))
+def snk_01_save_covered(spark, sf_dir):
+    """What a save fills: the slots of the notices that it touched."""
+    return Saves.covered_by(saved(spark, sf_dir), as_of()).select(*S.KEY, "announcement_id")
+
+
 @query("snk_01b_batch_exact", sql("SELECT url, min(id) AS id FROM (SELECT id, regexp_replace(url, '/[0-9]+\\.htm$', '') AS url FROM notices) GROUP BY url", NOTICES))
 def snk_01b(spark, sf_dir):
     rows = notices(spark, sf_dir).select("id", F.regexp_replace("url", r"/[0-9]+\.htm$", "").alias("url"))
