@@ -165,14 +165,21 @@ def attribute(texts: DataFrame, dimension: DataFrame, text_col: str, id_col: str
 def attribute_feed(texts: DataFrame, targets: DataFrame, text_col: str, id_col: str, threshold: int = 7) -> DataFrame:
     """Best target for each text; the university may be missing: university (+5), college or its first two characters (+4), topic (+2).
 
-    Every text is compared with every target; the planner broadcasts the directory while it is small.
+    From a threshold of 7 on the university must be named, so that texts meet the targets of the universities in them only;
+    below it every text is compared with every target.
     """
     t = F.col(text_col)
     law, language = t.contains("BUILDING") | t.contains("FURNITURE"), t.contains("MACHINERY") | t.contains("AUTOMOBILE") | t.contains("HOUSEHOLD")
     own = ((F.col("college_type") == "law") & law) | ((F.col("college_type") == "foreign_lang") & language)
     college = t.contains(F.col("college")) | t.contains(F.substring("college", 1, 2))
     score = F.when(t.contains(F.col("university")), 5).otherwise(0) + F.when(college, 4).otherwise(0) + F.when(own, 2).otherwise(0)
-    scored = texts.select(id_col, text_col).join(targets, score >= threshold).withColumn("score", score)
+    asked = texts.select(id_col, text_col)
+    if threshold >= 7:
+        named = occurrences(targets.select(F.col("university").alias("needle")), asked.select(id_col, t.alias("text")), id_col)
+        pairs = asked.join(named, id_col).join(targets, F.col("needle") == F.col("university")).where(score >= threshold)
+    else:
+        pairs = asked.join(targets, score >= threshold)
+    scored = pairs.withColumn("score", score)
     best = F.max_by(F.struct("university", "college"), F.struct("score", -F.col("ord"))).alias("best")
     return scored.groupBy(id_col).agg(best, F.max("score").alias("score")).select(id_col, "best.university", "best.college", "score")
 

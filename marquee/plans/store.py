@@ -111,7 +111,7 @@ def snk_01b_prefix(spark, sf_dir):
     return S.collapse_prefixes(notices(spark, sf_dir).withColumn("ord", F.col("id")))
 
 
-@query("snk_03_target_writer", sql("SELECT university, college, count(id) AS items, CASE WHEN count(id) = 0 THEN 'pending' ELSE 'covered' END AS state FROM targets t LEFT JOIN notices n USING (university, college) WHERE n.id IS NULL OR n.id % 2 = 0 OR true GROUP BY university, college", NOTICES, TARGETS))
+@query("snk_03_target_writer", sql("SELECT university, college, count(id) AS items, CASE WHEN count(id) = 0 THEN 'pending' ELSE 'covered' END AS state FROM targets t LEFT JOIN notices n USING (university, college) GROUP BY university, college", NOTICES, TARGETS))
 def snk_03(spark, sf_dir):
     items = notices(spark, sf_dir).groupBy("university", "college").agg(F.count("id").alias("items"))
     joined = targets(spark, sf_dir).join(items, ["university", "college"], "left").withColumn("items", F.coalesce("items", F.lit(0).cast("long")))
