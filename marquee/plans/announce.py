@@ -8,7 +8,7 @@ from ..functions import announced as A
 from ..functions import classify as C
 from ..functions.similarity import register_functions
 from ..functions.temporal import as_of
-from ..sources.tables import read
+from ..sources.tables import read, spread
 from .ctes import sql
 
 QUERIES: dict = {}
@@ -40,7 +40,7 @@ TEXTS = f"""dated AS (SELECT o_orderkey AS id, d1, d1 + INTERVAL 20 DAY AS d2, d
 
 def lines(spark, sf_dir):
     """Orders as announcements, with dates written in eight ways (28 years later, which keeps leap days)."""
-    base = read(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "add_months(o_orderdate, 336) AS d1")
+    base = spread(read(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "add_months(o_orderdate, 336) AS d1"), "id")
     base = base.selectExpr("id", "d1", "date_add(d1, 20) AS d2", "date_add(d1, 40) AS d3", "date_add(d1, 43) AS d4", "date_format(d1, 'yyyy-MM-dd') AS iso1", "date_format(date_add(d1, 20), 'yyyy-MM-dd') AS iso2")
     return base.withColumn("text", F.expr(TEXT))
 

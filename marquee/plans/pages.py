@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dom import CONTENT, TABLES
 from ..functions.similarity import register_functions
-from ..sources.tables import read
+from ..sources.tables import read, spread
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -36,7 +36,7 @@ _ROW = """CASE o_orderkey % 4 WHEN 0 THEN concat('<li class=x><span>', day, '</s
 def parse_01(spark, sf_dir):
     """Anchors of list pages with what stands round them, as SQL with a lateral join."""
     register_functions(spark)
-    rows = read(spark, sf_dir, "orders").selectExpr("o_custkey AS page", "o_orderkey", "date_format(o_orderdate, 'yyyy-MM-dd') AS day").selectExpr("page", "o_orderkey", f"{_ROW} AS part")
+    rows = spread(read(spark, sf_dir, "orders").selectExpr("o_custkey AS page", "o_orderkey", "date_format(o_orderdate, 'yyyy-MM-dd') AS day"), "page").selectExpr("page", "o_orderkey", f"{_ROW} AS part")
     # rows of lists stand in lists of their own, so that a bare anchor after one is in none
     parts = rows.withColumn("part", F.when(F.col("part").startswith("<li"), F.concat(F.lit("<ul>"), "part", F.lit("</ul>"))).otherwise(F.col("part")))
     pages = parts.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "part"))), lambda x: x["part"]), "\n").alias("rows"))
@@ -63,7 +63,7 @@ _PLACES = "CASE doc_id % 20 " + " ".join(
 def parse_02(spark, sf_dir):
     """Texts of notices out of each known place, round headings, out of bodies with tables, and out of plain texts."""
     register_functions(spark)
-    d = read(spark, sf_dir, "documents").selectExpr("doc_id", "text", f"{_BODY.format(text='text')} AS body")
+    d = spread(read(spark, sf_dir, "documents"), "doc_id").selectExpr("doc_id", "text", f"{_BODY.format(text='text')} AS body")
     padding = "<!-- " + "filling " * 25 + "-->"
     html = F.expr(f"CASE WHEN doc_id % 20 = 16 THEN replace(text, '<', '') ELSE concat('<html><head><title>t</title></head><body>{padding}', {_PLACES}, '</body></html>') END")
     about = F.when(F.col("doc_id") % 2 == 0, "某大学夏令营").otherwise("a page")
@@ -77,7 +77,7 @@ def parse_05(spark, sf_dir):
     register_functions(spark)
     html = F.expr("""concat('<head><title>', IF(o_orderkey % 7 = 0, concat('the page of ', o_orderkey), 'x'), ' | site - more</title>', IF(o_orderkey % 3 = 0, concat('<meta content="an open graph title of order ', o_orderkey, '" property=og:title>'), ''), '</head><h1>h</h1>',
         IF(o_orderkey % 4 = 0, concat('<div class="news title"> the heading: <b>', o_orderpriority, '</b> of ', o_orderkey, '</div>'), ''), IF(o_orderkey % 5 = 0, concat('<div class=article><h3>夏令营 ', o_orderkey, '</h3></div>'), ''))""")
-    return spark.sql("SELECT id, p.title FROM {pages} d, LATERAL page_parts(d.html, '') p", pages=read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), html.alias("html")))
+    return spark.sql("SELECT id, p.title FROM {pages} d, LATERAL page_parts(d.html, '') p", pages=spread(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey").select(F.col("o_orderkey").alias("id"), html.alias("html")))
 
 
 #: Result pages with one box of each kind, whose attributes and tags stand in no fixed order.
@@ -91,5 +91,5 @@ _RESULTS = """concat('<body id="b_results"><ol><li data-x="1" class="first b_alg
 def parse_03(spark, sf_dir):
     """Five kinds of result boxes: titles, addresses without fragment, each once, and the box's snippet if it has one."""
     register_functions(spark)
-    pages = read(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "o_orderkey AS k", "o_orderpriority AS o").selectExpr("id", f"{_RESULTS} AS html")
+    pages = spread(read(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "o_orderkey AS k", "o_orderpriority AS o"), "id").selectExpr("id", f"{_RESULTS} AS html")
     return spark.sql("SELECT id, b.* FROM {pages} d, LATERAL result_boxes(d.html) b", pages=pages)

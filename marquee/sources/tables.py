@@ -10,6 +10,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by their keys over all tasks: a few packed files are read by a few tasks, too few for work that is heavy for each row."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One notice per order. Nation is a dimension of 25 rows; customers join by their key."""
     o, c, n = (read(spark, sf_dir, t) for t in ("orders", "customer", "nation"))

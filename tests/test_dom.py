@@ -56,3 +56,24 @@ def test_functions_in_sql(spark):
     assert spark.sql("SELECT id, i.* FROM {p} p, LATERAL result_boxes(p.html) i", p=pages).collect() == []
     assert sorted(tuple(r) for r in spark.sql("SELECT id, i.* FROM {p} p, LATERAL page_parts(p.html, p.base) i", p=pages).collect()) == [(1, "", ""), (2, "", ""), (3, "", "")]
     assert spark.sql("SELECT text_similarity('abcd', 'abxd')").first()[0] == 0.75
+
+
+def test_usual_markup_gives_the_same_tree():
+    import random
+
+    from marquee.functions import dom
+
+    def shown(root):
+        return [(n.tag, sorted(n.attributes.items()), [c for c in n.children if isinstance(c, str)] if n.tag not in ("script", "style") else []) for n in root.walk()]
+
+    bits = ["<p>", "</p>", "<div class=x>", "<div class='a b' id=\"c\">", "</div>", "<ul>", "<li>", "</ul>", "<table>", "<tr>", "<td>", "</table>", "a &amp; b", "&#35;x &nbsp", "<br/>", "<img src=/a/b.png alt=''>", "<script>x='<a href=x>';</script>", "<!-- c -->", "<!DOCTYPE html>",
+            "<title>a - b</title>", "< 5", "a<b", "<a href=\"/x?a=1&amp;b=2\" HREF='n'>", "</a>", "<A TITLE=t\n HREF=/q/>", "<x/>", "<input disabled>", "</p >", "<?php ?>", "<a b", "<dl><dt>", "<dd>", "\n ", "<a href=x/y>", "<!-- a -- b -->", "<a x='1'y=2>", "&#x41"]
+    rng, usual = random.Random(1), 0
+    for _ in range(4000):
+        html = "".join(rng.choice(bits) for _ in range(rng.randint(1, 8)))
+        builder = dom._Builder()
+        builder.feed(html)
+        builder.close()
+        assert shown(dom.tree(html)) == shown(builder.root), html
+        usual += dom._usual(html) is not None
+    assert 1000 < usual < 3500
