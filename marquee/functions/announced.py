@@ -256,8 +256,8 @@ def year_of_url(url: Column) -> Column:
 def event_format(text: Column) -> Column:
     """线上线下, 线上 or 线下 by the phrases of a text, its white space left out; null if it tells none."""
     whole = F.regexp_replace(held(text), r"(?U)\s+", "")
-    online, offline = lambda t: has(t, ONLINE), lambda t: has(t, OFFLINE)
-    return bound(whole, lambda t: F.when(has(t, BOTH_WAYS) | (online(t) & offline(t)), "线上线下").when(online(t), "线上").when(offline(t), "线下"))
+    ways = bound(whole, lambda t: F.struct(has(t, BOTH_WAYS).alias("both"), has(t, ONLINE).alias("online"), has(t, OFFLINE).alias("offline")))
+    return bound(ways, lambda w: F.when(w["both"] | (w["online"] & w["offline"]), "线上线下").when(w["online"], "线上").when(w["offline"], "线下"))
 
 
 def item_times(text: Column, url: Column, at: Column, places: Column | None = None) -> Column:
@@ -269,7 +269,8 @@ def item_times(text: Column, url: Column, at: Column, places: Column | None = No
 
     def told(ts: Column) -> Column:
         again = ts[0] != ts[1]
-        dates = F.transform(ts, lambda t, k: F.when((k > 0) | again, F.struct(resolved_publish_date(t, url, at, places).alias("publish_date"), deadline(t, at).alias("deadline"))))
+        # (what is the same as the text before it tells nothing more)
+        dates = F.transform(ts, lambda t, k: F.when((k == 1) | ((k == 0) & again) | ((k == 2) & (ts[1] != ts[2])), F.struct(resolved_publish_date(t, url, at, places).alias("publish_date"), deadline(t, at).alias("deadline"))))
         merged = bound(dates, lambda d: F.struct(*[merged_datetime(F.coalesce(d[0][f], d[1][f]), F.coalesce(d[1][f], d[2][f])).alias(f) for f in ("publish_date", "deadline")]))
         when = F.coalesce(F.when(again, event_time(ts[0])), event_time(ts[1]), event_time(ts[2]))
         return bound(merged, lambda m: F.struct(m["publish_date"].alias("publish_date"), m["deadline"].alias("deadline"), when.alias("event_time"), F.coalesce(event_format(ts[2]), event_format(ts[1])).alias("event_format")))
@@ -302,7 +303,8 @@ def event_time(text: Column) -> Column:
     whole = held(text)
 
     def times(t: Column) -> Column:
-        return F.filter(F.transform(F.array(*[F.regexp_extract(t, f"(?U){p}", 1) for p in EVENTS]), _cleaned), lambda x: F.length(x) >= 4)
+        raw = F.filter(F.array(*[F.regexp_extract(t, f"(?U){p}", 1) for p in EVENTS]), lambda x: x != "")
+        return F.filter(F.transform(raw, _cleaned), lambda x: F.length(x) >= 4)
 
     own = F.filter(F.split(whole, r"[。；\n]"), lambda s: (F.trim(s) != "") & ~(has(s, SYSTEM) & ~has(s, ARRIVAL)))
     by_sentence = F.flatten(F.transform(own, times))
@@ -311,10 +313,10 @@ def event_time(text: Column) -> Column:
 
 def compact(text: Column) -> Column:
     """Text without the blanks that tear dates and phrases apart."""
-    out = held(text)
+    whole = out = held(text)
     for pattern, by in ((r"(\d)\s+(?=\d)", "$1"), (r"(\d)\s+(?=[年月日:：\-/])", "$1"), (r"([年月日时分秒])\s+", "$1"), (r"(\d)\s+(?=\d)", "$1"), (rf"({'|'.join(CLOSED_UP)})\s+", "$1"), (r"(拟|将)\s+于", "$1于"), (r"至\s+(\d)", "至$1")):
         out = F.regexp_replace(out, f"(?U){pattern}", by)
-    return out
+    return F.when(has(whole, r"\s"), out).otherwise(whole)
 
 
 def focused(text: Column) -> Column:
