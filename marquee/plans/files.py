@@ -10,8 +10,8 @@ from xml.sax.saxutils import escape
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..sources.files import attachments, feed_files, side_files, write_files
-from ..sources.tables import read
+from ..sources.files import attachments, feed_files, one_by_one, side_files, write_files
+from ..sources.tables import read, spread
 from ..sources.versions import fresh
 
 QUERIES: dict = {}
@@ -79,11 +79,11 @@ _VALID = r"regexp_replace(text, '[^\x09\x0A\x20-\x{D7FF}]', '', 'g')"
 def src_11_documents(spark, sf_dir):
     """Word files of twenty documents each, with a table of their languages: paragraphs, then rows."""
     d = read(spark, sf_dir, "documents").select(F.expr("doc_id div 20").alias("part"), "doc_id", "lang", F.regexp_replace("text", r"[^\x09\x0A\x20-\x{D7FF}]", "").alias("text"))
-    groups = d.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("doc_id", "lang", "text"))).alias("rows"))
+    groups = spread(d, "part").groupBy("part").agg(F.array_sort(F.collect_list(F.struct("doc_id", "lang", "text"))).alias("rows"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for part, rows in one_by_one(batch):
                 content = docx([p for r in rows for p in (r["text"], " ")], [[str(r["doc_id"]), r["lang"], "\n"] for r in rows])
                 yield pa.RecordBatch.from_arrays([pa.array([f"p{part}.docx"]), pa.array([content])], ["name", "content"])
 
@@ -99,11 +99,11 @@ def src_11_documents(spark, sf_dir):
 def src_11_sheets(spark, sf_dir):
     """Workbooks of two sheets, of which 200 rows each are read; beside them old formats, PDF magic and cut files, which give no text."""
     o = read(spark, sf_dir, "orders").select(F.expr("o_orderkey div 400").alias("part"), F.struct("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority").alias("row"))
-    groups = o.groupBy("part").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    groups = spread(o, "part").groupBy("part").agg(F.array_sort(F.collect_list("row")).alias("rows"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for part, rows in one_by_one(batch):
                 table = [[r["o_orderkey"], r["o_orderstatus"], r["o_totalprice"], " " + r["o_orderpriority"], None, r["o_orderkey"] % 2 == 0] for r in rows]
                 content = xlsx([[["key", "status", None, "total"], *table], [["last sheet", len(rows)], []]])
                 if part % 3 == 1:

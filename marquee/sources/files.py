@@ -116,6 +116,12 @@ def attachments(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", F.when(F.length(F.trim("raw")) >= LEAST_TEXT, compact(F.col("raw"))).otherwise("").alias("text"))
 
 
+def one_by_one(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Rows of a batch as Python values, one at a time, since each may be as long as a file."""
+    for k in range(batch.num_rows):
+        yield tuple(c[k].as_py() for c in batch.columns)
+
+
 def write_files(rows: DataFrame, root: str) -> DataFrame:
     """Write column ``content`` of each row under its ``name`` below ``root``; returns name and bytes. A task that is run again writes the same files."""
 
@@ -123,11 +129,13 @@ def write_files(rows: DataFrame, root: str) -> DataFrame:
         system, base = fs.FileSystem.from_uri(root)
         system.create_dir(base, recursive=True)
         for batch in batches:
-            names, contents = batch.column("name").to_pylist(), batch.column("content").to_pylist()
-            for name, content in zip(names, contents, strict=True):
+            names, sizes = [], []
+            for name, content in one_by_one(batch):
                 with system.open_output_stream(f"{base}/{name}") as out:
                     out.write(content)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([len(c) for c in contents], pa.int64())], ["name", "bytes"])
+                names.append(name)
+                sizes.append(len(content))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["name", "bytes"])
 
     return rows.select("name", "content").mapInArrow(write, "name string, bytes long")
 
