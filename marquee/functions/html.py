@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Pages whose texts a task holds at a time.
+PAGES = 100
 SKIPPED = frozenset(("script", "style", "nav", "footer", "header", "iframe"))
 
 
@@ -74,9 +76,11 @@ def anchors(pages: DataFrame) -> DataFrame:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(i, k, absolute(u or "", href), text) for i, u, h in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k, (href, text) in enumerate(_read(h).anchors)]
-            columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.string()), strict=True)], ["page_id", "ord", "href", "text"])
+            for start in range(0, batch.num_rows, PAGES):
+                ids, urls, pages_ = batch.slice(start, PAGES).columns
+                out = [(i.as_py(), k, absolute(u.as_py() or "", href), text) for i, u, h in zip(ids, urls, pages_, strict=True) for k, (href, text) in enumerate(_read(h.as_py()).anchors)]
+                columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.string()), strict=True)], ["page_id", "ord", "href", "text"])
 
     return pages.select("page_id", "url", "html").mapInArrow(parse, "page_id long, ord int, href string, text string")
 
@@ -86,8 +90,12 @@ def page_texts(pages: DataFrame) -> DataFrame:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            read = [_read(h) for h in batch.column(1).to_pylist()]
-            heads, texts = ([" ".join("".join(getattr(r, a)).split()) for r in read] for a in ("heading", "parts"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(heads, pa.string()), pa.array(texts, pa.string())], ["page_id", "heading", "text"])
+            for start in range(0, batch.num_rows, PAGES):  # so many pages' texts at a time, and one page's parts
+                some, heads, texts = batch.slice(start, PAGES), [], []
+                for page in some.column(1):
+                    told = _read(page.as_py())
+                    heads.append(" ".join("".join(told.heading).split()))
+                    texts.append(" ".join("".join(told.parts).split()))
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(heads, pa.string()), pa.array(texts, pa.string())], ["page_id", "heading", "text"])
 
     return pages.select("page_id", F.col("html")).mapInArrow(parse, "page_id long, heading string, text string")
