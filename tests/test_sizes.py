@@ -1,11 +1,16 @@
 """Small cases of what failed on larger tables only."""
 
+import glob
+
 import duckdb
-import pytest
-from pyspark.sql import functions as F
+import pyarrow as pa
 
+from marquee.functions import html
+from marquee.operators.occurrences import occurrences
 from marquee.plans import registry
-from marquee.sources.versions import fresh
+from marquee.sources.files import write_files
+from marquee.sources.versions import fresh, shared_dir
+from marquee.streaming import jobs
 
 
 def oracle_rows(folder, name, tables):
@@ -29,3 +34,47 @@ def test_pieces_of_one_row_are_asked_in_their_order(spark):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{root}/documents.parquet")
     found = registry.QUERIES["st_08_learned_pieces"](spark, root).select("id", "part", "rejected", "piece")
     assert sorted(map(tuple, found.collect()), key=repr) == oracle_rows(root.removeprefix("file:"), "st_08_learned_pieces", ["documents"])
+
+
+class Held:
+    """A table of one batch, which hands it to a function of batches and keeps what comes back."""
+
+    def __init__(self, batch):
+        self.batch = batch
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, function, shape):
+        return list(function(iter([self.batch])))
+
+
+def test_pages_of_a_batch_are_read_a_few_at_a_time(spark):
+    n = 2 * html.PAGES + 5
+    pages = pa.RecordBatch.from_pydict({"page_id": list(range(n)), "url": ["https://x/"] * n, "html": ["<h1>a</h1> <p>b</p><a href=c>d</a>"] * n})
+    texts = html.page_texts(Held(pages.select(["page_id", "html"])))
+    assert [b.num_rows for b in texts] == [html.PAGES, html.PAGES, 5] and sum((b.column(2).to_pylist() for b in texts), []) == ["a bd"] * n
+    assert [b.num_rows for b in html.anchors(Held(pages))] == [html.PAGES, html.PAGES, 5]
+
+
+def test_files_of_a_batch_are_written_one_by_one(tmp_path):
+    files = pa.RecordBatch.from_pydict({"name": ["a", "b"], "content": [b"12", b"3"]})
+    done = write_files(Held(files), f"file://{tmp_path}/out")
+    assert done[0].to_pydict() == {"name": ["a", "b"], "bytes": [2, 1]} and (tmp_path / "out" / "a").read_bytes() == b"12"
+
+
+def test_runs_arrive_in_as_many_files_as_there_are_tasks(spark):
+    rows = spark.range(4_000).selectExpr("id", "concat('a title of kind ', id % 7, ' and its number ', id) AS title").repartition(4)
+    before = set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/arriving-notices-*"))
+    assert jobs.learned_rules(spark, rows).count() == 4_000
+    new = set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/arriving-notices-*")) - before
+    assert len(glob.glob(f"{new.pop()}/*.parquet")) > 4  # one task no longer writes a whole part
+
+
+def test_few_needles_are_looked_for_in_place(spark):
+    texts = spark.createDataFrame([(k, k % 2, t) for k, t in enumerate(["abcdefghijkl", "xabcx", "", None, "bcdefghij ab", "the ab"])], "id long, k long, text string")
+    needles = spark.createDataFrame([(0, "abc"), (0, "bcdefghij"), (1, "ab"), (1, ""), (0, None), (0, "abc")], "k long, needle string")
+    for key in ([], ["k"]):
+        plain, dealt = (occurrences(needles, texts, "id", key, few=n) for n in (64, 0))
+        assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, dealt.collect())) != []
+        assert "Generate" not in plain._jdf.queryExecution().executedPlan().toString()
