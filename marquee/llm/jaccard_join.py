@@ -8,9 +8,10 @@ inverted lists that are scanned, where the place of the last common shingle boun
 them is where enumerating subsets begins to cost more than scanning lists, by the measured mean length of a list. All
 candidates are verified on the whole sets.
 
-Each list first links its members to one head in another component, twice; lists that lie in one component after that
-need no pairs, so a large group of near copies is never expanded into all its pairs. Only pairs across components are
-then scanned, and only those pass whose places in the lists and whose parities leave room for the wanted overlap.
+Each list first links its members to one head in another component. Then lists are dealt into small buckets, each time
+into others, and each node's likeliest partner in its buckets is verified; so a large group of near copies that link with
+some of each other only becomes one component without all its pairs. All pairs that are still across components are
+scanned last, and only those pass whose places in the lists and whose parities leave room for the wanted overlap.
 """
 
 from __future__ import annotations
@@ -40,7 +41,9 @@ SIGNS, SIGN_BITS = 8, 9
 #: Rounds that verify the likeliest crossing pair of each row before all that are left.
 BEST_ROUNDS = 1
 #: Rounds that link the members of each list to one head.
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
+#: Rounds in which the members of each list meet those of the same bucket of it, and mean number of members of a bucket.
+BUCKET_ROUNDS, BUCKET = 2, 8
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -248,36 +251,38 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         links = found if links is None else stored(links.union(found), "links-so-far")
         label = components(links)
 
-    # last round: pairs across components, in the lists that reach over several
-    labelled = stored(open_lists.drop("component").join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled-lists")
-    wide = stored(labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "wide-lists")
     signs = [f"p{k}" for k in range(SIGNS)]
-    signed = stored(labelled.join(wide, "key"), "open-lists").join(_signed(nodes, signs), "node")
     # (a pair whose rows also follow the same key is met there already)
     before = F.when(F.col("place") >= 0, F.lag("key").over(W.partitionBy("node").orderBy("place", "key"))).alias("before")
-    signed = stored(signed.select("*", before), "signed-lists")
-    for table in (labelled, open_lists):
-        dropped(table)
-    small = signed.where("index").select("key", *[F.col(c).alias(f"s_{c}") for c in ("node", "size", "place", "component", "before", *signs)])
-    overlap = F.ceil((F.col("size") + F.col("s_size")) * num / (num + den))
-    room = F.least(F.col("size") - F.col("place"), F.col("s_size") - F.col("s_place")) + F.least("place", "s_place") >= overlap
-    first = F.coalesce(F.col("before") != F.col("s_before"), F.lit(True))
-    parted = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"s_{c}"))) for c in signs)
-    differ = parted <= F.floor((F.col("size") + F.col("s_size")) * (den - num) / (den + num))
-    crossing = (signed["key"] == small["key"]) & F.expr("component <> s_component and (s_size < size or (s_size = size and s_node < node))") & (F.col("s_size") * den >= F.col("size") * num)
-    pairs = (
-        signed.join(small, crossing & first & ((F.col("place") < 0) | room) & differ)
-        .groupBy(F.col("node").alias("a"), F.col("s_node").alias("b")).agg((1 - F.min(parted / (F.col("size") + F.col("s_size")))).alias("share"))
-    )
-    pairs = _not_too_different(stored(pairs, "crossing-pairs"), nodes, num, den)
+    signed = stored(open_lists.drop("component").join(_signed(nodes, signs), "node").select("*", before), "signed-lists")
+    dropped(open_lists)
+    # bucket rounds: each node's likeliest pair with a member of another component in a small part of a list
+    for turn in range(BUCKET_ROUNDS):
+        spread = _across(signed, label)
+        bucket = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("n") / BUCKET))
+        dealt = stored(spread.withColumn("bucket", bucket), "list-buckets")
+        likely = stored(_best(_crossing(dealt, ["key", "bucket"], signs, num, den)), "bucket-pairs")
+        likely = _not_too_different(likely, nodes, num, den)
+        dropped(dealt)
+        if not likely.limit(1).count():
+            continue
+        texts = _texts(likely, nodes, rows)
+        links = stored(links.union(_verified(likely, texts, num, den)), "links-so-far")
+        dropped(texts)
+        label = components(links)
+
+    # last round: all pairs across components, in the lists that reach over several
+    spread = stored(_across(signed, label), "open-lists")
     dropped(signed)
+    pairs = _crossing(spread, ["key"], signs, num, den, once=True)
+    pairs = _not_too_different(stored(pairs, "crossing-pairs"), nodes, num, den)
+    dropped(spread)
     texts = _texts(pairs, nodes, rows)
     for turn in range(BEST_ROUNDS + 1):
         # a few rounds verify each node's likeliest pair only, which joins most groups; the last one verifies all that still cross
         now = pairs.select("a", "b")
         if turn < BEST_ROUNDS:
-            best = [pairs.groupBy(x).agg(F.max(F.struct("share", "a", "b")).alias("best")).select("best.a", "best.b") for x in ("a", "b")]
-            now = stored(best[0].union(best[1]).distinct(), "likeliest-pairs")
+            now = stored(_best(pairs).select("a", "b"), "likeliest-pairs")
         new = _verified(now, texts, num, den)
         if new.limit(1).count():
             links = stored(links.union(new), "links-so-far")
@@ -292,6 +297,36 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return members.select("row", "id", "node", "size"), label
 
 
+def _across(signed: DataFrame, label: DataFrame) -> DataFrame:
+    """The lists that reach over several components, with each member's component and each list's number ``n`` of members."""
+    labelled = stored(signed.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled-lists")
+    ends = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"))
+    return labelled.join(stored(ends.where("lo < hi").select("key", "n"), "wide-lists"), "key")
+
+
+def _crossing(lists: DataFrame, by: list[str], signs: list[str], num: int, den: int, once: bool = False) -> DataFrame:
+    """a, b, share of the pairs across components that meet in ``by`` and may be similar enough; ``once`` if what shares a key always meets."""
+    small = lists.where("index").select(*by, *[F.col(c).alias(f"s_{c}") for c in ("node", "size", "place", "component", "before", *signs)])
+    overlap = F.ceil((F.col("size") + F.col("s_size")) * num / (num + den))
+    room = F.least(F.col("size") - F.col("place"), F.col("s_size") - F.col("s_place")) + F.least("place", "s_place") >= overlap
+    first = F.coalesce(F.col("before") != F.col("s_before"), F.lit(True)) if once else F.lit(True)
+    parted = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"s_{c}"))) for c in signs)
+    differ = parted <= F.floor((F.col("size") + F.col("s_size")) * (den - num) / (den + num))
+    crossing = F.expr("component <> s_component and (s_size < size or (s_size = size and s_node < node))") & (F.col("s_size") * den >= F.col("size") * num)
+    for c in by:
+        crossing = (lists[c] == small[c]) & crossing
+    return (
+        lists.join(small, crossing & first & ((F.col("place") < 0) | room) & differ)
+        .groupBy(F.col("node").alias("a"), F.col("s_node").alias("b")).agg((1 - F.min(parted / (F.col("size") + F.col("s_size")))).alias("share"))
+    )
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """The likeliest of the pairs (a, b, share) of each node on either side."""
+    best = [pairs.groupBy(x).agg(F.max(F.struct("share", "a", "b")).alias("best")).select("best.a", "best.b", "best.share") for x in ("a", "b")]
+    return best[0].union(best[1]).distinct()
+
+
 def _likely_stars(wide: DataFrame, num: int, den: int) -> DataFrame:
     """Stored pairs of each node with the head, of those in other components, with which it has most keys in common."""
     head = F.when(F.col("lo.component") != F.col("component"), F.col("lo")).otherwise(F.col("hi"))
