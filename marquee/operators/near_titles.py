@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +13,10 @@ from ..functions.similarity import similarity_from
 from ..sources.versions import kept
 
 
+#: Parities of the pairs of letters, and of the letters, ride along as so many longs each; titles of a common pair meet in blocks of so many.
+SIGNS, BLOCK = 4, 5000
+
+
 def near_titles(titles: DataFrame, key: list[str], threshold: float = 0.88) -> DataFrame:
     """key, title, other, ratio: distinct titles of a key whose matching-block ratio reaches the threshold, title < other.
 
@@ -18,6 +25,10 @@ def near_titles(titles: DataFrame, key: list[str], threshold: float = 0.88) -> D
     length n at least n * (3t - 2) / (2 - t) - 1 of its n - 1 (counted with repetition). So two similar titles share one of the
     rarest pairs of letters that are left when so many, less one, of each title's commonest ones are set aside. Titles
     meet by these; then length, letters and blocks decide. Null titles are in no pair.
+
+    Each character outside the blocks is one deletion or insertion, which changes the letters by one and the pairs of
+    letters by three at most (both counted with repetition). So their parities in a fixed number of slots differ in no more
+    slots than that, which is seen in the join.
     """
     if threshold < 0.8:
         raise ValueError("pairs of letters prove nothing below a threshold of 0.8")
@@ -25,13 +36,28 @@ def near_titles(titles: DataFrame, key: list[str], threshold: float = 0.88) -> D
     letters = F.transform(F.sequence(F.lit(1), F.length("title") - 1), lambda i: F.substring("title", i, 2))
     whole = distinct.where(F.length("title") >= 2).withColumn("letters", letters)
     # the second of two equal pairs of letters is another token than the first
-    tokens = F.transform("letters", lambda x, i: F.concat(x, F.size(F.filter(F.slice("letters", 1, i), lambda y: y == x)).cast("string")))
+    numbered = lambda c: F.transform(c, lambda x, i: F.concat(x, F.size(F.filter(F.slice(c, 1, i), lambda y: y == x)).cast("string")))
+    tokens = numbered("letters")
     each = whole.select(*key, "title", F.explode(tokens).alias("token"))
     common = each.groupBy(*key, "token").agg(F.count(F.lit(1)).alias("n"))
     shared = F.greatest(F.lit(1), F.ceil(F.length("title") * ((3 * threshold - 2) / (2 - threshold)) - 1.000001))
     place = F.row_number().over(W.partitionBy(*key, "title").orderBy("n", "token"))
-    rare = kept(each.join(common, [*key, "token"]).withColumn("place", place).where(F.col("place") <= F.length("title") - shared).select(*key, "token", "title"), "near-tokens")
-    other = rare.withColumnRenamed("title", "other")
+    slots = lambda c: F.transform(c, lambda x: F.pmod(F.xxhash64(x), F.lit(64 * SIGNS)).cast("int"))
+    single = F.transform(F.sequence(F.lit(1), F.length("title")), lambda i: F.substring("title", i, 1))
+    hashed = whole.withColumn("single", single).select(*key, "title", slots(tokens).alias("p"), slots(numbered("single")).alias("q"))
+    sign = "aggregate({0}, 0L, (s, x) -> s ^ if(x div 64 = {1}, shiftleft(1L, x % 64), 0L)) AS {0}{1}"
+    signed = hashed.select(*key, "title", *[F.expr(sign.format(c, k)) for c in "pq" for k in range(SIGNS)])
+    placed = each.join(common, [*key, "token"]).withColumn("place", place).where(F.col("place") <= F.length("title") - shared)
+    rare = kept(placed.select(*key, "token", "title", "n").join(signed, [*key, "title"]), "near-tokens")
+    # the titles of a common token are dealt into blocks, each of which meets all of them
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = rare.withColumn("block", F.pmod(F.xxhash64("title"), blocks).cast("int"))
+    other = rare.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).select(*key, "token", "block", F.col("title").alias("other"), *[F.col(f"{c}{k}").alias(f"o{c}{k}") for c in "pq" for k in range(SIGNS)])
     short, both = F.least(F.length("title"), F.length("other")), F.length("title") + F.length("other")
-    pairs = rare.join(other, [*key, "token"]).where((F.col("title") < F.col("other")) & (short * 2 >= both * threshold)).select(*key, "title", "other").distinct()
+    outside = F.floor(both * (1 - threshold) + 0.000001)
+    outside = outside - F.pmod(outside + both, F.lit(2))
+    parted = lambda c: sum(F.bit_count(F.col(f"{c}{k}").bitwiseXOR(F.col(f"o{c}{k}"))) for k in range(SIGNS))
+    near = (parted("q") <= outside) & (parted("p") <= 3 * outside) & (F.col("title") < F.col("other")) & (short * 2 >= both * threshold)
+    same = [dealt[c] == other[c] for c in (*key, "token", "block")]
+    pairs = kept(dealt.join(other, reduce(and_, same) & near).select(*[dealt[c] for c in key], "title", "other").distinct(), "near-pairs")
     return pairs.withColumn("ratio", similarity_from(threshold)("title", "other")).where("ratio is not null")
