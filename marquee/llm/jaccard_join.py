@@ -8,7 +8,8 @@ inverted lists that are scanned, where the place of the last common shingle boun
 them is where enumerating subsets begins to cost more than scanning lists, by the measured mean length of a list. All
 candidates are verified on the whole sets.
 
-Each list first links its members to one head in another component. Then lists are dealt into small buckets, each time
+Lists in which nobody looks up, or all of one component, are left out, and what is left out does not come back. Each
+list first links its members to one head. Then lists are dealt into small buckets, each time
 into others, and each node's likeliest partner in its buckets is verified; so a large group of near copies that link with
 some of each other only becomes one component without all its pairs. All pairs that are still across components are
 scanned last, and only those pass whose places in the lists and whose parities leave room for the wanted overlap.
@@ -36,12 +37,12 @@ NUM, DEN = 80, 100
 SHARE = 0.001
 #: Shingles whose slots a task holds at a time.
 BUFFER = 1_500_000
-#: Bits of the parity that rides along with open lists, as so many longs.
-SIGNS, SIGN_BITS = 8, 9
+#: Longs of the parity that rides along with the lists of a bucket round, and with those whose pairs are all scanned.
+SHORT_SIGNS, SIGNS = 2, 8
+#: Least bits of a number of a slot of the parity.
+SIGN_BITS = 9
 #: Rounds that verify the likeliest crossing pair of each row before all that are left.
 BEST_ROUNDS = 1
-#: Rounds that link the members of each list to one head.
-STAR_ROUNDS = 1
 #: Rounds in which the members of each list meet those of the same bucket of it, and mean number of members of a bucket.
 BUCKET_ROUNDS, BUCKET = 2, 8
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -134,14 +135,18 @@ def _texts(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _not_too_different(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose parities leave room for the similarity: of sets that link, at most this share of both is not common."""
+    """The pairs (a, b) whose parities leave room for the similarity, and the share of both sets that may be common by them.
+
+    Of sets that link, at most the rest is not common.
+    """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (batch.column(c).to_pylist() for c in ("pa", "pb"))
-            most = (batch.column("sa").to_numpy() + batch.column("sb").to_numpy()) * (den - num) // (den + num)
-            keep = [least_difference(p, q) <= m for p, q, m in zip(x, y, most.tolist(), strict=True)]
-            yield batch.select(["a", "b", "share"]).filter(pa.array(keep, pa.bool_()))
+            both = batch.column("sa").to_numpy() + batch.column("sb").to_numpy()
+            differ = np.fromiter((least_difference(p, q) for p, q in zip(x, y, strict=True)), np.int64, len(x))
+            pairs = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(1 - differ / both)], ["a", "b", "share"])
+            yield pairs.filter(pa.array(differ <= both * (den - num) // (den + num)))
 
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("size").cast("long").alias(f"s{x}"), F.col("parity").alias(f"p{x}"))
     return stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a long, b long, share double"), "likely-pairs")
@@ -231,38 +236,29 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members, lists = found.where("row is not null"), found.where("row is null").select("key", "node", "size", "place", "index")
     nodes = stored(members.groupBy("node").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("parity").alias("parity")), "nodes")
 
-    # star rounds: each list links its members to one head in another component, where a good part of the looked-up keys agree
-    label = links = None
-    for _ in range(STAR_ROUNDS):
-        if label is None:
-            labelled = lists.withColumn("component", F.col("node"))
-        else:
-            labelled = stored(open_lists.drop("component").join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled-lists")
-        end = F.struct("component", "node", "size")
-        heads = stored(labelled.groupBy("key").agg(F.min(end).alias("lo"), F.max(end).alias("hi")).where("lo.component < hi.component"), "list-heads")
-        wide = stored(labelled.join(heads, "key"), "wide-lists")
-        stars = _likely_stars(wide, num, den)
-        stars = _not_too_different(stars, nodes, num, den)
-        texts = _texts(stars, nodes, rows)
-        found = _verified(stars, texts, num, den)
-        dropped(texts)
-        open_lists = stored(wide.select("key", "node", "size", "place", "index", "component").distinct(), "open-lists")
-        dropped(wide)
-        links = found if links is None else stored(links.union(found), "links-so-far")
-        label = components(links)
+    # star round: each list links its members to one head, where a good part of the looked-up keys agree
+    end = F.struct("node", "size")
+    heads = lists.groupBy("key").agg(F.min(end).alias("lo"), F.max(end).alias("hi"), F.max("index").alias("looked_up"))
+    wide = stored(lists.join(stored(heads.where("looked_up and lo.node < hi.node").drop("looked_up"), "list-heads"), "key"), "wide-lists")
+    nodes = stored(nodes.join(wide.select("node").distinct(), "node", "left_semi"), "list-nodes")
+    stars = _not_too_different(_likely_stars(wide, num, den), nodes, num, den)
+    texts = _texts(stars, nodes, rows)
+    links = _verified(stars, texts, num, den)
+    dropped(texts)
+    label = components(links)
 
-    signs = [f"p{k}" for k in range(SIGNS)]
     # (a pair whose rows also follow the same key is met there already)
     before = F.when(F.col("place") >= 0, F.lag("key").over(W.partitionBy("node").orderBy("place", "key"))).alias("before")
-    signed = stored(open_lists.drop("component").join(_signed(nodes, signs), "node").select("*", before), "signed-lists")
-    dropped(open_lists)
+    once = wide.select("key", "node", "size", "place", "index").repartition("node").distinct()
+    spread = _across(once.select("*", before), label)
+    dropped(wide)
     # bucket rounds: each node's likeliest pair with a member of another component in a small part of a list
     for turn in range(BUCKET_ROUNDS):
-        spread = _across(signed, label)
+        signs = [f"p{k}" for k in range(SHORT_SIGNS)]
         bucket = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("n") / BUCKET))
-        dealt = stored(spread.withColumn("bucket", bucket), "list-buckets")
-        likely = stored(_best(_crossing(dealt, ["key", "bucket"], signs, num, den)), "bucket-pairs")
-        likely = _not_too_different(likely, nodes, num, den)
+        dealt = stored(spread.join(_signed(nodes, signs), "node").withColumn("bucket", bucket), "list-buckets")
+        likely = _not_too_different(_crossing(dealt, ["key", "bucket"], signs, num, den), nodes, num, den)
+        likely = stored(_best(likely), "bucket-pairs")
         dropped(dealt)
         if not likely.limit(1).count():
             continue
@@ -270,13 +266,16 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         links = stored(links.union(_verified(likely, texts, num, den)), "links-so-far")
         dropped(texts)
         label = components(links)
+        last, spread = spread, _across(spread, label)
+        dropped(last)
 
     # last round: all pairs across components, in the lists that reach over several
-    spread = stored(_across(signed, label), "open-lists")
-    dropped(signed)
-    pairs = _crossing(spread, ["key"], signs, num, den, once=True)
-    pairs = _not_too_different(stored(pairs, "crossing-pairs"), nodes, num, den)
+    signs = [f"p{k}" for k in range(SIGNS)]
+    signed = stored(spread.join(_signed(nodes, signs), "node"), "signed-lists")
     dropped(spread)
+    pairs = _crossing(signed, ["key"], signs, num, den, once=True)
+    pairs = _not_too_different(stored(pairs, "crossing-pairs"), nodes, num, den)
+    dropped(signed)
     texts = _texts(pairs, nodes, rows)
     for turn in range(BEST_ROUNDS + 1):
         # a few rounds verify each node's likeliest pair only, which joins most groups; the last one verifies all that still cross
@@ -297,15 +296,17 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return members.select("row", "id", "node", "size"), label
 
 
-def _across(signed: DataFrame, label: DataFrame) -> DataFrame:
-    """The lists that reach over several components, with each member's component and each list's number ``n`` of members."""
-    labelled = stored(signed.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled-lists")
-    ends = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"))
-    return labelled.join(stored(ends.where("lo < hi").select("key", "n"), "wide-lists"), "key")
+def _across(lists: DataFrame, label: DataFrame) -> DataFrame:
+    """Stored: the lists that reach over several components and are looked up, with each member's component and each list's number ``n`` of members."""
+    labelled = stored(lists.drop("component", "n").join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled-lists")
+    ends = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), F.max("index").alias("looked_up"))
+    spread = stored(labelled.join(stored(ends.where("looked_up and lo < hi").select("key", "n"), "wide-keys"), "key"), "open-lists")
+    dropped(labelled)
+    return spread
 
 
 def _crossing(lists: DataFrame, by: list[str], signs: list[str], num: int, den: int, once: bool = False) -> DataFrame:
-    """a, b, share of the pairs across components that meet in ``by`` and may be similar enough; ``once`` if what shares a key always meets."""
+    """The pairs (a, b) across components that meet in ``by`` and may be similar enough; ``once`` if what shares a key always meets."""
     small = lists.where("index").select(*by, *[F.col(c).alias(f"s_{c}") for c in ("node", "size", "place", "component", "before", *signs)])
     overlap = F.ceil((F.col("size") + F.col("s_size")) * num / (num + den))
     room = F.least(F.col("size") - F.col("place"), F.col("s_size") - F.col("s_place")) + F.least("place", "s_place") >= overlap
@@ -315,10 +316,7 @@ def _crossing(lists: DataFrame, by: list[str], signs: list[str], num: int, den:
     crossing = F.expr("component <> s_component and (s_size < size or (s_size = size and s_node < node))") & (F.col("s_size") * den >= F.col("size") * num)
     for c in by:
         crossing = (lists[c] == small[c]) & crossing
-    return (
-        lists.join(small, crossing & first & ((F.col("place") < 0) | room) & differ)
-        .groupBy(F.col("node").alias("a"), F.col("s_node").alias("b")).agg((1 - F.min(parted / (F.col("size") + F.col("s_size")))).alias("share"))
-    )
+    return lists.join(small, crossing & first & ((F.col("place") < 0) | room) & differ).select(F.col("node").alias("a"), F.col("s_node").alias("b")).distinct()
 
 
 def _best(pairs: DataFrame) -> DataFrame:
@@ -328,27 +326,28 @@ def _best(pairs: DataFrame) -> DataFrame:
 
 
 def _likely_stars(wide: DataFrame, num: int, den: int) -> DataFrame:
-    """Stored pairs of each node with the head, of those in other components, with which it has most keys in common."""
-    head = F.when(F.col("lo.component") != F.col("component"), F.col("lo")).otherwise(F.col("hi"))
+    """Stored pairs of each node with the head of a list with which it has most keys in common."""
+    head = F.when(F.col("lo.node") != F.col("node"), F.col("lo")).otherwise(F.col("hi"))
     pairs = wide.select("key", "node", "size", head["node"].alias("head"), head["size"].alias("head_size")).distinct()
     shared = (
         pairs.where(F.least("size", "head_size") * den >= F.greatest("size", "head_size") * num).groupBy("head", "node", "size").agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") * 4 >= F.least("size", F.ceil(F.col("size") * (1 - num / den))))
     )
-    best = shared.groupBy(F.col("node").alias("b")).agg(F.max(F.struct("n", "head", "size")).alias("best"))
-    return stored(best.select(F.col("best.head").alias("a"), "b", (F.col("best.n") / F.col("best.size")).alias("share")), "star-pairs")
+    best = shared.groupBy(F.col("node").alias("b")).agg(F.max(F.struct("n", "head")).alias("best"))
+    return stored(best.select(F.col("best.head").alias("a"), "b"), "star-pairs")
 
 
 def _signed(nodes: DataFrame, signs: list[str]) -> DataFrame:
-    """Nodes with their parities, folded to ``SIGN_BITS``, as longs."""
+    """Nodes with their parities, folded to as many longs as ``signs``, a power of two."""
+    slots = 64 * len(signs)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.zeros((batch.num_rows, SIGNS), np.int64)
+            out = np.zeros((batch.num_rows, len(signs)), np.int64)
             for k, whole in enumerate(batch.column(1)):
-                bit = np.unpackbits(np.frombuffer(whole.as_buffer(), np.uint8)).reshape(1 << SIGN_BITS, -1).sum(1) & 1
+                bit = np.unpackbits(np.frombuffer(whole.as_buffer(), np.uint8)).reshape(slots, -1).sum(1) & 1
                 out[k] = np.packbits(bit).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[:, k]) for k in range(SIGNS))], ["node", *signs])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[:, k]) for k in range(len(signs)))], ["node", *signs])
 
     return nodes.select("node", "parity").mapInArrow(fold, "node long, " + ", ".join(f"{c} long" for c in signs))
 
