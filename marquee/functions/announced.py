@@ -66,6 +66,7 @@ LOOSE_SPAN = rf"{FULL_DAY}\s*{TO}\s*(?:\d{{4}}[年\-/.])?\d{{1,2}}[月\-/.]?\d{{
 SHORT_SPAN = rf"{DAY}\s*{TO}\s*{DAY}"
 DAYS = rf"\d{{4}}[年\-/.]\d{{1,2}}月\d{{1,2}}日\s*{TO}\s*\d{{1,2}}日"
 THIRD_OF_MONTH = rf"\d{{4}}[年\-/.]\d{{1,2}}月{THIRD}"
+UNDATED = r"(?:夏令营|活动|开营)(?:举办)?(?:时间为|定于|于)"
 # When an event takes place, in the order in which the forms are tried.
 EVENTS = (
     rf"开营时间{IS}({LOOSE_SPAN})",
@@ -80,7 +81,7 @@ EVENTS = (
     rf"({SPAN})(?=.{{0,30}}(?:夏令营|开营|入营|活动))",
     rf"({SHORT_SPAN})(?=.{{0,30}}(?:夏令营|开营|入营|活动))",
     rf"({FULL_DAY})(?=.{{0,24}}(?:举办|开营|进行|开营式|活动安排|夏令营活动))",
-    r"(?:夏令营|活动|开营)(?:举办)?(?:时间为|定于|于)[：:\s]*([^。；\n]{4,40})",
+    rf"{UNDATED}[：:\s]*([^。；\n]{{4,40}})",
     rf"(?:夏令营安排|活动安排|日程安排).*?时间[：:\s]*({DAY})",
     rf"({DAY})[：:\s]*(?:夏令营)?(?:线上)?开营",
     rf"活动时间{IS}({THIRD_OF_MONTH}[^。；\n]*)",
@@ -306,9 +307,10 @@ def event_time(text: Column) -> Column:
         raw = F.filter(F.array(*[F.regexp_extract(t, f"(?U){p}", 1) for p in EVENTS]), lambda x: x != "")
         return F.filter(F.transform(raw, _cleaned), lambda x: F.length(x) >= 4)
 
-    own = F.filter(F.split(whole, r"[。；\n]"), lambda s: (F.trim(s) != "") & ~(has(s, SYSTEM) & ~has(s, ARRIVAL)))
-    by_sentence = F.flatten(F.transform(own, times))
-    return F.coalesce(F.get(by_sentence, F.lit(0)), F.get(F.filter(times(whole), lambda x: ~F.left(x, F.lit(20)).contains("报名")), F.lit(0)))
+    # forms have a digit, all but one; a sentence is read only as long as none before it has told a time
+    own = F.filter(F.split(whole, r"[。；\n]"), lambda s: has(s, rf"\d|{UNDATED}") & ~(has(s, SYSTEM) & ~has(s, ARRIVAL)))
+    by_sentence = F.aggregate(own, F.lit(None).cast("string"), lambda told, s: F.coalesce(told, F.get(times(s), F.lit(0))))
+    return F.coalesce(by_sentence, F.get(F.filter(times(whole), lambda x: ~F.left(x, F.lit(20)).contains("报名")), F.lit(0)))
 
 
 def compact(text: Column) -> Column:

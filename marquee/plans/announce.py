@@ -8,6 +8,7 @@ from ..functions import announced as A
 from ..functions import classify as C
 from ..functions.similarity import register_functions
 from ..functions.temporal import as_of
+from ..operators.once import once_per_text
 from ..sources.tables import read, spread
 from .ctes import sql
 
@@ -181,7 +182,7 @@ def date_11_item(spark, sf_dir):
     rows = lines(spark, sf_dir).selectExpr(
         "id", f"{_ITEM} AS text", "IF(id % 3 = 0, concat(iso2, ' 08:00:00'), '') AS publish_date", "CASE id % 5 WHEN 0 THEN '2001-01-01 10:00:00' WHEN 1 THEN '2001-01-01 00:00:00' END AS deadline", "IF(id % 2 = 1, 'stored', '') AS event_time", "CAST(NULL AS string) AS event_format", "'a notice' AS title",
     )
-    told = rows.withColumn("told", A.item_times(F.col("text"), F.lit("https://x.example.org/info"), as_of()))
+    told = once_per_text(rows, lambda t: A.item_times(t, F.lit("https://x.example.org/info"), as_of()), "told")
     fields = A.merged_times({f: F.col(f) for f in C.FIELDS}, F.col("told"))
     return told.select("id", "title", *[c.alias(f) for f, c in fields.items()]).select("id", *C.FIELDS, C.detected_status(as_of("2010-01-01 00:00:00")).alias("status"))
 

@@ -98,3 +98,15 @@ def test_few_needles_are_looked_for_in_place(spark):
         plain, dealt = (occurrences(needles, texts, "id", key, few=n) for n in (64, 0))
         assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, dealt.collect())) != []
         assert "Generate" not in plain._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_notices_are_read_once(spark):
+    """Orders of few days are notices of few texts; times are read out of each text once."""
+    root = fresh(spark, "repeated-orders")
+    spark.range(600).selectExpr("id AS o_orderkey", "CASE WHEN id < 590 THEN date'1996-02-27' + cast(id div 4 % 3 AS int) END AS o_orderdate").write.parquet(f"{root}/orders.parquet")
+    before = set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/told-texts-*"))
+    found = registry.QUERIES["date_11_item_times"](spark, root).where("id < 590").collect()
+    assert sorted(map(tuple, found), key=repr) == [r for r in oracle_rows(root.removeprefix("file:"), "date_11_item_times", ["orders"]) if r[0] < 590]
+    new = set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/told-texts-*")) - before
+    # three days in three ways and one that tells no time but its day of publication; the text of unknown days is empty
+    assert spark.read.parquet(new.pop()).count() == 3 * 4 + 1
