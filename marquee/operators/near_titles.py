@@ -1,63 +1,142 @@
-"""Pairs of similar titles without comparing all of them."""
+"""Pairs of similar titles: all pairs of a key are compared, but few by more than one word of parities."""
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DoubleType, StringType, StructField, StructType
 
-from ..functions.similarity import similarity_from
+from ..functions.blocks import coded, matched
+from ..sources.tables import spread
 from ..sources.versions import kept
 
+#: Words of 64 slots that hold the parities of letters, and as many for pairs of letters; a key's titles meet in blocks of so many.
+SIGNS, BLOCK = 4, 30_000
+#: Pairs that are gathered before their other parities are compared, and letters of as many titles as are matched at once.
+PAIRS, LETTERS = 8192, 200_000
 
-#: Parities of the pairs of letters, and of the letters, ride along as so many longs each; titles of a common pair meet in blocks of so many.
-SIGNS, BLOCK = 4, 5000
+
+def parities(tokens: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """For each row ``SIGNS`` words: the parities of how many of its tokens are held in each slot."""
+    mixed = tokens * np.uint64(0x9E3779B97F4A7C15)
+    slot = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)
+    bit = np.where(held, np.uint64(1) << (slot & np.uint64(63)), np.uint64(0))
+    word = slot >> np.uint64(6) & np.uint64(SIGNS - 1)
+    return np.stack([np.bitwise_xor.reduce(np.where(word == k, bit, np.uint64(0)), axis=1) for k in range(SIGNS)], axis=1)
+
+
+def signed(titles: list[str]) -> np.ndarray:
+    """Parities of letters, of which the second of two equal ones is another than the first, and of pairs of letters."""
+    letters, lengths = coded(titles)
+    letters = letters.T
+    wide = letters.astype(np.uint64)
+    turn = np.zeros(letters.shape, np.uint64)
+    for k in range(1, letters.shape[1]):
+        turn[:, k] = (letters[:, :k] == letters[:, k : k + 1]).sum(axis=1)
+    held = np.arange(letters.shape[1]) < lengths[:, None]
+    return np.concatenate([parities(wide << np.uint64(32) | turn, held), parities(wide[:, :-1] << np.uint64(32) | wide[:, 1:], held[:, 1:])], axis=1)
+
+
+def most_outside(length: int, others: np.ndarray, threshold: float) -> np.ndarray:
+    """How many letters of two titles may stand outside matching blocks; below zero if their lengths rule a match out."""
+    both = length + others
+    most = np.floor(both * (1 - threshold) + 0.000001).astype(np.int64)
+    most -= (most + both) % 2
+    return np.where(2 * np.minimum(length, others) >= both * threshold - 0.000001, most, -1)
+
+
+def alike(own: np.ndarray, own_lengths: np.ndarray, other: np.ndarray, other_lengths: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs that lengths and parities leave, some thousands at a time; each pair once if both sides are the ``same``."""
+    count = len(other)
+    whole = np.concatenate([np.bitwise_xor.reduce(other[:, :SIGNS], axis=1), np.zeros(-count % 8, np.uint64)])
+    folded = np.bitwise_xor.reduce(own[:, :SIGNS], axis=1)
+    limits = {n: most_outside(n, other_lengths, threshold) for n in np.unique(own_lengths).tolist()}
+    least = {n: np.pad(np.clip(x, 0, 255).astype(np.uint8), (0, -count % 8)) for n, x in limits.items()}
+    apart, bits, ok = np.empty_like(whole), np.empty(len(whole), np.uint8), np.empty(len(whole), bool)
+    eight = np.arange(8)
+    left, right, n = [], [], 0
+
+    def second() -> tuple[np.ndarray, np.ndarray]:
+        rows, at = np.repeat([r for r, _ in left], [len(x) for _, x in left]), np.concatenate(right)
+        differ, most = np.bitwise_count(own[rows] ^ other[at]), np.empty(len(at), np.int64)
+        for length, limit in limits.items():
+            mine = own_lengths[rows] == length
+            most[mine] = limit[at[mine]]
+        near = (differ[:, :SIGNS].sum(axis=1) <= most) & (differ[:, SIGNS:].sum(axis=1) <= 3 * most)
+        return rows[near], at[near]
+
+    for k, length in enumerate(own_lengths.tolist()):
+        s = (k + 1) // 8 * 8 if same else 0
+        np.bitwise_xor(whole[s:], folded[k], out=apart[s:])
+        np.bitwise_count(apart[s:], out=bits[s:])
+        np.less_equal(bits[s:], least[length][s:], out=ok[s:])
+        some = np.flatnonzero(ok[s:].view(np.uint64))  # eight at a time
+        if len(some):
+            at = (s + 8 * some[:, None] + eight).ravel()
+            at = at[ok[at] & (at < count) & (at > (k if same else -1))]
+            left.append((k, at))
+            right.append(at)
+            n += len(at)
+        if n > PAIRS:
+            yield second()
+            left, right, n = [], [], 0
+    if n:
+        yield second()
+
+
+def ratios(titles: list[str], others: list[str]) -> np.ndarray:
+    """Twice the letters in matching blocks over the letters of both."""
+    (a, n), (b, m) = coded(titles), coded(others)
+    return 2.0 * matched(a, b, n, m) / (n + m)
 
 
 def near_titles(titles: DataFrame, key: list[str], threshold: float = 0.88) -> DataFrame:
     """key, title, other, ratio: distinct titles of a key whose matching-block ratio reaches the threshold, title < other.
 
-    Of two such titles a part of ``threshold`` stands in matching blocks. At most as many characters are outside as the
-    ratio leaves, each ends one block, and within blocks all pairs of neighbouring letters are shared: for a title of
-    length n at least n * (3t - 2) / (2 - t) - 1 of its n - 1 (counted with repetition). So two similar titles share one of the
-    rarest pairs of letters that are left when so many, less one, of each title's commonest ones are set aside. Titles
-    meet by these; then length, letters and blocks decide. Null titles are in no pair.
-
-    Each character outside the blocks is one deletion or insertion, which changes the letters by one and the pairs of
-    letters by three at most (both counted with repetition). So their parities in a fixed number of slots differ in no more
-    slots than that, which is seen in the join.
+    Of two such titles a part of ``threshold`` stands in matching blocks. Each character outside them is one deletion or
+    insertion, which changes the letters by one and the pairs of letters by three at most (both counted with repetition).
+    So their parities in a fixed number of slots differ in no more slots than that. The titles of a key are dealt into
+    blocks; each two blocks meet in a group of their own, where parities are compared, first those of letters folded into
+    one word, and matching blocks are looked for in the few pairs that are left. A group holds two blocks and some
+    thousands of pairs; what leaves it is similar. Null titles are in no pair.
     """
-    if threshold < 0.8:
-        raise ValueError("pairs of letters prove nothing below a threshold of 0.8")
     distinct = kept(titles.where("title is not null").select(*key, "title").distinct(), "near-titles")
-    letters = F.transform(F.sequence(F.lit(1), F.length("title") - 1), lambda i: F.substring("title", i, 2))
-    whole = distinct.where(F.length("title") >= 2).withColumn("letters", letters)
-    # the second of two equal pairs of letters is another token than the first
-    numbered = lambda c: F.transform(c, lambda x, i: F.concat(x, F.size(F.filter(F.slice(c, 1, i), lambda y: y == x)).cast("string")))
-    tokens = numbered("letters")
-    each = whole.select(*key, "title", F.explode(tokens).alias("token"))
-    common = each.groupBy(*key, "token").agg(F.count(F.lit(1)).alias("n"))
-    shared = F.greatest(F.lit(1), F.ceil(F.length("title") * ((3 * threshold - 2) / (2 - threshold)) - 1.000001))
-    place = F.row_number().over(W.partitionBy(*key, "title").orderBy("n", "token"))
-    slots = lambda c: F.transform(c, lambda x: F.pmod(F.xxhash64(x), F.lit(64 * SIGNS)).cast("int"))
-    single = F.transform(F.sequence(F.lit(1), F.length("title")), lambda i: F.substring("title", i, 1))
-    hashed = whole.withColumn("single", single).select(*key, "title", slots(tokens).alias("p"), slots(numbered("single")).alias("q"))
-    sign = "aggregate({0}, 0L, (s, x) -> s ^ if(x div 64 = {1}, shiftleft(1L, x % 64), 0L)) AS {0}{1}"
-    signed = hashed.select(*key, "title", *[F.expr(sign.format(c, k)) for c in "pq" for k in range(SIGNS)])
-    placed = each.join(common, [*key, "token"]).withColumn("place", place).where(F.col("place") <= F.length("title") - shared)
-    rare = kept(placed.select(*key, "token", "title", "n").join(signed, [*key, "title"]), "near-tokens")
-    # the titles of a common token are dealt into blocks, each of which meets all of them
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = rare.withColumn("block", F.pmod(F.xxhash64("title"), blocks).cast("int"))
-    other = rare.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).select(*key, "token", "block", F.col("title").alias("other"), *[F.col(f"{c}{k}").alias(f"o{c}{k}") for c in "pq" for k in range(SIGNS)])
-    short, both = F.least(F.length("title"), F.length("other")), F.length("title") + F.length("other")
-    outside = F.floor(both * (1 - threshold) + 0.000001)
-    outside = outside - F.pmod(outside + both, F.lit(2))
-    parted = lambda c: sum(F.bit_count(F.col(f"{c}{k}").bitwiseXOR(F.col(f"o{c}{k}"))) for k in range(SIGNS))
-    near = (parted("q") <= outside) & (parted("p") <= 3 * outside) & (F.col("title") < F.col("other")) & (short * 2 >= both * threshold)
-    same = [dealt[c] == other[c] for c in (*key, "token", "block")]
-    pairs = kept(dealt.join(other, reduce(and_, same) & near).select(*[dealt[c] for c in key], "title", "other").distinct(), "near-pairs")
-    return pairs.withColumn("ratio", similarity_from(threshold)("title", "other")).where("ratio is not null")
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("title").to_pylist()
+            step = max(1, LETTERS // max(map(len, texts), default=1))
+            for k in range(0, len(texts), step):
+                some = batch.slice(k, step)
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array([r.tobytes() for r in signed(texts[k : k + step])], pa.binary())], [*some.schema.names, "signs"])
+
+    blocks = distinct.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = spread(distinct, "title").mapInArrow(sign, StructType([*distinct.schema.fields, StructField("signs", BinaryType())]))
+    dealt = dealt.join(blocks, key) if key else dealt.crossJoin(blocks)
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("title"), F.col("blocks")).cast("int")).withColumn("meets", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    places = [F.least("block", "meets").alias("low"), F.greatest("block", "meets").alias("high")]
+    groups = spread(dealt.select(*key, *places, "block", "title", "signs"), *key, "low", "high")
+
+    def meet(group: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        low, high, block = group[-2].as_py(), group[-1].as_py(), table.column("block").to_numpy()
+        texts = table.column("title").to_pylist()
+        signs = np.frombuffer(b"".join(table.column("signs").to_pylist()), np.uint64).reshape(len(texts), -1)
+        lengths = np.array([len(t) for t in texts], np.int64)
+        own, other = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        step = max(1, LETTERS // max(1, int(lengths.max())))
+        for left, right in alike(signs[own], lengths[own], signs[other], lengths[other], threshold, low == high):
+            for k in range(0, len(left), step):
+                pairs = [sorted((texts[i], texts[j])) for i, j in zip(own[left[k : k + step]].tolist(), other[right[k : k + step]].tolist(), strict=True)]
+                title, also = [p[0] for p in pairs], [p[1] for p in pairs]
+                found = ratios(title, also)
+                near = pa.array(found >= threshold)
+                columns = [pa.array(title, pa.string()).filter(near), pa.array(also, pa.string()).filter(near), pa.array(found).filter(near)]
+                yield pa.RecordBatch.from_arrays([*[pa.repeat(g, len(columns[0])) for g in group[:-2]], *columns], [*key, "title", "other", "ratio"])
+
+    shape = StructType([*distinct.schema.fields, StructField("other", StringType()), StructField("ratio", DoubleType())])
+    return kept(groups.groupBy(*key, "low", "high").applyInArrow(meet, shape), "near-pairs")
