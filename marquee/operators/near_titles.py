@@ -14,10 +14,10 @@ from ..functions.blocks import coded, matched
 from ..sources.tables import spread
 from ..sources.versions import kept
 
-#: Words of 64 slots that hold the parities of letters, and as many for pairs of letters; a key's titles meet in blocks of so many.
-SIGNS, BLOCK = 4, 30_000
+#: Words of 64 slots that hold the parities of letters, of all of them, those before a place and those from there on; a key's titles meet in blocks of so many.
+SIGNS, PLACE, BLOCK = 4, 24, 20_000
 #: Pairs that are gathered before their other parities are compared, and letters of as many titles as are matched at once.
-PAIRS, LETTERS = 8192, 200_000
+PAIRS, LETTERS = 8192, 400_000
 
 
 def parities(tokens: np.ndarray, held: np.ndarray) -> np.ndarray:
@@ -30,15 +30,18 @@ def parities(tokens: np.ndarray, held: np.ndarray) -> np.ndarray:
 
 
 def signed(titles: list[str]) -> np.ndarray:
-    """Parities of letters, of which the second of two equal ones is another than the first, and of pairs of letters."""
+    """Parities of all letters, of the first ``PLACE`` and of the others; the second of two equal ones is another than the first."""
     letters, lengths = coded(titles)
     letters = letters.T
-    wide = letters.astype(np.uint64)
-    turn = np.zeros(letters.shape, np.uint64)
-    for k in range(1, letters.shape[1]):
-        turn[:, k] = (letters[:, :k] == letters[:, k : k + 1]).sum(axis=1)
-    held = np.arange(letters.shape[1]) < lengths[:, None]
-    return np.concatenate([parities(wide << np.uint64(32) | turn, held), parities(wide[:, :-1] << np.uint64(32) | wide[:, 1:], held[:, 1:])], axis=1)
+
+    def part(start: int, end: int) -> np.ndarray:
+        own, turn = letters[:, start:end], np.zeros(letters[:, start:end].shape, np.uint64)
+        for k in range(1, own.shape[1]):
+            turn[:, k] = (own[:, :k] == own[:, k : k + 1]).sum(axis=1)
+        return parities(own.astype(np.uint64) << np.uint64(32) | turn, np.arange(start, start + own.shape[1]) < lengths[:, None])
+
+    width = letters.shape[1]
+    return np.concatenate([part(0, width), part(0, PLACE), part(PLACE, max(width, PLACE))], axis=1)
 
 
 def most_outside(length: int, others: np.ndarray, threshold: float) -> np.ndarray:
@@ -62,11 +65,12 @@ def alike(own: np.ndarray, own_lengths: np.ndarray, other: np.ndarray, other_len
 
     def second() -> tuple[np.ndarray, np.ndarray]:
         rows, at = np.repeat([r for r, _ in left], [len(x) for _, x in left]), np.concatenate(right)
-        differ, most = np.bitwise_count(own[rows] ^ other[at]), np.empty(len(at), np.int64)
+        differ = np.bitwise_count(own[rows] ^ other[at]).reshape(-1, 3, SIGNS).sum(axis=2, dtype=np.int64)
+        most, gap = np.empty(len(at), np.int64), np.abs(own_lengths[rows] - other_lengths[at])
         for length, limit in limits.items():
             mine = own_lengths[rows] == length
             most[mine] = limit[at[mine]]
-        near = (differ[:, :SIGNS].sum(axis=1) <= most) & (differ[:, SIGNS:].sum(axis=1) <= 3 * most)
+        near = (differ[:, 0] <= most) & (differ[:, 1] <= most + gap) & (differ[:, 2] <= most)
         return rows[near], at[near]
 
     for k, length in enumerate(own_lengths.tolist()):
@@ -98,11 +102,12 @@ def near_titles(titles: DataFrame, key: list[str], threshold: float = 0.88) -> D
     """key, title, other, ratio: distinct titles of a key whose matching-block ratio reaches the threshold, title < other.
 
     Of two such titles a part of ``threshold`` stands in matching blocks. Each character outside them is one deletion or
-    insertion, which changes the letters by one and the pairs of letters by three at most (both counted with repetition).
-    So their parities in a fixed number of slots differ in no more slots than that. The titles of a key are dealt into
-    blocks; each two blocks meet in a group of their own, where parities are compared, first those of letters folded into
-    one word, and matching blocks are looked for in the few pairs that are left. A group holds two blocks and some
-    thousands of pairs; what leaves it is similar. Null titles are in no pair.
+    insertion, which changes the letters by one (counted with repetition). So their parities in a fixed number of slots
+    differ in no more slots than that. Letters before a place differ by its deletions and insertions and by how far they
+    shift the rest: twice the more frequent of the two at most; the letters from there on by no more than all of them.
+    The titles of a key are dealt into blocks; each two blocks meet in a group of their own, where parities are compared,
+    first those of all letters folded into one word, and matching blocks are looked for in the few pairs that are left. A
+    group holds two blocks and some thousands of pairs; what leaves it is similar. Null titles are in no pair.
     """
     distinct = kept(titles.where("title is not null").select(*key, "title").distinct(), "near-titles")
 
