@@ -48,8 +48,13 @@ def letters_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
+def gate(found: np.ndarray, k: int, probe: int, bits: int) -> np.ndarray:
+    """Slots of runs of 2 ** k letters, with which pieces of as many or more start."""
+    return slots(found, 512 + 8 * k + probe, bits)
+
+
 def bit_table(pieces: DataFrame, bits: int) -> np.ndarray:
-    """Bytes of ``bits`` bits: each piece sets one by its longest start of 1, 2, 4, ... letters and some by itself."""
+    """Bytes of ``bits`` bits: each piece sets two by its longest start of 1, 2, 4, ... letters and two by itself."""
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.zeros(1, np.int64)
@@ -57,7 +62,7 @@ def bit_table(pieces: DataFrame, bits: int) -> np.ndarray:
             out = [np.empty(0, np.int64)]
             for piece in batch.column(0).to_pylist():
                 by_width = runs(letters_of(piece), len(piece))
-                out += [slots(by_width[-1][:1], len(by_width) - 1, bits), *marked(by_width, len(piece), first, bits)]
+                out += [*(gate(by_width[-1][:1], len(by_width) - 1, p, bits) for p in PROBES), *marked(by_width, len(piece), first, bits)]
             yield pa.RecordBatch.from_pydict({"slot": np.concatenate(out)})
 
     maps = pieces.select("piece").mapInArrow(places, "slot long").groupBy(F.expr(f"slot div {BUCKET}").alias("bucket")).agg(F.bitmap_construct_agg(F.col("slot") % BUCKET).alias("bitmap"))
@@ -83,9 +88,13 @@ def candidates(texts: DataFrame, pieces: DataFrame) -> DataFrame:
             part = every[start : start + SLICE + lengths[-1] - 1]
             by_width = runs(part, min(lengths[-1], len(part)))
             for k in sorted({n.bit_length() - 1 for n in lengths if n <= len(part)}):
-                gate = np.flatnonzero(table[slots(by_width[k], k, bits)])
+                starts = np.flatnonzero(table[gate(by_width[k], k, PROBES[0], bits)])
+                for probe in PROBES[1:]:
+                    starts = starts[table[gate(by_width[k][starts], k, probe, bits)]]
                 for length in (n for n in lengths if n >> k == 1):
-                    at = gate[gate <= len(part) - length]
+                    at = starts[starts <= len(part) - length]
+                    if not len(at):
+                        continue
                     ok = np.logical_and.reduce([table[x] for x in marked(by_width, length, at, bits)])
                     out.update(text[i : i + length] for i in (at[ok] + start).tolist())
         return out
